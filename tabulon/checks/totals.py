@@ -1 +1,230 @@
+"""Aggregates."""
 
+from pyspark.sql import functions as F
+
+from tabulon.checks.registry import check
+from tabulon.operators import aggregates as A
+
+_P = [("l_returnflag", "<>N"), ("l_quantity", ">10"), ("l_linestatus", "o")]
+_W = "l_returnflag <> 'N' AND l_quantity > 10 AND lower(l_linestatus) = 'o'"
+
+
+@check("a_sumifs", f"SELECT l_linenumber, coalesce(sum(l_quantity) FILTER ({_W}), 0) AS q, round(coalesce(sum(l_extendedprice) FILTER ({_W}), 0), 2) AS p FROM lineitem GROUP BY 1")
+def _(t):
+    d = t.lineitem
+    return d.groupBy("l_linenumber").agg(A.sum_if(d, "l_quantity", _P).alias("q"), F.round(A.sum_if(d, "l_extendedprice", _P), 2).alias("p"))
+
+
+@check("a_countifs", f"SELECT l_linenumber, count(*) FILTER ({_W}) AS n FROM lineitem GROUP BY 1")
+def _(t):
+    return t.lineitem.groupBy("l_linenumber").agg(A.count_if(t.lineitem, _P).alias("n"))
+
+
+@check("a_averageifs", f"SELECT l_linenumber, round(avg(l_quantity) FILTER ({_W}), 4) AS a, avg(l_tax) FILTER (l_quantity > 9999) AS none FROM lineitem GROUP BY 1")
+def _(t):
+    d = t.lineitem
+    return d.groupBy("l_linenumber").agg(
+        F.round(A.average_if(d, "l_quantity", _P), 4).alias("a"), A.average_if(d, "l_tax", [("l_quantity", ">9999")]).alias("none")
+    )
+
+
+@check("a_maxifs", f"SELECT l_linenumber, coalesce(max(l_extendedprice) FILTER ({_W}), 0) AS m, CAST(0 AS DOUBLE) AS none FROM lineitem GROUP BY 1")
+def _(t):
+    d = t.lineitem
+    return d.groupBy("l_linenumber").agg(A.max_if(d, "l_extendedprice", _P).alias("m"), A.max_if(d, "l_tax", [("l_quantity", ">9999")]).alias("none"))
+
+
+@check("a_minifs", f"SELECT l_linenumber, coalesce(min(l_extendedprice) FILTER ({_W}), 0) AS m FROM lineitem GROUP BY 1")
+def _(t):
+    return t.lineitem.groupBy("l_linenumber").agg(A.min_if(t.lineitem, "l_extendedprice", _P).alias("m"))
+
+
+@check("a_sumif", "SELECT round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS s, count(*) FILTER (o_totalprice >= 200000) AS n FROM orders")
+def _(t):
+    d = t.orders
+    return d.agg(F.round(A.sum_if(d, "o_totalprice", [("o_orderstatus", "f")]), 2).alias("s"), A.count_if(d, [("o_totalprice", ">=200000")]).alias("n"))
+
+
+_RAW = "(SELECT p_type, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN '' WHEN p_size % 4 = 2 THEN p_name ELSE CAST(p_size AS VARCHAR) END AS v FROM part)"
+
+
+def raw(t):
+    s = F.col("p_size")
+    v = F.when(s % 4 == 0, None).when(s % 4 == 1, "").when(s % 4 == 2, F.col("p_name")).otherwise(s.cast("string"))
+    return t.part.select("p_type", v.alias("v"))
+
+
+@check(
+    "a_basic",
+    f"""SELECT p_type, coalesce(sum(TRY_CAST(v AS DOUBLE)), 0) AS sum, round(avg(TRY_CAST(v AS DOUBLE)), 4) AS average, count(TRY_CAST(v AS DOUBLE)) AS count,
+ count(*) FILTER (v <> '') AS counta, min(TRY_CAST(v AS DOUBLE)) AS min, max(TRY_CAST(v AS DOUBLE)) AS max FROM {_RAW} GROUP BY 1""",
+)
+def _(t):
+    return A.basic(raw(t), "v", ["p_type"]).withColumn("average", F.round("average", 4))
+
+
+@check("a_median", "SELECT l_returnflag, round(median(l_extendedprice), 4) AS value FROM lineitem GROUP BY 1")
+def _(t):
+    return A.median(t.lineitem, "l_extendedprice", ["l_returnflag"]).withColumn("value", F.round("value", 4))
+
+
+@check(
+    "a_mode",
+    """WITH c AS (SELECT user_id, value, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2)
+SELECT user_id, CASE WHEN max(n) > 1 THEN arg_min(value, (-n, f)) END AS value FROM c GROUP BY 1""",
+)
+def _(t):
+    return A.mode(t.events, "value", ["event_id"], ["user_id"])
+
+
+@check(
+    "a_spread",
+    """SELECT o_custkey, round(stddev_samp(o_totalprice), 2) AS stdev_s, round(stddev_pop(o_totalprice), 2) AS stdev_p,
+ round(var_samp(o_totalprice) / 1000000, 3) AS var_s, round(var_pop(o_totalprice) / 1000000, 3) AS var_p FROM orders GROUP BY 1""",
+)
+def _(t):
+    d = A.spread(t.orders, "o_totalprice", ["o_custkey"])
+    return d.select("o_custkey", *[F.round(c, 2).alias(c) for c in ("stdev_s", "stdev_p")], *[F.round(F.col(c) / 1e6, 3).alias(c) for c in ("var_s", "var_p")])
+
+
+@check(
+    "a_large_small",
+    """SELECT o_orderpriority AS k, 'large' AS fn, o_totalprice AS value FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) = 3
+UNION ALL SELECT o_orderpriority, 'small', o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) = 2
+UNION ALL (SELECT NULL, 'all', o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 1 OFFSET 4)
+UNION ALL (SELECT NULL, 'deep', o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 1 OFFSET 4999)""",
+)
+def _(t):
+    by = ["o_orderpriority"]
+    a = A.kth(t.orders, "o_totalprice", 3, by).select(F.col(by[0]).alias("k"), F.lit("large").alias("fn"), "value")
+    b = A.kth(t.orders, "o_totalprice", 2, by, largest=False).select(by[0], F.lit("small"), "value")
+    c = A.kth(t.orders, "o_totalprice", 5).select(F.lit(None).cast("string"), F.lit("all"), "value")
+    d = A.kth(t.orders, "o_totalprice", 5000).select(F.lit(None).cast("string"), F.lit("deep"), "value")
+    return a.union(b).union(c).union(d)
+
+
+@check("a_percentile", "SELECT l_linestatus, round(quantile_cont(l_extendedprice, 0.9), 4) AS value FROM lineitem GROUP BY 1")
+def _(t):
+    return A.percentile(t.lineitem, "l_extendedprice", 0.9, ["l_linestatus"]).withColumn("value", F.round("value", 4))
+
+
+@check("a_quartile", "SELECT round(quantile_cont(c_acctbal, 0.25), 4) AS value FROM customer")
+def _(t):
+    return A.quartile(t.customer, "c_acctbal", 1).withColumn("value", F.round("value", 4))
+
+
+@check("a_countblank", f"SELECT p_type, count(*) FILTER (v IS NULL OR v = '') AS n FROM {_RAW} GROUP BY 1")
+def _(t):
+    return raw(t).groupBy("p_type").agg(A.count_blank("v").alias("n"))
+
+
+_SUB = {
+    1: "avg(l_quantity)", 2: "CAST(count(l_quantity) AS DOUBLE)", 3: "CAST(count(l_quantity) AS DOUBLE)", 4: "max(l_quantity)", 5: "min(l_quantity)",
+    7: "stddev_samp(l_quantity)", 8: "stddev_pop(l_quantity)", 9: "sum(l_quantity)", 10: "var_samp(l_quantity)", 11: "var_pop(l_quantity)",
+}
+
+
+@check(
+    "a_subtotal",
+    " UNION ALL ".join(f"SELECT {k} AS fn, l_returnflag, round({v}, 4) AS value FROM lineitem GROUP BY 2" for k, v in _SUB.items())
+    + " UNION ALL SELECT 6, l_returnflag, round(exp(sum(ln(1 + l_tax * 0.001))), 4) FROM lineitem GROUP BY 2",
+)
+def _(t):
+    out = None
+    for fn in [*_SUB, 6]:
+        d = t.lineitem if fn != 6 else t.lineitem.withColumn("l_quantity", 1 + F.col("l_tax") * 0.001)
+        one = A.subtotal(d, fn + (100 if fn > 8 else 0), "l_quantity", ["l_returnflag"])
+        one = one.select(F.lit(fn).alias("fn"), "l_returnflag", F.round(F.col("value").cast("double"), 4).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@check(
+    "a_aggregate",
+    """SELECT 12 AS fn, round(median(o_totalprice), 4) AS value FROM orders UNION ALL
+SELECT 13, arg_min(o_custkey, (-n, f)) FROM (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY 1) UNION ALL
+(SELECT 14, o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 1 OFFSET 1) UNION ALL (SELECT 15, o_totalprice FROM orders ORDER BY o_totalprice LIMIT 1 OFFSET 2) UNION ALL
+SELECT 16, round(quantile_cont(o_totalprice, 0.35), 4) FROM orders UNION ALL SELECT 17, round(quantile_cont(o_totalprice, 0.75), 4) FROM orders UNION ALL SELECT 9, round(sum(o_totalprice), 2) FROM orders""",
+)
+def _(t):
+    out = None
+    for fn, col, k in ((12, "o_totalprice", None), (13, "o_custkey", None), (14, "o_totalprice", 2), (15, "o_totalprice", 3), (16, "o_totalprice", 0.35), (17, "o_totalprice", 3), (9, "o_totalprice", None)):
+        one = A.aggregate(t.orders, fn, col, k, order_by=["o_orderkey"])
+        one = one.select(F.lit(fn).alias("fn"), F.round(F.col("value").cast("double"), 2 if fn == 9 else 4).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@check(
+    "a_textjoin",
+    """SELECT conv_id, string_agg(role || ':' || length(text), ', ' ORDER BY turn) AS value FROM conversations GROUP BY 1""",
+)
+def _(t):
+    d = t.conversations.select("conv_id", "turn", F.concat_ws(":", "role", F.length("text")).alias("x"))
+    return A.text_join(d, "x", ", ", ["turn"], ["conv_id"])
+
+
+_FLOWS = """(SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS period, o_orderdate, o_orderkey,
+ CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1 THEN -o_totalprice ELSE o_totalprice / 4 END AS amount FROM orders)"""
+
+
+def flows(t):
+    """Per customer: the first order as an outlay, the later ones as income."""
+    from tabulon.operators.cashflows import numbered
+
+    d = numbered(t.orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderdate", "o_orderkey"], ["o_custkey"])
+    return d.withColumn("amount", F.when(F.col("period") == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice") / 4))
+
+
+@check("a_npv", f"SELECT o_custkey, round(sum(amount / pow(1.08, period + 1)), 3) AS npv FROM {_FLOWS} GROUP BY 1")
+def _(t):
+    from tabulon.operators import cashflows as C
+
+    return C.npv(flows(t), "amount", "period", 0.08, ["o_custkey"]).withColumn("npv", F.round("npv", 3))
+
+
+@check(
+    "a_xnpv",
+    f"""WITH f AS (SELECT *, min(o_orderdate) OVER (PARTITION BY o_custkey) AS d0 FROM {_FLOWS})
+SELECT o_custkey, round(sum(amount / pow(1.08, date_diff('day', d0, o_orderdate) / 365.0)), 3) AS xnpv FROM f GROUP BY 1""",
+)
+def _(t):
+    from tabulon.operators import cashflows as C
+
+    return C.xnpv(flows(t), "amount", "o_orderdate", 0.08, ["o_orderdate", "o_orderkey"], ["o_custkey"]).withColumn("xnpv", F.round("xnpv", 3))
+
+
+@check(
+    "a_mirr",
+    f"""WITH s AS (SELECT o_custkey, count(*) - 1 AS n, sum(amount / pow(1.1, period)) FILTER (amount < 0) AS neg, sum(amount / pow(1.12, period)) FILTER (amount >= 0) AS pos FROM {_FLOWS} GROUP BY 1)
+SELECT o_custkey, CASE WHEN n >= 1 THEN round(pow(-coalesce(pos, 0) * pow(1.12, n) / neg, 1.0 / n) - 1, 6) END AS mirr FROM s""",
+)
+def _(t):
+    from tabulon.operators import cashflows as C
+
+    return C.mirr(flows(t), "amount", "period", 0.1, 0.12, ["o_custkey"]).withColumn("mirr", F.round("mirr", 6))
+
+
+# Bisection on the same range; exact for a single sign change, which an outlay followed by income has.
+_BISECT = """WITH f AS (SELECT o_custkey, list({{'t': {t}, 'v': amount}}) AS flows, count(*) AS n FROM {src} GROUP BY 1),
+b AS (SELECT o_custkey, n, flows, list_reduce(list_transform(range(60), lambda i: {{'lo': -0.9999, 'hi': 10.0}}),
+ lambda s, x: CASE WHEN list_sum(list_transform(flows, lambda p: p.v / pow(1 + (s.lo + s.hi) / 2, p.t))) > 0
+  THEN {{'lo': (s.lo + s.hi) / 2, 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': (s.lo + s.hi) / 2}} END) AS s FROM f)
+SELECT o_custkey, CASE WHEN n >= 2 AND s.hi < 9.9999 AND s.lo > -0.99989 THEN round((s.lo + s.hi) / 2, 6) END AS {name} FROM b"""
+
+
+@check("a_irr", _BISECT.format(t="period", src=_FLOWS, name="irr"))
+def _(t):
+    from tabulon.operators import cashflows as C
+
+    return C.irr(flows(t), "amount", "period", ["o_custkey"]).withColumn("irr", F.round("irr", 6))
+
+
+@check(
+    "a_xirr",
+    _BISECT.format(t="date_diff('day', d0, o_orderdate) / 365.0", src=f"(SELECT *, min(o_orderdate) OVER (PARTITION BY o_custkey) AS d0 FROM {_FLOWS})", name="xirr"),
+)
+def _(t):
+    from tabulon.operators import cashflows as C
+
+    return C.xirr(flows(t), "amount", "o_orderdate", ["o_orderdate", "o_orderkey"], ["o_custkey"]).withColumn("xirr", F.round("xirr", 6))

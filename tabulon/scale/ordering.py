@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tabulon.scale.storage import materialize
 
 OrderKey = str | Column
-_BLOCK, _POS = "__block", "__pos"
+BLOCK, POS = "__block", "__pos"
 _POS_BITS = 33  # monotonically_increasing_id keeps the partition number above bit 33
 
 
@@ -35,8 +35,8 @@ def sorted_blocks(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
         df.repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("__mid", F.monotonically_increasing_id())
-        .withColumn(_BLOCK, F.shiftright("__mid", _POS_BITS).cast("int"))
-        .withColumn(_POS, F.col("__mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
+        .withColumn(BLOCK, F.shiftright("__mid", _POS_BITS).cast("int"))
+        .withColumn(POS, F.col("__mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
         .drop("__mid")
     )
     return materialize(tagged, "sorted")
@@ -44,9 +44,9 @@ def sorted_blocks(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
 
 def _block_starts(blocks: DataFrame) -> DataFrame:
     # One row per range partition: bounded by spark.sql.shuffle.partitions whatever the data size.
-    sizes = blocks.groupBy(_BLOCK).agg(F.count(F.lit(1)).alias("__rows"))
-    before = W.orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    return sizes.select(_BLOCK, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    sizes = blocks.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("__rows"))
+    before = W.orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    return sizes.select(BLOCK, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
 
 
 def row_index(
@@ -56,9 +56,9 @@ def row_index(
     blocks = sorted_blocks(df, order_columns(order_by))
     starts = F.broadcast(_block_starts(blocks))  # at most one row per shuffle partition
     return (
-        blocks.join(starts, _BLOCK)
-        .withColumn(name, F.col("__start") + F.col(_POS) + F.lit(start))
-        .drop(_BLOCK, _POS, "__start")
+        blocks.join(starts, BLOCK)
+        .withColumn(name, F.col("__start") + F.col(POS) + F.lit(start))
+        .drop(BLOCK, POS, "__start")
     )
 
 
@@ -93,29 +93,29 @@ def running(
     order = order_columns(order_by)
     blocks = sorted_blocks(prepared, [F.col(c) for c in by] + order)
 
-    so_far = W.partitionBy(_BLOCK, *by).orderBy(_POS).rowsBetween(W.unboundedPreceding, 0)
+    so_far = W.partitionBy(BLOCK, *by).orderBy(POS).rowsBetween(W.unboundedPreceding, 0)
     local = blocks.withColumns(
         {f"_ls_{n}": F.sum(f"_s_{n}").over(so_far) for n in sums}
         | {f"_lf_{n}": F.last(f"_f_{n}", ignorenulls=True).over(so_far) for n in fills}
     )
 
     totals = [F.sum(f"_s_{n}").alias(f"_cs_{n}") for n in sums] + [
-        F.max_by(f"_f_{n}", F.when(F.col(f"_f_{n}").isNotNull(), F.col(_POS))).alias(f"_cf_{n}") for n in fills
+        F.max_by(f"_f_{n}", F.when(F.col(f"_f_{n}").isNotNull(), F.col(POS))).alias(f"_cf_{n}") for n in fills
     ]
     spanning = blocks
     if by:
         # Only a group that opens a block can have rows in an earlier one: one head row per block.
-        heads = blocks.where(F.col(_POS) == 0).select(*by).distinct()
+        heads = blocks.where(F.col(POS) == 0).select(*by).distinct()
         spanning = join_null_safe(blocks, heads, by, "left_semi", small=True)
-    per_block = spanning.groupBy(_BLOCK, *by).agg(*totals)
-    earlier = W.partitionBy(*by).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    per_block = spanning.groupBy(BLOCK, *by).agg(*totals)
+    earlier = W.partitionBy(*by).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
     carry = per_block.select(
-        _BLOCK,
+        BLOCK,
         *by,
         *[F.sum(f"_cs_{n}").over(earlier).alias(f"_cs_{n}") for n in sums],
         *[F.last(f"_cf_{n}", ignorenulls=True).over(earlier).alias(f"_cf_{n}") for n in fills],
     )
-    joined = join_null_safe(local, carry, [_BLOCK, *by], "left", small=True)
+    joined = join_null_safe(local, carry, [BLOCK, *by], "left", small=True)
     result = {}
     for n in sums:
         own, before = F.col(f"_ls_{n}"), F.col(f"_cs_{n}")
