@@ -105,11 +105,11 @@ check("v_pct_row", _share("r", "t.col_kind = 'grand' AND t.row_kind = p.row_kind
 
 @check(
     "v_running",
-    f"""WITH p AS ({_sql([("Sum - o_totalprice", "sum(o_totalprice)")], _YEARS, _NEST, ("y",), digits=6)})
-SELECT o_orderstatus, o_orderpriority, y, row_kind, col_kind, measure, round(sum(value) OVER (PARTITION BY y, col_kind ORDER BY o_orderstatus, o_orderpriority), 1) AS value FROM p WHERE row_kind = 'leaf'""",
+    f"""WITH p AS ({_sql([("Sum - o_totalprice", "sum(o_totalprice)")], _YEARS, _NEST, ("y",), digits=2)})
+SELECT o_orderstatus, o_orderpriority, y, row_kind, col_kind, measure, round(sum(value) OVER (PARTITION BY y, col_kind ORDER BY o_orderstatus, o_orderpriority), 2) AS value FROM p WHERE row_kind = 'leaf'""",
 )
 def _(t):
-    return dec(V.compute(dated(t), V.PivotSpec(_NEST, ("y",), (V.Value("o_totalprice", show_as="runningTotal"),))), 1)
+    return dec(V.compute(dated(t), V.PivotSpec(_NEST, ("y",), (V.Value("o_totalprice", show_as="runningTotal"),))))
 
 
 @check("v_calc_field", _sql([("Unit price", "sum(l_extendedprice) / nullif(sum(l_quantity), 0) - 2 ^ 2")], digits=4))

@@ -61,3 +61,11 @@ def truthy(c: Column, kind: str) -> Column:
         t = F.upper(F.trim(c))
         return F.when(c.isNull(), F.lit(False)).when(t == "TRUE", F.lit(True)).when(t == "FALSE", F.lit(False))
     return F.coalesce(c != 0, F.lit(False))
+
+
+def bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and pass it to ``use``.
+
+    A column expression is copied wherever it is used; long chains would outgrow the generated method.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -17,8 +17,8 @@ from tabulon.scale.storage import materialize
 
 # Starting guess and search range for rates.
 GUESS, LOWEST, HIGHEST = 0.1, -0.9999, 10.0
-_GRID = 40
-_PASSES = 4
+_GRID = 12
+_PASSES = 6
 
 
 def numbered(df: DataFrame, amount: str, order_by: Sequence[OrderKey], by: Sequence[str] = (), name: str = "period") -> DataFrame:
@@ -89,8 +89,9 @@ def _trial_rates(lo: Column, hi: Column) -> list[Column]:
 
 def _first_grid() -> list[Column]:
     # Denser near the guess, where the bracket closest to it is wanted.
-    low = [LOWEST + (GUESS - LOWEST) * (k / 20) for k in range(20)]
-    high = [GUESS + (HIGHEST - GUESS) * (k / 19) ** 2 for k in range(20)]
+    half = _GRID // 2
+    low = [LOWEST + (GUESS - LOWEST) * (k / half) for k in range(half)]
+    high = [GUESS + (HIGHEST - GUESS) * (k / (half - 1)) ** 2 for k in range(half)]
     return [F.lit(r) for r in low + high]
 
 

@@ -288,10 +288,7 @@ def crosstab(df: DataFrame, spec: PivotSpec, max_columns: int = 16_384) -> DataF
     if many or not C:
         heads.append(F.col("measure").alias(f"_h{C}"))
     titled = long.withColumn("_head", F.concat_ws(" / ", *[F.nullif(h, F.lit("")) for h in heads]))
-    order = []
-    for i, c in enumerate(spec.cols):
-        order += [F.col("_cd") <= i, F.col("_calc"), *_item_order(long, c)]
-    lines = titled.groupBy("_head").agg(F.min(F.struct(*[F.struct(*[o for o in _plain(spec.cols, "_cd")])] or [F.lit(0)], "vi")).alias("_at"))
+    lines = titled.groupBy("_head").agg(F.min(F.struct(*_position(spec.cols, "_cd"), "vi")).alias("_at"))
     listed = [r[0] for r in lines.orderBy("_at").limit(max_columns + 1).collect()]
     if len(listed) > max_columns:
         raise ValueError(f"a table holds at most {max_columns} columns; use the long form")
@@ -309,8 +306,9 @@ def crosstab(df: DataFrame, spec: PivotSpec, max_columns: int = 16_384) -> DataF
     return wide.orderBy(*sort).select(*names, *[F.col(f"`{h}`") for h in listed])
 
 
-def _plain(fields: Sequence[str], depth: str) -> list[Column]:
-    out = [F.lit(0).alias("z")]
+def _position(fields: Sequence[str], depth: str) -> list[Column]:
+    """Sortable place of an axis line: leaves before their subtotal, the grand line last."""
+    out = []
     for i, c in enumerate(fields):
         out += [(F.col(depth) <= i).alias(f"t{i}"), F.col(c).alias(f"k{i}")]
     return out
