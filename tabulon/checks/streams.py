@@ -1 +1,78 @@
+"""Streams (ST) over the events table, read as a file source and compared with their batch results."""
 
+from pyspark.sql import functions as F
+
+from tabulon.checks.registry import check
+from tabulon.plans.steps import Steps
+from tabulon.operators import transforms as T
+from tabulon.scale.storage import scratch_path
+from tabulon.streaming import feeds as S
+
+
+def arriving(t):
+    schema = t.events.schema
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+
+
+def _done(query):
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+def changes(events):
+    return events.select(
+        F.col("event_type").alias("sheet"),
+        F.col("user_id").alias("row"),
+        (F.col("event_id") % 5).alias("col"),
+        F.when(F.col("event_id") % 7 == 0, "").otherwise(F.col("event_id").cast("string")).alias("input"),
+        "ts",
+        F.col("event_id").alias("seq"),
+    )
+
+
+@check(
+    "st_latest_cells",
+    """SELECT event_type AS sheet, user_id AS row, event_id % 5 AS col, CAST(event_id AS VARCHAR) AS input, ts, event_id AS seq FROM events
+QUALIFY row_number() OVER (PARTITION BY event_type, user_id, event_id % 5 ORDER BY ts DESC, event_id DESC) = 1 AND event_id % 7 <> 0""",
+)
+def _(t):
+    log, checkpoint = scratch_path(t.spark, "cells"), scratch_path(t.spark, "progress")
+    _done(S.follow_cells(changes(arriving(t)), log, checkpoint))
+    return S.read_cells(t.spark, log)
+
+
+@check("st_refresh", "SELECT event_id, user_id, value * 2 AS twice FROM events WHERE value > 20 AND event_type = 'click'")
+def _(t):
+    def steps(d):
+        q = Steps(d).add("Filtered Rows", lambda x: T.filter_rows(x, "value", "gt", "20"))
+        q = q.add("Filtered Rows", lambda x: T.filter_rows(x, "event_type", "eq", "click"))
+        q = q.add("Added Custom", lambda x: T.custom_column(x, "twice", "value * 2"))
+        return q.add("Chosen Columns", lambda x: T.choose_columns(x, "event_id", "user_id", "twice")).run()
+
+    target, checkpoint = scratch_path(t.spark, "refresh"), scratch_path(t.spark, "progress")
+    _done(S.follow_query(arriving(t), steps, target, checkpoint))
+    return t.spark.read.parquet(target)
+
+
+@check(
+    "st_timeline",
+    """SELECT 'days' AS level, date_trunc('day', ts)::TIMESTAMP AS start, day(ts) || '/' || month(ts) AS label, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL
+UNION ALL SELECT 'months', date_trunc('month', ts)::TIMESTAMP, strftime(ts, '%b %y'), count(*), round(sum(value), 2) FROM events GROUP BY ALL""",
+)
+def _(t):
+    out = None
+    for level in ("days", "months"):
+        target, checkpoint = scratch_path(t.spark, "totals"), scratch_path(t.spark, "progress")
+        _done(S.follow_totals(S.timeline_totals(arriving(t), "ts", "value", level), target, checkpoint))
+        one = S.read_totals(t.spark, target).select(F.lit(level).alias("level"), "start", "label", "n", F.round("total", 2).alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@check("st_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
+def _(t):
+    target, checkpoint = scratch_path(t.spark, "distinct"), scratch_path(t.spark, "progress")
+    d = S.distinct_events(arriving(t), "ts", ["user_id", "event_type"], "400 days").select("user_id", "event_type")
+    _done(S.follow_query(d, lambda x: x, target, checkpoint))
+    return t.spark.read.parquet(target)
