@@ -13,7 +13,7 @@ from tabulon.functions.values import number_text
 
 @check("f_text_basic", "SELECT doc_id, upper(lang) AS u, length(text) AS n FROM documents")
 def _(t):
-    return t.documents.select("doc_id", X.upper(F.col("lang")).alias("u"), F.length(X.as_text(F.col("text"))).alias("n"))
+    return t.documents.select("doc_id", X.upper(F.col("lang")).alias("u"), F.length(X.as_text(F.col("text"))).cast("bigint").alias("n"))
 
 
 @check(

@@ -115,9 +115,11 @@ def _narrow(sums: DataFrame, by: list[str], rates: list[Column]) -> DataFrame:
 
 
 def _rate(flows: DataFrame, by: list[str], name: str) -> DataFrame:
+    if not by:
+        return _rate(flows.withColumn("_all", F.lit(0)), ["_all"], name).drop("_all")
     flows = flows.where(F.col("_v").isNotNull()).groupBy(*by, "_t").agg(F.sum("_v").alias("_v"), F.count("_v").alias("_n"))
     flows = materialize(flows, "flows")
-    hot = hot_keys(flows, by) if by else []
+    hot = hot_keys(flows, by)
     worth = lambda r: F.sum(F.col("_v") * F.pow(F.lit(1.0) + r, -F.col("_t")))
 
     rates = _first_grid()
@@ -125,11 +127,7 @@ def _rate(flows: DataFrame, by: list[str], name: str) -> DataFrame:
     enough = sums.where(F.col("_count") >= 2)
     state = _narrow(enough, by, rates)
     for _ in range(_PASSES - 1):
-        if by:
-            joined = attach(flows, state, by, hot=hot)
-        else:
-            one = state.select(F.struct("_lo", "_hi").alias("s")).scalar()
-            joined = flows.withColumn("_lo", one["_lo"]).withColumn("_hi", one["_hi"])
+        joined = attach(flows, state, by, hot=hot)
         trial = _trial_rates(F.col("_lo"), F.col("_hi"))
         sums = joined.where(F.col("_lo").isNotNull()).groupBy(*by, "_lo", "_hi").agg(
             *[worth(r).alias(f"_y{k}") for k, r in enumerate(trial)]
@@ -137,6 +135,4 @@ def _rate(flows: DataFrame, by: list[str], name: str) -> DataFrame:
         state = _narrow(sums, by, trial)
     slope = F.col("_yhi") - F.col("_ylo")
     root = F.col("_lo") - F.col("_ylo") * F.coalesce(F.try_divide(F.col("_hi") - F.col("_lo"), slope), F.lit(0.0))
-    groups = flows.select(*by).distinct() if by else None
-    found = state.select(*by, finite(root).alias(name))
-    return attach(groups, found, by, hot=[]) if by else found
+    return attach(flows.select(*by).distinct(), state.select(*by, finite(root).alias(name)), by, hot=[])

@@ -158,8 +158,14 @@ def _lines(df: DataFrame, spec: PivotSpec) -> DataFrame:
     row_sets, col_sets = _prefixes(spec.rows, spec.subtotals), _prefixes(spec.cols, spec.subtotals)
     if keys:
         sets = [[*r, *c] for r in row_sets for c in col_sets]
-        lines = base.groupingSets(sets, *keys).agg(
-            *merged, _depth(spec.rows).alias("_rd"), _depth(spec.cols).alias("_cd")
+        # One marker row keeps the grand line when nothing is left to group, as a global aggregate would.
+        marker = df.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in base.schema.fields], F.lit(0).alias("_real"))
+        lines = (
+            base.withColumn("_real", F.lit(1))
+            .unionByName(marker)
+            .groupingSets(sets, *keys)
+            .agg(*merged, _depth(spec.rows).alias("_rd"), _depth(spec.cols).alias("_cd"), F.max("_real").alias("_real"))
+            .where((F.col("_real") == 1) | (F.col("_rd") + F.col("_cd") == 0))
         )
     else:
         lines = base.withColumns({"_rd": F.lit(0), "_cd": F.lit(0)})
