@@ -6,19 +6,22 @@ from pyspark.sql import Column, functions as F
 
 # Fixed value: the pattern of a number typed as text.
 NUMBER_PATTERN = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
-
-
-def to_number(c: Column) -> Column:
-    """Double for numbers and number-like text, null for anything else."""
-    return F.trim(c.cast("string")).try_cast("double")
+NUMERIC_TYPES = ("byte", "short", "integer", "long", "float", "double", "decimal")
 
 
 def text_number(c: Column) -> Column:
-    """Double when the text matches the number pattern exactly; rejects ``NaN``, ``1d`` and the like."""
+    """Double when the text matches the number pattern; the test first, as failed casts are slow."""
     t = F.trim(c)
     return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
 
 
+def to_number(c: Column, kind: str = "string") -> Column:
+    """Double of a number or of number-like text, null for anything else; ``kind`` is the column's type name."""
+    if kind in NUMERIC_TYPES:
+        return c.cast("double")
+    return text_number(c.cast("string"))
+
+
 def is_blank(c: Column) -> Column:
     return c.isNull() | (c.cast("string") == "")
 
@@ -35,21 +38,23 @@ def finite(c: Column) -> Column:
 def number_text(c: Column) -> Column:
     """A number as text with at most 15 significant digits and no trailing zeros."""
     d = c.cast("double")
-    whole = (d == F.floor(d)) & (F.abs(d) < 1e15)
-    digits = F.format_string("%.14e", d)
-    mantissa = F.regexp_replace(F.regexp_extract(digits, r"^(-?[\d.]+)e", 1), r"\.?0+$", "")
-    exponent = F.regexp_extract(digits, r"e([-+]\d+)$", 1).try_cast("int")
-    rounded = digits.try_cast("double")
-    plain = rounded.cast("decimal(38,20)").cast("string")
-    trimmed = F.regexp_replace(plain, r"\.?0+$", "")
-    sign = F.when(exponent < 0, "-").otherwise("+")
-    scientific = F.concat(mantissa, F.lit("e"), sign, F.abs(exponent).cast("string"))
-    small = (F.abs(d) < 1e-6) | (F.abs(d) >= 1e15)
+    plain = d.cast("string")
+
+    def rounded(digits: Column) -> Column:
+        # ``digits`` is d.dddddddddddddde+xx: 15 significant digits.
+        exponent = F.regexp_extract(digits, r"e([-+]\d+)$", 1).cast("int")
+        mantissa = F.regexp_replace(F.substring_index(digits, "e", 1), r"\.?0+$", "")
+        sign = F.when(exponent < 0, "-").otherwise("+")
+        wide = F.concat(mantissa, F.lit("e"), sign, F.abs(exponent).cast("string"))
+        fixed = F.regexp_replace(digits.cast("double").cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
+        return F.when((exponent < -6) | (exponent >= 15), wide).otherwise(fixed)
+
     return (
         F.when(d.isNull(), F.lit(None).cast("string"))
-        .when(whole, d.try_cast("bigint").cast("string"))
-        .when(small, scientific)
-        .otherwise(trimmed)
+        .when((d == F.floor(d)) & (F.abs(d) < 1e15), d.try_cast("bigint").cast("string"))
+        # The usual case: the shortest text already has 15 digits or fewer.
+        .when((F.length(plain) <= 16) & ~plain.contains("E"), plain)
+        .otherwise(bind(F.format_string("%.14e", d), rounded))
     )
 
 

@@ -132,14 +132,14 @@ def change_type(df: DataFrame, column: str, kind: str, flag: str | None = None)
     if kind == "text":
         out = number_text(c) if source in ("double", "float") else c.cast("string")
     elif kind == "whole" and source in ("double", "float", "string", "decimal"):
-        out = F.bround(to_number(c), 0).try_cast("bigint")
+        out = F.bround(to_number(c, source), 0).try_cast("bigint")
     elif kind == "number":
-        out = to_number(c)
+        out = to_number(c, source)
     elif kind == "time":
         text = F.date_format(c, "HH:mm:ss") if source.startswith("timestamp") else c.cast("string")
         out = clock_fraction(text)
     elif kind == "duration":
-        whole = to_number(c)
+        whole = to_number(c, source)
         out = F.make_dt_interval(F.floor(whole).try_cast("int"), secs=F.round((whole - F.floor(whole)) * 86400, 6))
     else:
         out = c.try_cast(TYPES[kind])
