@@ -83,35 +83,28 @@ def xirr(
     return _rate(flows.select(*by, (F.col("_t") - F.col("_t0")).alias("_t"), "_v"), list(by), name)
 
 
-def _trial_rates(lo: Column, hi: Column) -> list[Column]:
-    return [lo + (hi - lo) * F.lit(k / (_GRID - 1)) for k in range(_GRID)]
-
-
-def _first_grid() -> list[Column]:
+def _first_rates() -> list[str]:
     # Denser near the guess, where the bracket closest to it is wanted.
     half = _GRID // 2
     low = [LOWEST + (GUESS - LOWEST) * (k / half) for k in range(half)]
     high = [GUESS + (HIGHEST - GUESS) * (k / (half - 1)) ** 2 for k in range(half)]
-    return [F.lit(r) for r in low + high]
+    return [f"{r!r}D" for r in low + high]
+
 
+def _worths(rates: list[str]) -> list[Column]:
+    return [F.expr(f"sum(_v * power(1D + {r}, -_t))").alias(f"_y{k}") for k, r in enumerate(rates)]
 
-def _narrow(sums: DataFrame, by: list[str], rates: list[Column]) -> DataFrame:
+
+def _narrow(sums: DataFrame, by: list[str], rates: list[str]) -> DataFrame:
     """Keep the sign change nearest to the guess, with the worth at both ends."""
-    points = F.array(*[F.struct(r.alias("r"), F.col(f"_y{k}").alias("y")) for k, r in enumerate(rates)])
-    pairs = F.zip_with(F.slice(points, 1, _GRID - 1), F.slice(points, 2, _GRID - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    crossing = F.filter(pairs, lambda p: F.signum(p["a"]["y"]) * F.signum(p["b"]["y"]) <= 0)
-    ranked = F.transform(
-        crossing,
-        lambda p: F.struct(
-            F.greatest(F.lit(0.0), p["a"]["r"] - F.lit(GUESS), F.lit(GUESS) - p["b"]["r"]).alias("far"),
-            p["a"]["r"].alias("lo"),
-            p["b"]["r"].alias("hi"),
-            p["a"]["y"].alias("ylo"),
-            p["b"]["y"].alias("yhi"),
-        ),
-    )
-    best = F.array_min(ranked)
-    return sums.withColumn("_best", best).select(*by, *[F.col(f"_best.{c}").alias(f"_{c}") for c in ("lo", "hi", "ylo", "yhi")])
+    points = ", ".join(f"named_struct('r', {r}, 'y', _y{k})" for k, r in enumerate(rates))
+    brackets = f"""filter(
+        zip_with(slice(_p, 1, {_GRID - 1}), slice(_p, 2, {_GRID - 1}), (a, b) -> named_struct(
+            'far', greatest(0D, a.r - {GUESS}D, {GUESS}D - b.r), '_lo', a.r, '_hi', b.r, '_ylo', a.y, '_yhi', b.y)),
+        x -> signum(x._ylo) * signum(x._yhi) <= 0)"""
+    listed = sums.select(*by, F.expr(f"array({points})").alias("_p"))
+    best = listed.select(*by, F.expr(f"array_min({brackets})").alias("_best"))
+    return best.select(*by, "_best._lo", "_best._hi", "_best._ylo", "_best._yhi")
 
 
 def _rate(flows: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -120,19 +113,13 @@ def _rate(flows: DataFrame, by: list[str], name: str) -> DataFrame:
     flows = flows.where(F.col("_v").isNotNull()).groupBy(*by, "_t").agg(F.sum("_v").alias("_v"), F.count("_v").alias("_n"))
     flows = materialize(flows, "flows")
     hot = hot_keys(flows, by)
-    worth = lambda r: F.sum(F.col("_v") * F.pow(F.lit(1.0) + r, -F.col("_t")))
-
-    rates = _first_grid()
-    sums = flows.groupBy(*by).agg(*[worth(r).alias(f"_y{k}") for k, r in enumerate(rates)], F.sum("_n").alias("_count"))
-    enough = sums.where(F.col("_count") >= 2)
-    state = _narrow(enough, by, rates)
+    rates = _first_rates()
+    sums = flows.groupBy(*by).agg(*_worths(rates), F.sum("_n").alias("_count")).where(F.col("_count") >= 2)
+    # One small row per group and pass is written out: plans stay short and a lost executor repeats one pass.
+    state = materialize(_narrow(sums, by, rates), "rates")
+    trial = [f"(_lo + (_hi - _lo) * {k / (_GRID - 1)!r}D)" for k in range(_GRID)]
     for _ in range(_PASSES - 1):
-        joined = attach(flows, state, by, hot=hot)
-        trial = _trial_rates(F.col("_lo"), F.col("_hi"))
-        sums = joined.where(F.col("_lo").isNotNull()).groupBy(*by, "_lo", "_hi").agg(
-            *[worth(r).alias(f"_y{k}") for k, r in enumerate(trial)]
-        )
-        state = _narrow(sums, by, trial)
-    slope = F.col("_yhi") - F.col("_ylo")
-    root = F.col("_lo") - F.col("_ylo") * F.coalesce(F.try_divide(F.col("_hi") - F.col("_lo"), slope), F.lit(0.0))
+        joined = attach(flows, state.select(*by, "_lo", "_hi"), by, hot=hot).where(F.col("_lo").isNotNull())
+        state = materialize(_narrow(joined.groupBy(*by, "_lo", "_hi").agg(*_worths(trial)), by, trial), "rates")
+    root = F.expr("_lo - _ylo * coalesce(try_divide(_hi - _lo, _yhi - _ylo), 0D)")
     return attach(flows.select(*by).distinct(), state.select(*by, finite(root).alias(name)), by, hot=[])
