@@ -91,8 +91,8 @@ def _(t):
     "a_large_small",
     """SELECT o_orderpriority AS k, 'large' AS fn, o_totalprice AS value FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) = 3
 UNION ALL SELECT o_orderpriority, 'small', o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) = 2
-UNION ALL (SELECT NULL, 'all', o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 1 OFFSET 4)
-UNION ALL (SELECT NULL, 'deep', o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 1 OFFSET 4999)""",
+UNION ALL SELECT NULL, 'all', (SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 1 OFFSET 4)
+UNION ALL SELECT NULL, 'deep', (SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 1 OFFSET 4999)""",
 )
 def _(t):
     by = ["o_orderpriority"]

@@ -159,10 +159,9 @@ def cell_is(v: Column, operator: str, a, b=None) -> Column:
         "between": lambda: (v >= x) & (v <= y),
         "notBetween": lambda: (v < x) | (v > y),
     }[operator]()
+    # A conjunction, not a conditional: false for nulls and still a filter the scan can take.
     known = v.isNotNull() & x.isNotNull()
-    if operator in ("between", "notBetween"):
-        known = known & y.isNotNull()
-    return F.when(known, test).otherwise(F.lit(False))
+    return test & (known & y.isNotNull() if operator in ("between", "notBetween") else known)
 
 
 def text_is(c: Column, operator: str, text: str) -> Column:

@@ -33,17 +33,13 @@ def text(df):
         (lambda d: X.timeline(d, "o_orderdate", "1997-01-01", "1998-01-01"), "LessThan(o_orderdate,1998-01-01"),
         (lambda d: X.slicer(d, "o_orderstatus", ["F", "P"]), "In(o_orderstatus, [F,P])"),
         (lambda d: X.value_filter(d, {"o_orderstatus": ["F"]}), "o_orderstatus,F)"),
-        (lambda d: R_where(d), "GreaterThan(o_totalprice,5.0)"),
+        (lambda d: d.where(R.cell_is(F.col("o_totalprice"), "greaterThan", 5.0)), "GreaterThan(o_totalprice,5.0)"),
     ],
 )
 def test_filters_are_pushed(orders, make, pushed):
     assert pushed in text(make(orders)).split("PushedFilters", 1)[1].splitlines()[0]
 
 
-def R_where(d):
-    return d.where(R.cell_is(F.col("o_totalprice"), "greaterThan", 5.0)).where(F.col("o_totalprice") > 5.0)
-
-
 def test_only_needed_columns_are_read(orders):
     spec = V.PivotSpec(("o_orderstatus",), (), (V.Value("o_totalprice"),))
     scan = text(V.compute(orders, spec))
