@@ -39,13 +39,14 @@ def list_folder(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def file_contents(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Content of the file with a base name; an error when the folder has none."""
-    base = name.replace("\\", "/").rsplit("/", 1)[-1]
-    found = list_folder(spark, path).where(F.col("Name") == base)
-    if found.select("Name").isEmpty():
-        raise FileNotFoundError(base)
-    return found.select("Content")
+def file_contents(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """``Name, Content`` of the files with the given base names; an error when one is missing."""
+    wanted = {n.replace("\\", "/").rsplit("/", 1)[-1] for n in names}
+    found = list_folder(spark, path).where(F.col("Name").isin(list(wanted)))
+    present = {r["Name"] for r in found.select("Name").distinct().collect()}
+    if wanted - present:
+        raise FileNotFoundError(", ".join(sorted(wanted - present)))
+    return found.select("Name", "Content")
 
 
 class Catalog:

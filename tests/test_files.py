@@ -54,7 +54,7 @@ def test_json_odata_folder(spark, tmp_path):
     assert names == {"1.json": ".json", "2.json": ".json", "raw": ""}
     assert bytes(S.file_contents(spark, str(pages), "any/raw").first().Content) == b"x"
     with pytest.raises(FileNotFoundError):
-        S.file_contents(spark, str(pages), "none.txt").count()
+        S.file_contents(spark, str(pages), "raw", "none.txt")
     assert S.blank_source(spark).columns == ["Column1"] and S.blank_source(spark).count() == 0
 
 
