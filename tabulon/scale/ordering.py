@@ -29,10 +29,12 @@ def order_columns(order_by: Sequence[OrderKey] | OrderKey | None) -> list[Column
 
 
 def sorted_blocks(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
-    """Globally sorted copy of ``df`` with ``__block`` (range number) and ``__pos`` (0-based inside it)."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Globally sorted copy of ``df`` with ``__block`` (range number) and ``__pos`` (0-based inside it).
+
+    Up to ``spark.sql.shuffle.partitions`` ranges; adaptive execution joins neighbours that are small.
+    """
     tagged = (
-        df.repartitionByRange(parts, *keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("__mid", F.monotonically_increasing_id())
         .withColumn(BLOCK, F.shiftright("__mid", _POS_BITS).cast("int"))

@@ -16,6 +16,8 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.showConsoleProgress", "false")
+        # Keep small inputs in several ranges, so that borders between them are exercised.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
     )
     session = builder.getOrCreate()
