@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm import simhash, token_counts
+from tabulon.llm import decontaminate, language, quality, simhash, token_counts
 from tabulon.llm.registry import ORACLES, QUERIES, query
 
 
@@ -35,5 +35,58 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_b
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    profiles = language.learn_profiles(docs.where(language.fold() != 2))
+    found = docs.select(
+        "doc_id", (language.fold() == 2).alias("held_out"), language.identify(F.col("text"), profiles).alias("got")
+    )
+    return found.select("doc_id", "held_out", F.col("got.lang").alias("lang_pred"), F.col("got.score").alias("score"))
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.learn(docs, _table(spark, sf_dir, "labels"))
+    judged = docs.select("doc_id", quality.judge(F.col("text"), model).alias("q")).select("doc_id", "q.*")
+    failed = quality.base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    return judged.withColumn("base_failed", failed).withColumn(
+        "kept", ~F.col("base_failed") & (F.col("prob") >= quality.THRESHOLD)
+    )
+
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCH_WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op8_decontamination",
+    f"""
+    WITH i AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, {_BENCH_WORDS} AS w FROM benchmark),
+    k AS (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(0, greatest(len(w) - 12, 1))) AS b FROM i WHERE len(w) > 0),
+    win AS (SELECT DISTINCT item_id, n, array_to_string(w[b + 1 : b + n], ' ') AS t FROM k),
+    d AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents),
+    p AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS b FROM d, (SELECT DISTINCT n FROM win)),
+    g AS (SELECT doc_id, n, b, array_to_string(w[b + 1 : b + n], ' ') AS t FROM p),
+    h AS (SELECT g.doc_id, g.n, g.b, win.item_id FROM g JOIN win USING (n, t)),
+    c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(b, b + n)) AS pos FROM h) GROUP BY doc_id),
+    l AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+          FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+    SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
+    """,
+)
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.build_index(_table(spark, sf_dir, "documents"))
+    found = decontaminate.contamination(index, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"),
+    )
+
+
 def load() -> tuple[dict, dict]:
     return QUERIES, ORACLES
