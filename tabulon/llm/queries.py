@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm import decontaminate, language, quality, simhash, token_counts
+from tabulon.llm import decontaminate, html_text, language, quality, simhash, token_counts
 from tabulon.llm.registry import ORACLES, QUERIES, query
 
 
@@ -21,6 +21,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    found = pages.select("page_id", "url", html_text.extract(F.col("html")).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op3_token_counts")
 def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     import public_tokenizers

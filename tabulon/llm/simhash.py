@@ -120,6 +120,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = firsts.groupBy("root").agg(F.min("first").alias("least"))
     linked = grouped.join(smallest, "root").select(F.col("node").alias("fp"), "least")
     classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"))
+    classes = materialize(classes, "classes")  # so that the next join reads two plain shuffles and can split a hot one
     return signed.join(classes, "fp").select("id", "fp", "component")
 
 
