@@ -33,4 +33,13 @@ PAGES = (
     _HEAD + '<div class="menu"><p>[30]</p><p>[40]</p></div><div><p>{35}</p><p>{50}</p><p>{16}</p></div><div class="ads"><p>[45]</p></div><div class="comments"><p>[60]</p><p>[14]</p></div>',
     _HEAD + '<section><h2>{4}</h2><p>{26}</p><p>{38}</p><h2>{5}</h2><p>{60}</p><p>{15}</p></section><section><p><a href=1>[6]</a></p><p><a href=2>[8]</a></p><p><a href=3>[12]</a></p></section>',
     _HEAD + "<ul><li>[2]</li><li>[3]</li><li>[2]</li></ul><p>{40}</p><ul><li>{14}</li><li>{22}</li></ul><p>{33}</p><ul><li>[2]</li><li>[1]</li></ul>",
+    _HEAD + _MENU + "<article><h1>{6}</h1><p>{48}</p><p>{3}",
+    _HEAD + '<header><p>[12]</p></header><article><p>{150}</p><p>{9}</p></article>',
+    _HEAD + '<header><h1>[3]</h1></header><article><header><h1>{7}</h1></header><p>{130}</p><ul><li>{5}</li><li>{2}</li></ul></article>',
+    _HEAD + "<form><p>[9]</p></form><main><h2>{4}</h2><p>{85}</p><p>{1}</p><h3>{2}</h3><p>{75}</p></main>",
+    _HEAD + '<div id="content"><h1>{5}</h1><div>{64}</div><div>{2}</div></div>',
+    _HEAD + '<aside><p>[6]</p></aside><article><div>{90}</div><div>{4}</div><aside><p>[8]</p></aside><p>{120}</p><blockquote>{6}</blockquote></article>',
+    _HEAD + '<nav><span>[2]</span></nav><p>{100}</p><p>{30}</p><p>{80}</p><p>{22}',
+    _HEAD + "<header>[3]</header><article><p>{2}</p></article>",
+    _HEAD + '<article><h1>{3}</h1><p>{11}</p><footer>[6]</footer></article><aside><p>[4]</p></aside><article><p>{75}</p><footer>[9]</footer></article><article><p>{95}</p></article>',
 )
