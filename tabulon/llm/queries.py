@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm import decontaminate, html_text, language, quality, simhash, token_counts
+from tabulon.llm import decontaminate, html_text, language, licences, line_runs, mixing, quality, shards, simhash, token_counts
 from tabulon.llm.registry import ORACLES, QUERIES, query
 
 
@@ -42,6 +42,34 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_b
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query(
+    "op4_line_runs",
+    f"""
+    WITH s AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    e AS (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS line FROM s),
+    w AS (SELECT *, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS n FROM e),
+    q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS seq,
+              sum(n) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM w WHERE n > 0),
+    r AS (SELECT a.doc_id, a.seq, min(b.seq) AS last FROM q a JOIN q b ON a.doc_id = b.doc_id AND b.seq >= a.seq
+          AND b.upto - a.upto + a.n >= {line_runs.MIN_WORDS} GROUP BY ALL),
+    k AS (SELECT r.doc_id, r.seq, r.last, string_agg(q.t, chr(10) ORDER BY q.seq) AS run FROM r JOIN q
+          ON r.doc_id = q.doc_id AND q.seq BETWEEN r.seq AND r.last GROUP BY ALL),
+    c AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, seq) AS nth FROM k),
+    g AS (SELECT DISTINCT q.doc_id, q.line FROM c JOIN q ON c.doc_id = q.doc_id AND q.seq BETWEEN c.seq AND c.last WHERE c.nth > 1),
+    o AS (SELECT e.doc_id, count(g.line) AS n_removed, coalesce(string_agg(e.t, chr(10) ORDER BY e.line) FILTER (WHERE g.line IS NULL), '') AS kept
+          FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.line = g.line GROUP BY e.doc_id)
+    SELECT doc_id, n_removed::BIGINT AS n_removed, length(kept)::BIGINT AS n_chars_kept, sha256(kept) AS kept_sha256 FROM o
+    """,
+)
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_runs.drop_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return cut.select(
+        "doc_id", F.col("lines_removed").cast("long").alias("n_removed"), F.length(kept).cast("long").alias("n_chars_kept"),
+        F.sha2(kept, 256).alias("kept_sha256"),
+    )
+
+
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
@@ -63,6 +91,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_sharding")
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard_rows(_table(spark, sf_dir, "documents"), 40)
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BENCH_WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -95,5 +132,36 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_mixing")
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), *[c for c in mixed.columns if c != "id"])
+
+
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(n, a, b.replace("'", "''")) for n, (a, b) in enumerate(licences.TEMPLATES))
+_NOTICE_WORDS = "regexp_extract_all(lower({0}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_PAIRS = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
+
+
+@query(
+    "op10_licence_scan",
+    f"""
+    WITH t AS (SELECT tno, licence, {_PAIRS} AS tg FROM (SELECT tno, licence, {_NOTICE_WORDS.format("wording")} AS w
+               FROM (VALUES {_TEMPLATE_ROWS}) v(tno, licence, wording))),
+    e AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
+    g AS (SELECT doc_id, line, {_PAIRS} AS lg FROM (SELECT doc_id, line, {_NOTICE_WORDS.format("l")} AS w FROM e)),
+    s AS (SELECT doc_id, line, licence, 2 * len(list_intersect(lg, tg))::DOUBLE / (len(lg) + len(tg)) AS dice
+          FROM g JOIN t ON list_has_any(lg, tg)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, licence, line) AS nth FROM s WHERE dice >= {licences.THRESHOLD}),
+    n AS (SELECT doc_id, count(DISTINCT line) AS n_notices FROM k GROUP BY doc_id)
+    SELECT d.doc_id, k.licence, k.dice, k.line::INTEGER AS line, coalesce(n_notices, 0)::BIGINT AS n_notices
+    FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id AND nth = 1 LEFT JOIN n ON d.doc_id = n.doc_id
+    """,
+)
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "licence", "dice", "line", "n_notices")
+
+
 def load() -> tuple[dict, dict]:
     return QUERIES, ORACLES
