@@ -2,7 +2,8 @@
 
 Documents with equal texts are one group and stay together; groups are ordered by their smallest id. A group larger
 than an even share of what is left takes a shard of its own. For the rest the smallest capacity is found by binary
-search, each capacity checked greedily: fill a shard up to the capacity, cut at the last group that fits, go on.
+search, each capacity checked greedily: fill a shard up to the capacity, cut at the last group that fits, go on. Cuts
+are then moved as near to even ones as that capacity allows, so that no shard is left short at the end.
 
 Group ends (running byte totals) stay distributed. The driver sees a summary of at most CELLS ranges: the first and
 last group end in each. A greedy check on it gives a lower and an upper bound of every cut, so a capacity is feasible,
@@ -12,7 +13,7 @@ until the capacity and all cuts are exact: a handful of narrow scans, whatever t
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,13 +45,40 @@ class Summary:
             return self.high[i], self.high[i]
         return max(at, self.low[i]), max(at, self.low[i]) if self.exact[i] else x
 
-    def cuts(self, capacity: int, shards: int, upper: bool) -> list[int]:
+    def first_end(self, x: int) -> tuple[int, int]:
+        """Bounds of the first group end at or after ``x``; the start of the first group counts as one."""
+        if x <= 0:
+            return 0, 0
+        i = bisect_left(self.high, x)
+        if i == len(self.high):
+            return x, x
+        if self.low[i] >= x:
+            return self.low[i], self.low[i]
+        return (self.high[i] if self.exact[i] else x), self.high[i]
+
+    def greedy(self, capacity: int, shards: int, upper: bool) -> list[int]:
+        """Cuts of shards filled up to the capacity one after the other, as bounds from below or above."""
         found, at = [], 0
         for _ in range(shards):
             at = self.last_end(at + capacity, at)[upper]
             found.append(at)
         return found
 
+    def even(self, capacity: int, shards: int, total: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """Bounds of the cuts nearest below the even ones that the capacity allows, and of the earliest possible cuts."""
+        need = [(total, total)]  # the rest behind an earlier cut would not fit the shards that are left
+        for _ in range(shards - 1):
+            low, high = need[-1]
+            need.append((self.first_end(low - capacity)[0], self.first_end(high - capacity)[1]))
+        need.reverse()
+        cuts, low, high = [], 0, 0
+        for k in range(shards):
+            goal = total * (k + 1) // shards
+            low = self.last_end(min(low + capacity, max(goal, need[k][0])), low)[0]
+            high = self.last_end(min(high + capacity, max(goal, need[k][1])), high)[1]
+            cuts.append((low, high))
+        return cuts, need
+
 
 def _smallest(feasible, low: int, high: int) -> int:
     while low < high:
@@ -59,25 +87,37 @@ def _smallest(feasible, low: int, high: int) -> int:
     return low
 
 
+def summarise(ends: DataFrame, spans: list[tuple[int, int]], cells: int) -> Summary:
+    """One scan of the group ends within ``spans`` (at most two for each shard)."""
+    width = max(1, -(-sum(b - a + 1 for a, b in spans) // cells))
+    cell, before = F.lit(None).cast("long"), 0
+    for a, b in spans:
+        place = before + F.floor((F.col("upto") - a) / width)
+        cell = F.when((F.col("upto") >= a) & (F.col("upto") <= b), place).otherwise(cell)
+        before += -(-(b - a + 1) // width)
+    inside = ends.select("upto", cell.alias("cell")).where("cell is not null")
+    grouped = inside.groupBy("cell").agg(F.min("upto"), F.max("upto"), F.count(F.lit(1)))
+    return Summary([(r[1], r[2], r[3]) for r in grouped.collect()])
+
+
 def best_cuts(ends: DataFrame, total: int, largest: int, shards: int, cells: int = CELLS) -> list[int]:
-    """Last group end of every shard for the smallest feasible capacity. ``ends`` has the column ``upto``."""
-    spans, low, high = [(0, total)], max(largest, -(-total // shards)), total // shards + largest
+    """Last group end of every shard. ``ends`` has the column ``upto``.
+
+    First the smallest feasible capacity is searched; among the cuts that keep to it, those next below the even ones.
+    """
+    whole = summary = summarise(ends, [(0, total)], cells)
+    low, high = max(largest, -(-total // shards)), total // shards + largest
     while True:
-        width = max(1, -(-sum(b - a + 1 for a, b in spans) // cells))
-        cell, before = F.lit(None).cast("long"), 0
-        for a, b in spans:
-            cell = F.when((F.col("upto") >= a) & (F.col("upto") <= b), before + F.floor((F.col("upto") - a) / width)).otherwise(cell)
-            before += -(-(b - a + 1) // width)
-        inside = ends.select("upto", cell.alias("cell")).where("cell is not null")
-        grouped = inside.groupBy("cell").agg(F.min("upto"), F.max("upto"), F.count(F.lit(1)))
-        summary = Summary([(r[1], r[2], r[3]) for r in grouped.collect()])
-        reach = lambda c, upper: summary.cuts(c, shards, upper)[-1] >= total
-        low = _smallest(lambda c: reach(c, True), low, high)
-        high = _smallest(lambda c: reach(c, False), low, high)
-        first, last = summary.cuts(low, shards, False), summary.cuts(high, shards, True)
-        if low == high and first == last:
-            return first
-        spans = _joined(list(zip(first, last)))
+        low = _smallest(lambda c: summary.greedy(c, shards, True)[-1] >= total, low, high)
+        high = _smallest(lambda c: summary.greedy(c, shards, False)[-1] >= total, low, high)
+        if low == high:
+            break
+        open_cuts = zip(summary.greedy(low, shards, False), summary.greedy(high, shards, True))
+        summary = summarise(ends, _joined(list(open_cuts)), cells)
+    cuts, need = whole.even(low, shards, total)
+    while any(a != b for a, b in cuts):
+        cuts, need = summarise(ends, _joined(cuts + need), cells).even(low, shards, total)
+    return [a for a, _ in cuts]
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
