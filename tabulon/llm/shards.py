@@ -21,7 +21,7 @@ from tabulon.scale.ordering import row_index, running
 from tabulon.scale.storage import materialize
 
 ROW_BYTES = 16  # added to every text
-CELLS = 16_384  # ranges of group ends in a summary
+CELLS = 16_384  # ranges of group ends in a summary, and at least 8 for each pair of shards, so that bounds shrink
 
 
 def text_key(text: Column) -> Column:
@@ -105,6 +105,7 @@ def best_cuts(ends: DataFrame, total: int, largest: int, shards: int, cells: int
 
     First the smallest feasible capacity is searched; among the cuts that keep to it, those next below the even ones.
     """
+    cells = max(cells, 8 * shards * shards)
     whole = summary = summarise(ends, [(0, total)], cells)
     low, high = max(largest, -(-total // shards)), total // shards + largest
     while True:
