@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tabulon.functions.values import bind
+
 THRESHOLD = 0.8
 TEMPLATE_BIGRAMS = 20_000  # bound of the broadcast table; more raise
 
@@ -45,8 +47,9 @@ TEMPLATES = (
 def bigrams(text: Column) -> Column:
     """Distinct hashes of neighbouring words; words are runs of 0-9, a-z and characters beyond ASCII in lower case."""
     words = F.filter(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
-    pairs = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
-    return F.array_distinct(F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+    # Bound once: an expression inside a lambda would be evaluated anew for every word.
+    follow = lambda ws: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(ws, i + 1)))
+    return F.array_distinct(bind(words, follow))
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
