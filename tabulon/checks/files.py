@@ -23,12 +23,12 @@ def awkward(t):
         F.when(k == 0, F.concat(F.lit("a;"), F.col("p_name")))
         .when(k == 1, F.concat(F.lit('say "'), F.col("p_name"), F.lit('"')))
         .when(k == 2, F.concat(F.col("p_name"), F.lit("\nnext")))
-        .otherwise(F.col("p_name"))
+        .otherwise(F.concat(F.lit("  "), F.col("p_name"), F.lit(" ")))
     )
     return t.part.select("p_partkey", name.alias("name"), F.nullif("p_brand", F.lit("Brand#1")).alias("brand"), "p_retailprice", (F.col("p_size") > 25).alias("big"))
 
 
-_AWKWARD = """(SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a;' || p_name WHEN 1 THEN 'say "' || p_name || '"' WHEN 2 THEN p_name || chr(10) || 'next' ELSE p_name END AS name,
+_AWKWARD = """(SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a;' || p_name WHEN 1 THEN 'say "' || p_name || '"' WHEN 2 THEN p_name || chr(10) || 'next' ELSE '  ' || p_name || ' ' END AS name,
  nullif(p_brand, 'Brand#1') AS brand, p_retailprice, p_size > 25 AS big FROM part)"""
 _AS_TEXT = f"""SELECT CAST(p_partkey AS VARCHAR) AS "Column1", name AS "Column2", brand AS "Column3", regexp_replace(CAST(p_retailprice AS VARCHAR), '\\.0$', '') AS "Column4", upper(CAST(big AS VARCHAR)) AS "Column5" FROM {_AWKWARD}"""
 
@@ -153,9 +153,9 @@ def _(t):
     return W.workbook_tables(workbooks(t)).withColumn("columns", F.array_join("columns", ","))
 
 
-@check("src_csv_doc", f"""SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, name, regexp_replace(CAST(p_retailprice AS VARCHAR), '\\.0$', '') AS p_retailprice FROM (SELECT * FROM {_AWKWARD} WHERE p_partkey % 4 <> 2)""")
+@check("src_csv_doc", f"""SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, name, regexp_replace(CAST(p_retailprice AS VARCHAR), '\\.0$', '') AS p_retailprice FROM {_AWKWARD}""")
 def _(t):
-    d = awkward(t).where(F.col("p_partkey") % 4 != 2).select("p_partkey", "name", "p_retailprice")
+    d = awkward(t).select("p_partkey", "name", "p_retailprice")
     return D.read_csv_document(t.spark, written(t, d, ",", header=True))
 
 
@@ -189,12 +189,17 @@ def _folder(t):
     return path
 
 
-@check("src_folder", """SELECT c_mktsegment AS segment, '.txt' AS "Extension", count(*) AS lines FROM customer GROUP BY 1""")
+@check("src_folder", """SELECT '.txt' AS "Extension", c_name AS line, true AS named, count(*) AS n FROM customer GROUP BY 2""")
 def _(t):
-    files = S.list_folder(t.spark, _folder(t))
-    text = t.spark.read.text(_folder(t))
-    seen = files.where(F.col("Extension") == ".txt").agg(F.first("Extension")).scalar()
-    return text.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("lines")).withColumn("Extension", seen)
+    files = S.list_folder(t.spark, _folder(t)).where(F.col("Extension") == ".txt")
+    line = F.explode(F.split(F.regexp_replace(F.col("Content").cast("string"), "\n$", ""), "\n"))
+    read = files.select("Extension", F.col("Name").rlike(r"^part-.*[.]txt$").alias("named"), line.alias("line"))
+    return read.groupBy("Extension", "line", "named").agg(F.count(F.lit(1)).alias("n"))
+
+
+@check("src_blank", "SELECT r_name AS \"Column1\" FROM region")
+def _(t):
+    return S.blank_source(t.spark).unionByName(t.region.select(F.col("r_name").alias("Column1")))
 
 
 @check("src_file", "SELECT CAST(sum(length(c_name) + 1) AS BIGINT) AS bytes FROM customer")

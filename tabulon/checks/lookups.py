@@ -5,16 +5,15 @@ from pyspark.sql import functions as F
 from tabulon.checks.registry import check
 from tabulon.operators import joins as J
 
-# Customers keyed 0.. with orders for only some of them, so every outer kind has unmatched rows.
-_C = "(SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0)"
-_O = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F')"
+# Order keys are shifted, so that whole tables have unmatched rows on both sides.
+_C = "(SELECT c_custkey, c_name FROM customer)"
+_O = "(SELECT o_orderkey, o_custkey + 40 AS o_custkey, o_totalprice FROM orders)"
 _COLS = 'c.c_custkey, c.c_name, o.o_orderkey AS "Orders.o_orderkey", o.o_custkey AS "Orders.o_custkey", o.o_totalprice AS "Orders.o_totalprice"'
 
 
 def sides(t):
-    c = t.customer.where("c_acctbal > 0").select("c_custkey", "c_name")
-    o = t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_totalprice")
-    return c, o
+    c = t.customer.select("c_custkey", "c_name")
+    return c, t.orders.select("o_orderkey", (F.col("o_custkey") + 40).alias("o_custkey"), "o_totalprice")
 
 
 def _merge(kind):
@@ -44,7 +43,8 @@ check(
 )
 def _(t):
     c, o = sides(t)
-    return J.merge(c, o, "c_custkey", "o_custkey", "left", "Orders").drop("Orders.o_custkey")
+    nested = J.merge_nested(c, o, "c_custkey", "o_custkey", "all")
+    return J.expand_nested(nested, "all", ["o_orderkey", "o_totalprice"], "Orders")
 
 
 @check(

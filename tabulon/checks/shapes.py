@@ -7,6 +7,11 @@ from tabulon.operators import shaping as S
 from tabulon.scale.ordering import row_index
 
 
+def in_order(df):
+    """``df`` with the place of each row in its own output order."""
+    return row_index(df.withColumn("__made", F.monotonically_increasing_id()), ["__made"], "pos", 1).drop("__made")
+
+
 @check(
     "o_sort_multi",
     """SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS seg, c_acctbal,
@@ -15,9 +20,8 @@ from tabulon.scale.ordering import row_index
 def _(t):
     seg = F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment"))
     d = t.customer.select("c_custkey", seg.alias("seg"), "c_acctbal")
-    keys = [F.expr("nullif(seg, '')").asc_nulls_last(), F.col("c_acctbal").desc_nulls_last(), F.col("c_custkey")]
     ordered = S.sort_multi(d, [("seg", True), ("c_acctbal", False)], ["c_custkey"])
-    return row_index(ordered, keys, "pos", 1).withColumn("seg", F.expr("nullif(seg, '')"))
+    return in_order(ordered).withColumn("seg", F.expr("nullif(seg, '')"))
 
 
 @check(
@@ -34,7 +38,7 @@ def _(t):
         .otherwise(F.concat_ws(" ", "p_brand", "p_size"))
     )
     d = t.part.select("p_partkey", label.alias("label"))
-    return row_index(d, [*S.mixed_sort_key(F.col("label")), F.col("p_partkey")], "pos", 1)
+    return in_order(S.sort_mixed(d, "label", ["p_partkey"]))
 
 
 @check(
@@ -71,9 +75,7 @@ def _(t):
  (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY 1, 2)""",
 )
 def _(t):
-    d = t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-    unique = S.unique_rows(t.events.select("event_id", "user_id", "event_type"), ["event_id"])
-    return row_index(unique.join(d, ["user_id", "event_type"]), ["event_id"], "pos", 1).drop("event_id")
+    return in_order(S.unique_rows(t.events.select("event_id", "user_id", "event_type"), ["event_id"]))
 
 
 @check(
@@ -83,7 +85,7 @@ def _(t):
 def _(t):
     keys = [F.col("p_retailprice").desc()]
     d = S.sort_by(t.part.select("p_partkey", "p_name", "p_retailprice"), keys, ["p_partkey"])
-    return row_index(d, [*keys, F.col("p_partkey")], "pos", 1).drop("p_retailprice")
+    return in_order(d).drop("p_retailprice")
 
 
 @check("d_filter", "SELECT event_id, value FROM events WHERE event_id % 3 <> 0")
@@ -170,6 +172,13 @@ def _(t):
     return S.expand(d, 2 * d.count(), ["extra"], ["s_suppkey"], pad="0")
 
 
-@check("d_rand")
+@check(
+    "d_rand",
+    """SELECT o_orderkey, true AS in_range, true AS repeatable, (SELECT count(*) > 0 FROM orders) AS spread FROM orders""",
+)
 def _(t):
-    return S.random_column(t.orders.select("o_orderkey"), "r", seed=7)
+    d = S.random_column(t.orders.select("o_orderkey"), "r", 7, 2.0, 5.0)
+    d = S.random_column(S.random_column(d, "again", 7, 2.0, 5.0), "other", 8, 2.0, 5.0)
+    differ = d.agg((F.count_if(F.col("r") != F.col("other")) > 0.9 * F.count(F.lit(1)))).scalar()
+    inside = (F.col("r") >= 2) & (F.col("r") < 5)
+    return d.select("o_orderkey", inside.alias("in_range"), (F.col("r") == F.col("again")).alias("repeatable"), differ.alias("spread"))

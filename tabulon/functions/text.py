@@ -20,10 +20,9 @@ def upper(c: Column) -> Column:
 
 def _nth(text: Column, find: Column, n: int) -> Column:
     """1-based position of the n-th occurrence, overlapping ones counted; 0 when there are fewer."""
-    pos = _locate(find, text, F.lit(1))
-    for _ in range(n - 1):
-        pos = F.when(pos > 0, _locate(find, text, pos + 1)).otherwise(F.lit(0))
-    return pos
+    # One step per occurrence over a single accumulator; -1 marks that the occurrences ran out.
+    step = lambda at, _: F.when(at < 0, at).otherwise(F.coalesce(F.nullif(_locate(find, text, at + 1), F.lit(0)), F.lit(-1)))
+    return F.greatest(F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), step), F.lit(0))
 
 
 def _locate(find: Column, text: Column, start: Column) -> Column:

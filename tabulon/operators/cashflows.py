@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.values import finite
 from tabulon.scale.ordering import OrderKey, running
-from tabulon.scale.skew import attach, hot_keys
+from tabulon.scale.skew import attach
 from tabulon.scale.storage import materialize
 
-# Starting guess and search range for rates.
-GUESS, LOWEST, HIGHEST = 0.1, -0.9999, 10.0
-_GRID = 12
-_PASSES = 6
+# Starting guess and lowest rate searched.
+GUESS, LOWEST = 0.1, -0.9999
+_GRID = 40  # trial rates in a pass
+_CLOSE = 1e-6  # bracket width, as a share of 1 + rate, from which one secant step finishes
 
 
 def numbered(df: DataFrame, amount: str, order_by: Sequence[OrderKey], by: Sequence[str] = (), name: str = "period") -> DataFrame:
@@ -85,9 +85,8 @@ def xirr(
 
 def _first_rates() -> list[str]:
     # Denser near the guess, where the bracket closest to it is wanted.
-    half = _GRID // 2
-    low = [LOWEST + (GUESS - LOWEST) * (k / half) for k in range(half)]
-    high = [GUESS + (HIGHEST - GUESS) * (k / (half - 1)) ** 2 for k in range(half)]
+    low = [LOWEST + (GUESS - LOWEST) * (k / 20) for k in range(20)]
+    high = [GUESS + 10.0 * (k / 20) ** 2 for k in range(20)] + [10.0 ** (k / 2) for k in range(3, 25)]
     return [f"{r!r}D" for r in low + high]
 
 
@@ -99,7 +98,7 @@ def _narrow(sums: DataFrame, by: list[str], rates: list[str]) -> DataFrame:
     """Keep the sign change nearest to the guess, with the worth at both ends."""
     points = ", ".join(f"named_struct('r', {r}, 'y', _y{k})" for k, r in enumerate(rates))
     brackets = f"""filter(
-        zip_with(slice(_p, 1, {_GRID - 1}), slice(_p, 2, {_GRID - 1}), (a, b) -> named_struct(
+        zip_with(slice(_p, 1, {len(rates) - 1}), slice(_p, 2, {len(rates) - 1}), (a, b) -> named_struct(
             'far', greatest(0D, a.r - {GUESS}D, {GUESS}D - b.r), '_lo', a.r, '_hi', b.r, '_ylo', a.y, '_yhi', b.y)),
         x -> signum(x._ylo) * signum(x._yhi) <= 0)"""
     listed = sums.select(*by, F.expr(f"array({points})").alias("_p"))
@@ -112,14 +111,15 @@ def _rate(flows: DataFrame, by: list[str], name: str) -> DataFrame:
         return _rate(flows.withColumn("_all", F.lit(0)), ["_all"], name).drop("_all")
     flows = flows.where(F.col("_v").isNotNull()).groupBy(*by, "_t").agg(F.sum("_v").alias("_v"), F.count("_v").alias("_n"))
     flows = materialize(flows, "flows")
-    hot = hot_keys(flows, by)
     rates = _first_rates()
     sums = flows.groupBy(*by).agg(*_worths(rates), F.sum("_n").alias("_count")).where(F.col("_count") >= 2)
     # One small row per group and pass is written out: plans stay short and a lost executor repeats one pass.
     state = materialize(_narrow(sums, by, rates), "rates")
     trial = [f"(_lo + (_hi - _lo) * {k / (_GRID - 1)!r}D)" for k in range(_GRID)]
-    for _ in range(_PASSES - 1):
-        joined = attach(flows, state.select(*by, "_lo", "_hi"), by, hot=hot).where(F.col("_lo").isNotNull())
+    # Pass by pass until the widest bracket is close; each pass narrows all of them by the same factor.
+    width = F.max((F.col("_hi") - F.col("_lo")) / (1 + F.abs("_lo")))
+    while (state.agg(width).first()[0] or 0) > _CLOSE:
+        joined = attach(flows, state.select(*by, "_lo", "_hi"), by).where(F.col("_lo").isNotNull())
         state = materialize(_narrow(joined.groupBy(*by, "_lo", "_hi").agg(*_worths(trial)), by, trial), "rates")
     root = F.expr("_lo - _ylo * coalesce(try_divide(_hi - _lo, _yhi - _ylo), 0D)")
     return attach(flows.select(*by).distinct(), state.select(*by, finite(root).alias(name)), by, hot=[])

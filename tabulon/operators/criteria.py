@@ -22,7 +22,7 @@ _NUMBER = re.compile(NUMBER_PATTERN)
 def wildcard_pattern(text: str) -> str:
     """Anchored, case-insensitive regular expression: ``*`` any run, ``?`` one character."""
     body = "".join(".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in text)
-    return f"(?i)^{body}$"
+    return rf"(?isu)\A{body}\z"
 
 
 def _compare(op: str, a: Column, b) -> Column:

@@ -1,6 +1,6 @@
 """Merges and lookups (J).
 
-Merges use the salted join, so a key holding a large share of either side is spread over many tasks.
+Merges are one native join each; adaptive execution splits keys that hold a large share of a side.
 Lookups are joins against one row per key; nearest-key lookups are a union, one sort and a carry-forward.
 """
 
@@ -10,19 +10,13 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from tabulon.operators.shaping import dedupe_first
 from tabulon.scale.ordering import OrderKey, order_columns, row_index, running
-from tabulon.scale.skew import attach, salted_join
+from tabulon.scale.skew import attach
 
-_SIDE_JOIN = {
-    "left": "left",
-    "right": "right",
-    "full": "full",
-    "inner": "inner",
-    "left_anti": "left_anti",
-    "right_anti": "right_anti",
-}
+_SIDE_JOIN = ("left", "right", "full", "inner", "left_anti", "right_anti")
 
 
 def merge(
@@ -37,34 +31,18 @@ def merge(
     """Merge two tables on one key each; columns of ``right`` come back as ``name.column``."""
     if how not in _SIDE_JOIN:
         raise ValueError(f"unknown join kind {how!r}")
-    prefixed = right.select(*[F.col(f"`{c}`").alias(f"{name}.{c}") for c in right.columns])
-    other = prefixed.withColumn("_k", F.col(f"`{name}.{right_key}`"))
-    mine = left.withColumn("_k", F.col(left_key))
-    join = lambda a, b, kind: salted_join(_quoted(a), _quoted(b), ["_k"], kind, null_safe=null_safe)
-    if how == "right_anti":
-        unmatched = join(other, mine.select("_k"), "left_anti").drop("_k")
-        return _unquoted(_padded(unmatched, left, first=True))
+    names = [*left.columns, *[f"{name}.{c}" for c in right.columns]]
+    # Plain positional names while joining, so that dots and other marks in column names need no care.
+    mine = left.toDF(*[f"l{i}" for i in range(len(left.columns))])
+    other = right.toDF(*[f"r{i}" for i in range(len(right.columns))])
+    a, b = mine[f"l{left.columns.index(left_key)}"], other[f"r{right.columns.index(right_key)}"]
+    same = a.eqNullSafe(b) if null_safe else a == b
     if how == "left_anti":
-        return _unquoted(join(mine, other.select("_k"), "left_anti").drop("_k"))
-    if how in ("inner", "left"):
-        return _unquoted(join(mine, other, how).drop("_k"))
-    matched = join(mine, other, "left" if how == "full" else "inner").drop("_k")
-    rest = _padded(join(other, mine.select("_k"), "left_anti").drop("_k"), left, first=True)
-    return _unquoted(matched.unionByName(rest))
-
-
-def _quoted(df: DataFrame) -> DataFrame:
-    # Dots in column names need back-ticks everywhere; they are carried as a plain marker until the end.
-    return df.toDF(*[c.replace(".", "·") for c in df.columns])
-
-
-def _unquoted(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.replace("·", ".") for c in df.columns])
-
-
-def _padded(df: DataFrame, like: DataFrame, first: bool) -> DataFrame:
-    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema.fields]
-    return df.select(*blank, *df.columns)
+        return mine.join(other, same, "left_anti").toDF(*left.columns)
+    if how == "right_anti":
+        blank = [F.lit(None).cast(f.dataType) for f in mine.schema.fields]
+        return other.join(mine, same, "left_anti").select(*blank, *other.columns).toDF(*names)
+    return mine.join(other, same, how).toDF(*names)
 
 
 def merge_nested(left: DataFrame, right: DataFrame, left_key: str, right_key: str, column: str = "Merged") -> DataFrame:
@@ -154,6 +132,8 @@ def match_position(
     """1-based position of the key in a vector: ``0`` exact first, ``1`` ascending, ``-1`` descending input."""
     placed = row_index(table.select(*dict.fromkeys([vector, *order_by])), order_by, "_pos", 1)
     if mode == 0:
+        if isinstance(df.schema[key].dataType, StringType) and isinstance(placed.schema[vector].dataType, StringType):
+            return _match_text(df, key, placed, vector, name)
         first = placed.groupBy(F.col(vector).alias("_k")).agg(F.min("_pos").alias(name)).where(F.col("_k").isNotNull())
         return attach(df.withColumn("_k", F.col(key)), first, ["_k"]).drop("_k")
     direction = "backward" if mode == 1 else "forward"
@@ -161,10 +141,35 @@ def match_position(
     return asof(df, key, hits, vector, [name], [name], direction=direction)
 
 
+_PREFIX = 8  # characters of the literal start of a pattern that it is looked up by
+
+
+def _match_text(df: DataFrame, key: str, placed: DataFrame, vector: str, name: str) -> DataFrame:
+    """First position of each text key in any case; ``*`` and ``?`` in a key stand for any run and any character.
+
+    Plain keys meet the vector in an equality join on the lower-case text. Distinct patterns are looked up by the
+    start of their literal part: every text is posted under its first 0 to 8 characters, so that a pattern
+    meets only texts that begin like it.
+    """
+    lower = F.lower(F.col(key))
+    wild = lower.rlike(r"[*?]")
+    texts = placed.where(F.col(vector).isNotNull()).groupBy(F.lower(vector).alias("_t")).agg(F.min("_pos").alias("_p"))
+    plain = texts.select(F.col("_t").alias("_k"), F.lit(False).alias("_w"), F.col("_p").alias(name))
+    patterns = df.where(wild).select(lower.alias("_k")).distinct()
+    patterns = patterns.withColumn("_start", F.substring(F.regexp_extract("_k", r"(?s)\A[^*?]*", 0), 1, _PREFIX))
+    starts = F.transform(F.sequence(F.lit(0), F.least(F.length("_t"), F.lit(_PREFIX))), lambda n: F.substring(F.col("_t"), F.lit(1), n))
+    posted = texts.withColumn("_start", F.explode(starts))
+    like = F.regexp_replace(F.regexp_replace(F.regexp_replace("_k", r"([\\%_])", r"\\$1"), r"\*", "%"), r"\?", "_")
+    met = patterns.withColumn("_like", like).join(posted, "_start").where(F.expr("_t like _like"))
+    found = met.groupBy("_k").agg(F.min("_p").alias(name)).select("_k", F.lit(True).alias("_w"), name)
+    keyed = df.withColumn("_k", lower).withColumn("_w", F.coalesce(wild, F.lit(False)))
+    return attach(keyed, plain.unionByName(found), ["_k", "_w"]).drop("_k", "_w")
+
+
 def wildcard_regex(pattern: str) -> str:
     """Anchored case-insensitive pattern: ``*`` any run, ``?`` one character."""
     body = "".join(".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in pattern)
-    return f"(?is)^{body}$"
+    return rf"(?isu)\A{body}\z"
 
 
 def lookup_wildcard(

@@ -116,11 +116,9 @@ def take(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
 
 def drop_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     """All but the first ``n`` rows, or all but the last ``-n``."""
-    from tabulon.operators.transforms import keep_bottom, remove_top
+    from tabulon.operators.transforms import remove_bottom, remove_top
 
-    if n >= 0:
-        return remove_top(df, n, order_by)
-    return df.join(keep_bottom(df, -n, order_by).select(*order_by), list(order_by), "left_anti")
+    return remove_top(df, n, order_by) if n >= 0 else remove_bottom(df, -n, order_by)
 
 
 def choose_rows(df: DataFrame, positions: Sequence[int], order_by: Sequence[OrderKey]) -> DataFrame:

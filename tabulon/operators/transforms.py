@@ -86,33 +86,27 @@ def _flip(keys: Sequence[OrderKey]) -> list[Column]:
     return [F.col(k).desc() for k in keys]
 
 
-_TOP_N_IN_MEMORY = 100_000
-
-
-def _first_rows(df: DataFrame, n: int, keys: Sequence[Column]) -> DataFrame:
-    # A top-n keeps n rows in memory per task; a larger n takes the row index instead.
-    if n <= _TOP_N_IN_MEMORY:
-        return df.orderBy(*keys).limit(n)
-    return row_index(df, keys, "_i").where(F.col("_i") < n).drop("_i")
-
-
 def keep_top(df: DataFrame, n: int, order_by: Sequence[OrderKey]) -> DataFrame:
-    return _first_rows(df, n, order_columns(order_by))
+    return df.orderBy(*order_columns(order_by)).limit(n)
 
 
 def keep_bottom(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     order_columns(order_by)
-    return _first_rows(df, n, _flip(order_by))
+    return df.orderBy(*_flip(order_by)).limit(n)
+
+
+def skip_rows(df: DataFrame, n: int, keys: Sequence[Column]) -> DataFrame:
+    """All rows but the first ``n`` in ``keys`` order; ties and null keys count like any other row."""
+    return row_index(df, keys, "_i").where(F.col("_i") >= n).drop("_i") if n > 0 else df
 
 
 def remove_top(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
-    """Drop the first ``n`` rows; for small ``n`` by excluding the top-n keys, with no global sort."""
-    keys = order_columns(order_by)
-    if n <= 0:
-        return df
-    if n > _TOP_N_IN_MEMORY:
-        return row_index(df, keys, "_i").where(F.col("_i") >= n).drop("_i")
-    return df.join(_first_rows(df, n, keys).select(*order_by), list(order_by), "left_anti")
+    return skip_rows(df, n, order_columns(order_by))
+
+
+def remove_bottom(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
+    order_columns(order_by)
+    return skip_rows(df, n, _flip(order_by))
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:

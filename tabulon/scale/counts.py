@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.scale.ordering import running
-from tabulon.scale.skew import attach, hot_keys
+from tabulon.scale.skew import attach
 
 
 def value_positions(
@@ -26,7 +26,7 @@ def value_positions(
     counts = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     if sizes and by:
         per_group = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        counts = attach(counts, per_group, by, hot=hot_keys(values, by))
+        counts = attach(counts, per_group, by)
     elif sizes:
         counts = counts.withColumn("n", values.agg(F.count(F.lit(1))).scalar())
     order = F.col("_v") if ascending else F.col("_v").desc()

@@ -1,8 +1,9 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-Hot keys are found with a frequent-items sketch: one narrow scan, a fixed-size partial state per task
-and at most ``1 / share`` hashes returned to the driver. Rows of a hot key get a salt and the matching
-rows of the other side are repeated once per salt. Without hot keys the plan is the plain join.
+By default a join is the plain join and starts no job: adaptive execution splits the partitions of a hot key.
+Where that is not enough (a full outer join, a plan that needs the key's layout afterwards) pass ``hot``, the result
+of ``hot_keys``: a frequent-items sketch, one narrow scan with a fixed-size state per task and at most ``1 / share``
+hashes for the driver. Rows of a hot key then get a salt and the rows that they match are repeated once per salt.
 """
 
 from __future__ import annotations
@@ -37,24 +38,27 @@ def salted_join(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    share: float = 0.02,
-    salts: int = 32,
+    hot: Sequence[int] = (),
+    hot_right: Sequence[int] = (),
+    salts: int | None = None,
     null_safe: bool = False,
 ) -> DataFrame:
     """Join on equally named ``keys``; ``how`` is inner, left, left_semi or left_anti.
 
+    ``hot`` and ``hot_right`` name key hashes to salt on either side, over ``salts`` tasks (default: as many as
+    shuffles have partitions).
+
     Columns of ``right`` other than the keys must not clash with ``left``.
     """
     keys = list(keys)
-    left_hot = hot_keys(left, keys, share)
-    right_hot = hot_keys(right, keys, share) if how in ("inner", "left") else []
-    right_hot = [h for h in right_hot if h not in set(left_hot)]
+    left_hot = list(hot)
+    right_hot = [h for h in hot_right if h not in set(left_hot)] if how in ("inner", "left") else []
     if how in ("left_semi", "left_anti"):
         right = right.select(*keys).distinct()
     probe, build = left, right
     join_keys = keys
     if left_hot or right_hot:
-        probe, build, join_keys = _salt_sides(left, right, keys, how, left_hot, right_hot, salts)
+        probe, build, join_keys = _salt_sides(left, right, keys, how, left_hot, right_hot, salts or _salts(left))
     joined = join_null_safe(probe, build, join_keys, how) if null_safe else probe.join(build, join_keys, how)
     extra = [] if how in ("left_semi", "left_anti") else [c for c in right.columns if c not in keys]
     if right_hot and how == "left":
@@ -63,6 +67,10 @@ def salted_join(
     return joined.select(*left.columns, *extra)
 
 
+def _salts(df: DataFrame) -> int:
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _salt_sides(left, right, keys, how, left_hot, right_hot, salts):
     h = F.xxhash64(*keys)
     every = F.sequence(F.lit(0), F.lit(salts - 1))
@@ -83,12 +91,11 @@ def attach(
 ) -> DataFrame:
     """Add the columns of ``per_key`` (one row per key) to ``left``; null keys match each other.
 
-    ``hot`` takes the result of an earlier :func:`hot_keys` call to save the scan.
+    ``hot`` takes the result of a :func:`hot_keys` call; rows of those keys are salted.
     """
     keys = list(keys)
-    hot = hot_keys(left, keys) if hot is None else hot
     probe, build, join_keys = left, per_key, keys
     if hot:
-        probe, build, join_keys = _salt_sides(left, per_key, keys, how, hot, [], 32)
+        probe, build, join_keys = _salt_sides(left, per_key, keys, how, hot, [], _salts(left))
     joined = join_null_safe(probe, build, join_keys, how)
     return joined.select(*left.columns, *[c for c in per_key.columns if c not in keys])

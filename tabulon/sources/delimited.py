@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabulon.functions.values import NUMBER_PATTERN
 from tabulon.sources.naming import header_names
@@ -38,49 +39,56 @@ def delimiter_of(text: str) -> str:
 def read_delimited(
     spark: SparkSession, path: str, delimiter: str | None = None, hint: str | None = None, columns: int | None = None
 ) -> DataFrame:
-    """Text cells named ``Column1..n``; short rows are padded with nulls and empty fields are null.
+    """Text cells named ``Column1..n``; short rows are padded with nulls, empty fields are null, blank lines are rows.
 
     One splittable pass over the raw lines finds the width and whether any quoted field spans lines; only
     then are files read whole, one task each.
     """
     sep = delimiter or HINTS.get((hint or "").lower()) or sniff_delimiter(spark, path)
+    width, spans_lines = _shape(spark, path, sep)
+    schema = ", ".join(f"Column{i + 1} STRING" for i in range(columns or width))
+    records = _records(spark, path) if spans_lines else spark.read.text(path)
+    # Parsing lines as values keeps blank ones, which the file reader leaves out.
+    cells = F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    return records.select(cells.alias("c")).select("c.*")
+
+
+def _shape(spark: SparkSession, path: str, sep: str) -> tuple[int, bool]:
+    """Most fields in a row, counted outside quoted fields, and whether a quoted field spans lines."""
     lines = spark.read.text(path)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    marks = F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit("")))
-    shape = lines.agg((F.max(marks) + 1).alias("width"), F.max(quotes % 2).alias("odd"), F.max(quotes).alias("quoted")).first()
-    spans_lines = bool(shape["odd"])
-    # The raw count is exact without quotes and an upper bound with them (a record may join several lines).
-    width = columns or (_quoted_width(spark, path, sep, spans_lines) if shape["quoted"] else shape["width"]) or 1
-    return _reader(spark, sep, spans_lines, width).csv(path)
+    seen = lines.agg(F.max(_fields(F.col("value"), sep)).alias("width"), F.max(quotes % 2).alias("odd")).first()
+    if not seen["odd"]:
+        return seen["width"] or 1, False
+    return _records(spark, path).agg(F.max(_fields(F.col("value"), sep))).first()[0] or 1, True
 
 
-def _reader(spark: SparkSession, sep: str, multi_line: bool, width: int):
-    schema = ", ".join(f"Column{i + 1} STRING" for i in range(width))
-    return spark.read.schema(schema).options(
-        sep=sep, quote='"', escape='"', multiLine=multi_line, header=False, mode="PERMISSIVE", enforceSchema=True
-    )
+def _fields(row: Column, sep: str) -> Column:
+    mark = re.escape(sep)
+    bare = F.regexp_replace(row, rf'(^|{mark})"[^"]*+(?:""[^"]*+)*+"', "$1")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
 
 
-def _quoted_width(spark: SparkSession, path: str, sep: str, multi_line: bool) -> int:
-    limit = 16_384
-    probe = 64
-    while True:
-        cells = _reader(spark, sep, multi_line, probe).csv(path)
-        last = F.greatest(F.lit(1), *[F.when(F.col(c).isNotNull(), i + 1).otherwise(0) for i, c in enumerate(cells.columns)])
-        width = cells.agg(F.max(last)).first()[0] or 1
-        if width < probe or probe >= limit:
-            return width
-        probe *= 4
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of whole files: line breaks outside quotes separate them, one break at the end of a file closes the last."""
+    whole = spark.read.text(path, wholetext=True)
+    even = lambda part, i: F.when(i % 2 == 0, F.regexp_replace(part, r"\r\n|\r|\n", "\u001e")).otherwise(part)
+    marked = F.array_join(F.transform(F.split("value", '"', -1), even), '"')
+    return whole.select(F.explode(F.split(F.regexp_replace(marked, "\u001e\\z", ""), "\u001e")).alias("value"))
 
 
 def read_csv_document(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """Headed CSV as text columns: the first row names them. Names are read from one row."""
-    first = spark.read.options(sep=delimiter, quote='"', escape='"', header=False).csv(path).limit(1).first()
-    names = header_names(list(first) if first else [])
-    schema = ", ".join(f"`{n}` STRING" for n in names)
-    return spark.read.schema(schema).options(
-        sep=delimiter, quote='"', escape='"', header=True, enforceSchema=True, mode="PERMISSIVE"
-    ).csv(path)
+    """Headed CSV as text columns: the first row names them. Names are read from one row.
+
+    Rows longer than the header keep their cells under default names; quoted fields may hold line breaks.
+    """
+    width, spans_lines = _shape(spark, path, delimiter)
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": spans_lines}
+    first = spark.read.options(**options, header=False).csv(path).limit(1).first()
+    cells = list(first) if first else []
+    names = header_names(cells + [None] * (width - len(cells)))
+    schema = ", ".join("`{}` STRING".format(n.replace("`", "``")) for n in names)
+    return spark.read.schema(schema).options(**options, header=True, enforceSchema=True, mode="PERMISSIVE").csv(path)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -118,4 +126,4 @@ def write_delimited(df: DataFrame, path: str, delimiter: str = ",", header: bool
     from tabulon.functions.formats import result_text
 
     text = df.select(*[result_text(df, c).alias(c) for c in df.columns])
-    text.write.options(sep=delimiter, quote='"', escape='"', quoteAll=False, header=header, emptyValue="").csv(path)
+    text.write.options(sep=delimiter, quote='"', escape='"', quoteAll=False, header=header, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)

@@ -19,12 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tabulon.functions.dates import duration_to_serial, iso_to_serial
 from tabulon.functions.values import number_text
 
-RAW_CELLS = "path string, sheet string, row int, col int, raw string, value string, formula string"
+RAW_CELLS = "path string, sheet string, row int, col int, raw string, value string, formula string, rows int, cols int"
 TABLES = (
     "path string, sheet string, name string, first_row int, first_col int, last_row int, last_col int, "
     "header boolean, columns array<string>"
 )
-REPEAT_CAP = 1024  # fixed value: most copies of a repeated content cell or row that are expanded
 _CHUNK = 50_000
 
 
@@ -35,7 +34,10 @@ def workbook_files(spark: SparkSession, path: str) -> DataFrame:
 
 def workbook_cells(files: DataFrame) -> DataFrame:
     """``path, sheet, row, col, kind, value, formula`` of every filled cell; kinds are n, s, b and e."""
+    # A repeated row or cell leaves the parser once, with its counts, and is spread out here.
     raw = files.select("path", "content").mapInPandas(_cells_of_batches, RAW_CELLS)
+    raw = raw.withColumn("row", F.explode(F.expr("sequence(row, row + rows - 1)")))
+    raw = raw.withColumn("col", F.explode(F.expr("sequence(col, col + cols - 1)")))
     v = F.col("value")
     serial = F.when(F.col("raw") == "date", iso_to_serial(v)).when(F.col("raw") == "time", duration_to_serial(v))
     kind = (
@@ -133,7 +135,7 @@ def _xlsx_cells(book: zipfile.ZipFile):
             for c in r:
                 at = box(c.get("r", ""))
                 col = at[1] if at else col + 1
-                yield (sheet, row, col, *_xlsx_value(c, shared))
+                yield (sheet, row, col, *_xlsx_value(c, shared), 1, 1)
 
 
 def _xlsx_value(c, shared: list[str]) -> tuple[str, str, str | None]:
@@ -157,9 +159,8 @@ def _ods_cells(book: zipfile.ZipFile):
         for r in (x for x in table.iter() if _local(x.tag) == "table-row"):
             repeat = int(_attr(r, "number-rows-repeated", 1))
             cells = [x for x in _ods_row(r) if x[2] != "" or x[3]]
-            for k in range(min(repeat, REPEAT_CAP) if cells else 0):
-                for col, raw, value, formula in cells:
-                    yield sheet, row + 1 + k, col, raw, value, formula
+            for col, raw, value, formula, cols in cells:
+                yield sheet, row + 1, col, raw, value, formula, repeat, cols
             row += repeat
 
 
@@ -173,8 +174,7 @@ def _ods_row(r):
             raw, value = _ods_value(c)
             formula = _attr(c, "formula")
             if value != "" or formula:
-                for k in range(min(repeat, REPEAT_CAP)):
-                    yield col + 1 + k, raw, value, formula
+                yield col + 1, raw, value, formula, repeat
         col += repeat
 
 
@@ -235,7 +235,7 @@ def _batched(read, columns: list[str]):
     return run
 
 
-_cells_of_batches = _batched(_cells, ["path", "sheet", "row", "col", "raw", "value", "formula"])
+_cells_of_batches = _batched(_cells, ["path", "sheet", "row", "col", "raw", "value", "formula", "rows", "cols"])
 _tables_of_batches = _batched(
     _tables, ["path", "sheet", "name", "first_row", "first_col", "last_row", "last_col", "header", "columns"]
 )

@@ -60,7 +60,9 @@ def test_salted_join_equals_join(spark, skewed, how, hot_side):
     try:
         few = spark.createDataFrame([(f"k{i}", i) for i in range(0, 400, 3)] + [("hot", -1), ("hot", -2), (None, 0)], "k string, w int")
         a, b = (skewed.select("k", "id"), few) if hot_side == "left" else (few, skewed.select("k", "id"))
-        got = skew.salted_join(a, b, ["k"], how)
+        hot = {"hot": skew.hot_keys(a, ["k"]), "hot_right": skew.hot_keys(b, ["k"])}
+        assert "_salt" not in skew.salted_join(a, b, ["k"], how)._jdf.queryExecution().analyzed().toString()
+        got = skew.salted_join(a, b, ["k"], how, **hot)
         assert sorted(map(str, got.collect())) == sorted(map(str, a.join(b, ["k"], how).select(*got.columns).collect()))
         assert hot_side == "right" and how != "inner" and how != "left" or "_salt" in got._jdf.queryExecution().analyzed().toString()
     finally:
