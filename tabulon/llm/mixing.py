@@ -108,4 +108,4 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
 def take_mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", **settings) -> DataFrame:
     """The rows of ``docs`` that the mix selects; rows with the same id go together, all columns stay."""
     chosen = mix(docs, weights, source_col, id_col, **settings).where("selected").select(F.col("id").alias("__id")).distinct()
-    return docs.join(chosen, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    return docs.join(chosen.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")

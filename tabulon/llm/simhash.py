@@ -132,5 +132,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = near_duplicates(docs, id_col, text_col, width)
     kept = marked.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__kept")).distinct()
     order = W.partitionBy("__kept").orderBy(F.xxhash64(F.col(text_col)), F.col(text_col))
-    found = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")))
+    found = docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("__kept")))
     return found.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*docs.columns)
