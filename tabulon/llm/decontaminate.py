@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.scale.storage import materialize
 
@@ -241,10 +241,13 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-@F.arrow_udf("bigint")
-def _covered(starts: pa.Array, ends: pa.Array) -> pa.Array:
-    pairs = zip(starts.to_pylist(), ends.to_pylist())
-    return pa.array([sum(b - a for a, b in _union(list(zip(s or (), e or ())))) for s, e in pairs], pa.int64())
+def _covered(starts: str, ends: str) -> Column:
+    @F.arrow_udf("bigint")
+    def run(starts: pa.Array, ends: pa.Array) -> pa.Array:
+        pairs = zip(starts.to_pylist(), ends.to_pylist())
+        return pa.array([sum(b - a for a, b in _union(list(zip(s or (), e or ())))) for s, e in pairs], pa.int64())
+
+    return run(starts, ends)
 
 
 def contamination(index: DataFrame, items: DataFrame, item_col: str = "item_id", item_text: str = "text", width: int = WINDOW, within: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
