@@ -29,6 +29,8 @@ def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     weights = {s: w for s, w in weights.items() if w > 0}
     if len(weights) > period:
         raise ValueError(f"{len(weights)} sources do not fit a period of {period} slots")
+    if not weights:
+        return {}
     whole = sum(weights.values())
     exact = {s: w / whole * period for s, w in weights.items()}
     got = {s: max(1, int(x)) for s, x in exact.items()}

