@@ -49,9 +49,13 @@ def result_text(df: DataFrame, column: str) -> Column:
     elif kind.startswith("timestamp"):
         text = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     elif kind.startswith("interval day") or kind == "daytimeinterval":
-        day = F.extract(F.lit("DAY"), c)
-        two = lambda part: F.lpad(F.floor(F.abs(F.extract(F.lit(part), c))).cast("string"), 2, "0")
-        text = F.concat_ws(":", F.concat(day.cast("string"), F.lit("."), two("HOUR")), two("MINUTE"), two("SECOND"))
+        # Whole days towards zero, then the time of day that follows the last midnight.
+        part = lambda p, seconds: F.extract(F.lit(p), c).cast("double") * seconds
+        total = F.floor(part("DAY", 86400) + part("HOUR", 3600) + part("MINUTE", 60) + part("SECOND", 1)).cast("bigint")
+        rest = F.pmod(total, F.lit(86400))
+        two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+        days = (total / 86400).cast("bigint").cast("string")
+        text = F.concat_ws(":", F.concat(days, F.lit("."), two(rest / 3600)), two(rest % 3600 / 60), two(rest % 60))
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit(""))

@@ -118,18 +118,12 @@ def mode(df: DataFrame, column: str, order_by: Sequence[str], by: Sequence[str]
 def kth(df: DataFrame, column: str, k: int, by: Sequence[str] = (), largest: bool = True, name: str = "value") -> DataFrame:
     """k-th largest or smallest value, repeats counted; null when ``k`` is out of range.
 
-    Each task forwards at most ``k`` rows per group; a large ``k`` works from per-value counts instead.
+    Each task forwards at most ``k`` rows per group.
     """
     by, k = list(by), int(k)
     v = numbers(df, column)
     if k < 1:
         return df.groupBy(*by).agg(F.lit(None).cast("double").alias(name))
-    if k > 1000:
-        from tabulon.scale.counts import value_positions
-
-        spots = value_positions(df, v, by, ascending=not largest)
-        hit = (F.col("_upto") >= k) & (F.col("_upto") - F.col("_n") < k)
-        return spots.groupBy(*by).agg(F.max(F.when(hit, F.col("_v"))).alias(name))
     rows = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
     order = F.col("_v").desc() if largest else F.col("_v").asc()
     if not by:

@@ -91,11 +91,14 @@ def asof(
     by: Sequence[str] = (),
     direction: str = "backward",
     ties: str = "last",
+    default=None,
 ) -> DataFrame:
     """Nearest key at or before (``backward``) or at or after (``forward``) each row; exact matches win.
 
     ``by`` names equality columns present on both sides, ``order_by`` the position of a ``table`` row
-    among equal keys, and ``ties`` which of those is returned.
+    among equal keys, and ``ties`` which of those is returned. Rows without a match get ``default`` in every
+    returned column. Rows with a null key take no part in the sort, and equal keys are told apart by a hash of
+    their row, so neither gathers in one range.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(f"unknown direction {direction!r}")
@@ -109,16 +112,22 @@ def asof(
         .groupBy(*by, F.col(table_on).alias("_on"))
         .agg(picked(hit, position).alias("_hit"))
     )
-    left = df.select(*by, F.col(on).alias("_on"), F.struct(*df.columns).alias("_row"))
+    keyed = df.where(F.col(on).isNotNull())
+    left = keyed.select(*by, F.col(on).alias("_on"), F.struct(*df.columns).alias("_row"), _row_hash(df).alias("_mix"))
     kind = candidates.schema["_hit"].dataType
     both = left.withColumn("_hit", F.lit(None).cast(kind)).withColumn("_side", F.lit(1)).unionByName(
-        candidates.withColumn("_row", F.lit(None).cast(left.schema["_row"].dataType)).withColumn("_side", F.lit(0))
+        candidates.withColumns({"_row": F.lit(None).cast(left.schema["_row"].dataType), "_mix": F.lit(0).cast("bigint"), "_side": F.lit(0)})
     )
     along = F.col("_on").asc() if direction == "backward" else F.col("_on").desc()
-    scanned = running(both, by, [along, F.col("_side")], fills={"_near": F.col("_hit")})
+    scanned = running(both, by, [along, F.col("_side"), F.col("_mix")], fills={"_near": F.col("_hit")})
     rows = scanned.where(F.col("_row").isNotNull())
-    near = F.when(F.col("_on").isNotNull(), F.col("_near"))
-    return rows.select("_row.*", *[near[c].alias(c) for c in returns])
+    other = lambda c: F.lit(default).cast(kind[c].dataType)
+    found = rows.select("_row.*", *[F.when(F.col("_near").isNull(), other(c)).otherwise(F.col("_near")[c]).alias(c) for c in returns])
+    return found.unionAll(df.where(F.col(on).isNull()).select("*", *[other(c).alias(c) for c in returns]))
+
+
+def _row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")])
 
 
 def lookup_sorted(df: DataFrame, key: str, table: DataFrame, vector: str, returns: Sequence[str], order_by) -> DataFrame:

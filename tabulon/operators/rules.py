@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabulon.operators.filters import label
 from tabulon.functions.values import to_number
@@ -69,14 +69,24 @@ def top_n(
     """Flag the top or bottom ``rank`` values (or percent of them, rounded up); ties at the cut are in."""
     by = list(by)
     v = F.col(column).cast("double")
-    spots = value_positions(df, v, by, ascending=bottom, sizes=True)
-    wanted = F.ceil(F.lit(rank / 100) * F.col("n")) if percent else F.lit(int(rank))
-    reached = F.when(F.col("_upto") >= F.least(wanted, F.col("n")), F.col("_v"))
-    cut = (F.min(reached) if bottom else F.max(reached)).alias("_cut")
+    edge = F.max if bottom else F.min
+    if percent:
+        # Rows up to the wanted share of a group, from positions of its distinct values.
+        spots = value_positions(df, v, by, ascending=bottom, sizes=True)
+        inside = spots.where(F.col("_upto") - F.col("_n") < F.greatest(F.ceil(F.lit(rank / 100) * F.col("n")), F.lit(1)))
+    else:
+        # The first ``rank`` rows per group; each task forwards no more.
+        order = F.col("_v").asc() if bottom else F.col("_v").desc()
+        valued = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
+        if by:
+            placed = valued.withColumn("_at", F.row_number().over(W.partitionBy(*by).orderBy(order)))
+            inside = placed.where(F.col("_at") <= max(1, int(rank)))
+        else:
+            inside = valued.orderBy(order).limit(max(1, int(rank)))
     if by:
-        df = attach(df, spots.groupBy(*by).agg(cut), by)
+        df = attach(df, inside.groupBy(*by).agg(edge("_v").alias("_cut")), by)
     else:
-        df = df.withColumn("_cut", spots.agg(cut).scalar())
+        df = df.withColumn("_cut", inside.agg(edge("_v")).scalar())
     hit = v <= F.col("_cut") if bottom else v >= F.col("_cut")
     return df.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_cut")
 

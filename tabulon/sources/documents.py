@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -30,9 +31,13 @@ def read_odata(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return pages.select(F.inline(rows))
 
 
-def list_folder(spark: SparkSession, path: str) -> DataFrame:
-    """``Content, Name, Extension`` of every file; the extension keeps its dot and may be empty."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def list_folder(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
+    """``Content, Name, Extension`` of every file; the extension keeps its dot and may be empty.
+
+    ``names`` is a glob of file names that the listing itself applies, so other files are not read.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", names) if names else reader).load(path)
     name = F.url_decode(F.regexp_extract("path", r"([^/]*)$", 1))
     return files.select(F.col("content").alias("Content"), name.alias("Name")).withColumn(
         "Extension", F.regexp_extract("Name", r"(\.[^.]*)$", 1)
@@ -42,7 +47,8 @@ def list_folder(spark: SparkSession, path: str) -> DataFrame:
 def file_contents(spark: SparkSession, path: str, *names: str) -> DataFrame:
     """``Name, Content`` of the files with the given base names; an error when one is missing."""
     wanted = {n.replace("\\", "/").rsplit("/", 1)[-1] for n in names}
-    found = list_folder(spark, path).where(F.col("Name").isin(list(wanted)))
+    plain = all(re.fullmatch(r"[\w. -]+", n) for n in wanted)
+    found = list_folder(spark, path, "{" + ",".join(sorted(wanted)) + "}" if plain else None).where(F.col("Name").isin(list(wanted)))
     present = {r["Name"] for r in found.select("Name").distinct().collect()}
     if wanted - present:
         raise FileNotFoundError(", ".join(sorted(wanted - present)))

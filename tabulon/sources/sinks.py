@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
@@ -21,19 +22,35 @@ def target_table(spark: SparkSession, query: str) -> str | None:
 def load_table(df: DataFrame, query: str) -> int:
     """Replace the query's table with the result; returns the rows it now holds.
 
-    Rows go to a new folder of the warehouse and the table is then pointed at it: nothing is copied
-    twice, readers never see a half-written table and a failing job leaves the old content alone.
+    Rows go to a new folder of the warehouse and the table is then pointed at it, by one catalog change while
+    the schema stays and by a new table where it differs. A failing job leaves the old content alone. The folder that
+    the table had from an earlier load is removed.
     """
     spark = df.sparkSession
     target = target_table(spark, query) or table_name(query)
     folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{target}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     schema = spark.read.parquet(folder).schema
-    spark.sql(f"DROP TABLE IF EXISTS `{target}`")
-    spark.catalog.createTable(target, path=folder, source="parquet", schema=schema)
+    before = _location(spark, target)
+    if before and spark.table(f"`{target}`").schema == schema and not spark.catalog.getTable(target).tableType == "VIEW":
+        spark.sql(f"ALTER TABLE `{target}` SET LOCATION '{folder}'")
+        spark.catalog.refreshTable(f"`{target}`")
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS `{target}`")
+        spark.catalog.createTable(target, path=folder, source="parquet", schema=schema)
+    if before and re.search(rf"/{re.escape(target)}-[0-9a-f]{{32}}/?$", before):
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
     return spark.table(f"`{target}`").count()
 
 
+def _location(spark: SparkSession, target: str) -> str | None:
+    if not spark.catalog.tableExists(f"`{target}`"):
+        return None
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED `{target}`").where("col_name = 'Location'").first()
+    return described["data_type"] if described else None
+
+
 def refresh(
     spark: SparkSession, queries: Mapping[str, Callable[[], object]], flagged: Sequence[str] | None = None
 ) -> DataFrame:

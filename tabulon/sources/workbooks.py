@@ -28,8 +28,10 @@ _CHUNK = 50_000
 
 
 def workbook_files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(F.lower("path").rlike(r"\.(xlsx|xlsm|ods)$")).select("path", "content")
+    """``path, content`` of every workbook in the folder and those below; other files are not read."""
+    either = "*.{[xX][lL][sS][xX],[xX][lL][sS][mM],[oO][dD][sS]}"
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=either).load(path)
+    return files.select("path", "content")
 
 
 def workbook_cells(files: DataFrame) -> DataFrame:
