@@ -89,11 +89,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
     end = min(ends, default=0)
 
     numbered = row_index(rows, ["source", F.xxhash64("id", F.lit(seed)), "id"], "__at")
-    starts = numbered.groupBy("source").agg(F.min("__at").alias("__start"))
     spark = docs.sparkSession
     table = spark.createDataFrame([(s, j, slot, quota[s]) for s, j, slot in plan], "source string, nth int, slot_in long, quota int")
     first = table.where("nth = 0").select("source", "quota")  # one row per scheduled source
-    nth = numbered.join(starts, "source").join(F.broadcast(first), "source", "left")
+    starts = numbered.join(F.broadcast(first), "source").groupBy("source", "quota").agg(F.min("__at").alias("__start"))
+    nth = numbered.join(F.broadcast(starts), "source", "left")  # at most ``period`` rows
     nth = nth.withColumn("__nth", F.col("__at") - F.col("__start"))
     nth = nth.withColumn("block", F.floor(F.col("__nth") / block_rows)).withColumn("place", (F.col("__nth") % block_rows).cast("int"))
     nth = nth.withColumn("nth", (F.col("block") % F.col("quota")).cast("int")).withColumn("period", F.floor(F.col("block") / F.col("quota")))

@@ -127,10 +127,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id names their component: one document of each group, one row if it is repeated.
 
-    Rows with a null id stay only where their whole group has none, and then one of them.
+    Rows with a null id stay only where their whole group has none, and then one row of each fingerprint.
     """
     marked = near_duplicates(docs, id_col, text_col, width)
-    kept = marked.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__kept")).distinct()
-    order = W.partitionBy("__kept").orderBy(F.xxhash64(F.col(text_col)), F.col(text_col))
-    found = docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("__kept")))
-    return found.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*docs.columns)
+    # One shuffle of the texts serves the join and the choice among repeated rows. Survivors grow with the data: no broadcast.
+    kept = marked.where(F.col("id") == F.col("component")).select(F.col("id").alias("__kept")).distinct().hint("merge")
+    named = docs.join(kept, docs[id_col] == kept["__kept"])
+    order = W.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)), F.col(text_col))
+    first = named.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*docs.columns)
+    alone = marked.where("id is null and component is null").select("fp").distinct().withColumnRenamed("fp", "__kept")
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("__fp", fingerprint_udf(width)(F.col(text_col)))
+    nameless = nameless.join(alone, F.col("__fp") == F.col("__kept"))
+    order = W.partitionBy("__fp").orderBy(F.xxhash64(F.col(text_col)), F.col(text_col))
+    return first.unionAll(nameless.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*docs.columns))
