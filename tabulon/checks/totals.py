@@ -205,19 +205,19 @@ def _(t):
     return C.mirr(flows(t), "amount", "period", 0.1, 0.12, ["o_custkey"]).withColumn("mirr", F.round("mirr", 6))
 
 
-# Bisection on a wide range, compared as discounts since rates reach 10^9; exact for a single sign change, which an outlay followed by income has.
+# Bisection on a wide range, compared as r / (2 + r) since rates reach 10^9; exact for a single sign change, which an outlay followed by income has.
 _BISECT = """WITH f AS (SELECT o_custkey, list({{'t': {t}, 'v': amount}}) AS flows, count(*) AS n FROM {src} GROUP BY 1),
 b AS (SELECT o_custkey, n, flows, list_reduce(list_transform(range(120), lambda i: {{'lo': -0.9999, 'hi': 1e12}}),
  lambda s, x: CASE WHEN list_sum(list_transform(flows, lambda p: p.v / pow(1 + (s.lo + s.hi) / 2, p.t))) > 0
   THEN {{'lo': (s.lo + s.hi) / 2, 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': (s.lo + s.hi) / 2}} END) AS s FROM f)
-SELECT o_custkey, CASE WHEN n >= 2 AND s.hi < 9e11 AND s.lo > -0.99989 THEN round(1 - 1 / (1 + (s.lo + s.hi) / 2), 9) END AS {name} FROM b"""
+SELECT o_custkey, CASE WHEN n >= 2 AND s.hi < 9e11 AND s.lo > -0.99989 THEN round((s.lo + s.hi) / (4 + s.lo + s.hi), 9) END AS {name} FROM b"""
 
 
 @check("a_irr", _BISECT.format(t="period", src=_FLOWS, name="irr"))
 def _(t):
     from tabulon.operators import cashflows as C
 
-    return C.irr(flows(t), "amount", "period", ["o_custkey"]).withColumn("irr", F.round(1 - 1 / (1 + F.col("irr")), 9))
+    return C.irr(flows(t), "amount", "period", ["o_custkey"]).withColumn("irr", F.round(F.col("irr") / (2 + F.col("irr")), 9))
 
 
 @check(
@@ -227,4 +227,4 @@ def _(t):
 def _(t):
     from tabulon.operators import cashflows as C
 
-    return C.xirr(flows(t), "amount", "o_orderdate", ["o_orderdate", "o_orderkey"], ["o_custkey"]).withColumn("xirr", F.round(1 - 1 / (1 + F.col("xirr")), 9))
+    return C.xirr(flows(t), "amount", "o_orderdate", ["o_orderdate", "o_orderkey"], ["o_custkey"]).withColumn("xirr", F.round(F.col("xirr") / (2 + F.col("xirr")), 9))
