@@ -17,8 +17,8 @@ from tabulon.scale.storage import materialize
 
 # Starting guess and lowest rate searched.
 GUESS, LOWEST = 0.1, -0.9999
-_GRID = 40  # trial rates in a pass
-_CLOSE = 1e-6  # bracket width, as a share of 1 + rate, from which one secant step finishes
+_GRID = 14  # trial rates in a pass
+_CLOSE = 1e-5  # width of a bracket of discount factors from which one secant step finishes
 
 
 def numbered(df: DataFrame, amount: str, order_by: Sequence[OrderKey], by: Sequence[str] = (), name: str = "period") -> DataFrame:
@@ -85,8 +85,8 @@ def xirr(
 
 def _first_rates() -> list[str]:
     # Denser near the guess, where the bracket closest to it is wanted.
-    low = [LOWEST + (GUESS - LOWEST) * (k / 20) for k in range(20)]
-    high = [GUESS + 10.0 * (k / 20) ** 2 for k in range(20)] + [10.0 ** (k / 2) for k in range(3, 25)]
+    low = [LOWEST + (GUESS - LOWEST) * (k / 6) for k in range(6)]
+    high = [GUESS + 10.0 * (k / 6) ** 2 for k in range(7)] + [10.0**k for k in (2, 4, 6, 8, 10, 12)]
     return [f"{r!r}D" for r in low + high]
 
 
@@ -117,9 +117,11 @@ def _rate(flows: DataFrame, by: list[str], name: str) -> DataFrame:
     state = materialize(_narrow(sums, by, rates), "rates")
     trial = [f"(_lo + (_hi - _lo) * {k / (_GRID - 1)!r}D)" for k in range(_GRID)]
     # Pass by pass until the widest bracket is close; each pass narrows all of them by the same factor.
-    width = F.max((F.col("_hi") - F.col("_lo")) / (1 + F.abs("_lo")))
+    width = F.max((F.col("_hi") - F.col("_lo")) / (1 + F.col("_lo")) / F.greatest(F.lit(1.0), 1 + F.col("_hi")))
     while (state.agg(width).first()[0] or 0) > _CLOSE:
         joined = attach(flows, state.select(*by, "_lo", "_hi"), by).where(F.col("_lo").isNotNull())
         state = materialize(_narrow(joined.groupBy(*by, "_lo", "_hi").agg(*_worths(trial)), by, trial), "rates")
-    root = F.expr("_lo - _ylo * coalesce(try_divide(_hi - _lo, _yhi - _ylo), 0D)")
+    # Worth is nearly straight in the discount factor 1 / (1 + rate), for far roots too.
+    factor = "1 / (1 + _lo) - _ylo * coalesce(try_divide(1 / (1 + _hi) - 1 / (1 + _lo), _yhi - _ylo), 0D)"
+    root = F.expr(f"try_divide(1D, {factor}) - 1")
     return attach(flows.select(*by).distinct(), state.select(*by, finite(root).alias(name)), by, hot=[])
