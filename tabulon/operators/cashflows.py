@@ -18,7 +18,7 @@ from tabulon.scale.storage import materialize
 # Starting guess and lowest rate searched.
 GUESS, LOWEST = 0.1, -0.9999
 _GRID = 14  # trial rates in a pass
-_CLOSE = 1e-5  # width of a bracket of discount factors from which one secant step finishes
+_CLOSE = 1e-6  # width of a bracket of discount factors from which one secant step finishes
 
 
 def numbered(df: DataFrame, amount: str, order_by: Sequence[OrderKey], by: Sequence[str] = (), name: str = "period") -> DataFrame:
