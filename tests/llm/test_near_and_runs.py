@@ -83,6 +83,12 @@ def test_near_copies_of_odd_rows(spark, table):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_first(docs.limit(0)).count() == 0
 
 
+def test_groups_without_any_id_keep_one_row(spark, table):
+    same, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = table("doc_id long, text string", (None, same), (None, same), (None, other), (4, "a b c d e f"), (None, "a b c d e f"))
+    assert Counter(tuple(r) for r in simhash.keep_first(docs).collect()) == Counter([(None, same), (None, other), (4, "a b c d e f")])
+
+
 def test_fingerprint_of_long_and_short_texts():
     long = " ".join(f"w{i % 997}" for i in range(200_000))
     assert simhash.fingerprint(long[:4000].encode()) & (1 << 64) - 1 == _fingerprint(long[:4000])
