@@ -22,7 +22,11 @@ def spark(tmp_path_factory):
     )
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("OFF")
+    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
+    from tabulon.scale.storage import clear_scratch
+
+    clear_scratch(session)
     session.stop()
 
 
