@@ -18,11 +18,11 @@ def spark(tmp_path_factory):
         .config("spark.ui.showConsoleProgress", "false")
         # Keep small inputs in several ranges, so that borders between them are exercised.
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
     )
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("OFF")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     from tabulon.scale.storage import clear_scratch
 
