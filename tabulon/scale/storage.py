@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,9 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    fallback = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    if not _fallback:  # the setting itself is fixed once a session runs
+        _fallback.append(tempfile.mkdtemp(prefix="spark-"))
+    return _fallback[0]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
