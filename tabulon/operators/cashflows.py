@@ -18,7 +18,7 @@ from tabulon.scale.storage import materialize
 # Starting guess and lowest rate searched.
 GUESS, LOWEST = 0.1, -0.9999
 _GRID = 14  # trial rates in a pass
-_CLOSE = 1e-6  # width of a bracket of discount factors from which one secant step finishes
+_CLOSE = 1e-6  # width of a bracket, of discount factors above zero, from which one secant step finishes
 
 
 def numbered(df: DataFrame, amount: str, order_by: Sequence[OrderKey], by: Sequence[str] = (), name: str = "period") -> DataFrame:
@@ -117,11 +117,13 @@ def _rate(flows: DataFrame, by: list[str], name: str) -> DataFrame:
     state = materialize(_narrow(sums, by, rates), "rates")
     trial = [f"(_lo + (_hi - _lo) * {k / (_GRID - 1)!r}D)" for k in range(_GRID)]
     # Pass by pass until the widest bracket is close; each pass narrows all of them by the same factor.
-    width = F.max((F.col("_hi") - F.col("_lo")) / (1 + F.col("_lo")) / F.greatest(F.lit(1.0), 1 + F.col("_hi")))
+    wide = lambda c: F.greatest(F.lit(1.0), 1 + F.col(c))
+    width = F.max((F.col("_hi") - F.col("_lo")) / wide("_lo") / wide("_hi"))
     while (state.agg(width).first()[0] or 0) > _CLOSE:
         joined = attach(flows, state.select(*by, "_lo", "_hi"), by).where(F.col("_lo").isNotNull())
         state = materialize(_narrow(joined.groupBy(*by, "_lo", "_hi").agg(*_worths(trial)), by, trial), "rates")
-    # Worth is nearly straight in the discount factor 1 / (1 + rate), for far roots too.
+    # Above zero, worth is nearly straight in the discount factor 1 / (1 + rate), for far roots too.
+    near = "_lo - _ylo * coalesce(try_divide(_hi - _lo, _yhi - _ylo), 0D)"
     factor = "1 / (1 + _lo) - _ylo * coalesce(try_divide(1 / (1 + _hi) - 1 / (1 + _lo), _yhi - _ylo), 0D)"
-    root = F.expr(f"try_divide(1D, {factor}) - 1")
+    root = F.expr(f"if(_lo < 0, {near}, try_divide(1D, {factor}) - 1)")
     return attach(flows.select(*by).distinct(), state.select(*by, finite(root).alias(name)), by, hot=[])
