@@ -5,14 +5,23 @@ released at slot floor(j / w) and due by slot ceil((j + 1) / w); in every slot t
 deadline goes next. With weights that add up to 1 all blocks then meet their deadlines, so that after any number
 of slots every source is less than one block away from its share.
 
-Weights are multiples of 1 / period, so the schedule repeats itself after one period. Only that period is worked
-out on the driver, a table of ``period`` rows; slots of all later blocks follow by arithmetic on the executors.
+When a due source has no block left, it leaves, and from then on those that still have blocks share its weight: the
+time at which such a source has had v blocks per unit of weight is the number of blocks that all of them have had by
+then, at most what each of them holds. Windows between such times keep their deadlines in the same way.
+
+The schedule is made in one task from a table with one row per source; it holds one entry per source and writes one
+row per block.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tabulon.scale.ordering import row_index
@@ -22,6 +31,8 @@ PERIOD = 1000
 BLOCK_ROWS = 16
 TEMPER = 0.5  # default target weight of a source: its number of rows to this power
 SEED = 42
+_BATCH = 1 << 14  # blocks written at once
+_SCHEDULE = "source string, block long, release long, deadline long, slot long, strict boolean"
 
 
 def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -42,72 +53,111 @@ def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return got
 
 
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the same proportions; weights of zero or less are left out."""
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    unit = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * unit) for s, w in exact.items()}
+
+
+def _earliest_first(names: list[str], window, base: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """``(source, block, release, deadline, slot)`` from slot ``base`` on; ``window(s, j)`` is None past the last block."""
+    waiting = [(base, s, 0) for s in sorted(names)]
+    ready: list[tuple[int, str, int, int]] = []
+    slot = base
+    while waiting or ready:
+        while waiting and waiting[0][0] <= slot:
+            release, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (window(s, j)[1], s, j, release))
+        deadline, s, j, release = heapq.heappop(ready)
+        yield s, j, release, deadline, slot
+        slot += 1
+        if after := window(s, j + 1):
+            heapq.heappush(waiting, (after[0], s, j + 1))
+
+
+def schedule(weight: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int, bool]]:
+    """``(source, block, release, deadline, slot, strict)`` of every block, ``strict`` before a due source has none left."""
+    weight = {s: w for s, w in weight.items() if blocks.get(s, 0) > 0 and w > 0}
+    whole = sum(weight.values())
+    done, base = dict.fromkeys(weight, 0), 0
+    endless = lambda s, j: (j * whole // weight[s], -(-(j + 1) * whole // weight[s]))
+    for s, j, release, deadline, slot in _earliest_first(list(weight), endless, 0):
+        if j == blocks[s]:
+            break
+        yield s, j, release, deadline, slot, True
+        done[s], base = j + 1, slot + 1
+
+    left = {s: blocks[s] - n for s, n in done.items() if n < blocks[s]}
+    leaving = sorted(left, key=lambda s: Fraction(left[s], weight[s]))
+    shared, gone = [sum(weight[s] for s in leaving)], [base]  # weight and blocks once the first i sources have left
+    for s in leaving:
+        shared.append(shared[-1] - weight[s])
+        gone.append(gone[-1] + left[s])
+
+    def window(s: str, j: int) -> tuple[int, int] | None:
+        if j == left[s]:
+            return None
+        at = lambda n: bisect_left(leaving, True, key=lambda o: left[o] * weight[s] >= n * weight[o])
+        a, b = at(j), at(j + 1)
+        return gone[a] + j * shared[a] // weight[s], gone[b] - (-(j + 1) * shared[b] // weight[s])
+
+    for s, j, release, deadline, slot in _earliest_first(leaving, window, base):
+        yield s, done[s] + j, release, deadline, slot, False
+
+
 def one_period(quota: dict[str, int]) -> list[tuple[str, int, int]]:
     """``(source, nth block of the period, slot)`` by earliest deadline first among the released blocks."""
-    period = sum(quota.values())
-    release = lambda s, j: j * period // quota[s]
-    due = lambda s, j: -(-(j + 1) * period // quota[s])
-    waiting = [(0, s, 0) for s in sorted(quota)]
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(s, j), s, j))
-        deadline, s, j = heapq.heappop(ready)
-        assert slot < deadline
-        out.append((s, j, slot))
-        if j + 1 < quota[s]:
-            heapq.heappush(waiting, (release(s, j + 1), s, j + 1))
-    return out
+    return [(s, j, slot) for s, j, _, _, slot, _ in schedule(quota, quota)]
+
 
+def _schedule_table(sizes: DataFrame, weights: dict[str, float] | None, block_rows: int, period: int | None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = {s: n for batch in batches for s, n in zip(batch["source"].to_pylist(), batch["n"].to_pylist())}
+        target = {s: n**TEMPER for s, n in rows.items()} if weights is None else weights
+        whole = whole_weights(target) if period is None else quotas(target, period)
+        planned, names = [], _SCHEDULE.replace(",", "").split()[::2]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*planned), types)], names)
+        for row in schedule(whole, {s: -(-n // block_rows) for s, n in rows.items()}):
+            planned.append(row)
+            if len(planned) == _BATCH:
+                yield pack()
+                planned = []
+        if planned:
+            yield pack()
 
-def _slot(quota: dict[str, int], places: dict[tuple[str, int], int], source: str, block: int) -> int:
-    period = sum(quota.values())
-    return block // quota[source] * period + places[source, block % quota[source]]
+    return sizes.select("source", "n").coalesce(1).mapInArrow(run, _SCHEDULE)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int = PERIOD, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int | None = PERIOD, seed: int = SEED) -> DataFrame:
     """``(id, source, block, release, deadline, slot, place, selected)`` for every row.
 
-    The mix lasts until a source is due whose blocks are used up; rows with an earlier slot are ``selected``.
+    Every row of a source with a weight has a slot. Rows with a slot before a source is due whose blocks are used up are
+    ``selected``: up to there all target weights hold; afterwards the sources that have rows left share the weight.
     Without ``weights`` each source weighs its number of rows to the power TEMPER. Sources without a weight have no
-    slot and are not selected. A null source goes by the empty name. Repeated rows have places of their own. At
-    most ``period`` sources can be scheduled; more raise. An empty table gives an empty result.
+    slot and are not selected. A null source goes by the empty name. Repeated rows have places of their own.
+    Weights are rounded to multiples of 1 / period; more sources than that raise. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
     rows = materialize(rows, "sources")
-    counted = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    if weights is not None:
-        counted = counted.where(F.col("source").isin(list(weights)))
-    sizes = {r["source"]: r["n"] for r in counted.limit(period + 1).collect()}
-    target = {s: n**TEMPER for s, n in sizes.items()} if weights is None else weights
-    quota = quotas({s: w for s, w in target.items()}, period)
-    plan = one_period(quota)
-    places = {(s, j): slot for s, j, slot in plan}
-    ends = [_slot(quota, places, s, -(-sizes.get(s, 0) // block_rows)) for s in quota]
-    end = min(ends, default=0)
+    sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    plan = materialize(_schedule_table(sizes, weights, block_rows, period), "schedule")
 
     numbered = row_index(rows, ["source", F.xxhash64("id", F.lit(seed)), "id"], "__at")
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(s, j, slot, quota[s]) for s, j, slot in plan], "source string, nth int, slot_in long, quota int")
-    first = table.where("nth = 0").select("source", "quota")  # one row per scheduled source
-    starts = numbered.join(F.broadcast(first), "source").groupBy("source", "quota").agg(F.min("__at").alias("__start"))
-    nth = numbered.join(F.broadcast(starts), "source", "left")  # at most ``period`` rows
-    nth = nth.withColumn("__nth", F.col("__at") - F.col("__start"))
+    # The rows are numbered by source, so a source starts after all rows of those before it.
+    starts = materialize(numbered.groupBy("source").agg(F.min("__at").alias("__start")), "starts")  # size known to the planner
+    nth = numbered.join(starts, "source").withColumn("__nth", F.col("__at") - F.col("__start"))
     nth = nth.withColumn("block", F.floor(F.col("__nth") / block_rows)).withColumn("place", (F.col("__nth") % block_rows).cast("int"))
-    nth = nth.withColumn("nth", (F.col("block") % F.col("quota")).cast("int")).withColumn("period", F.floor(F.col("block") / F.col("quota")))
-    placed = nth.join(F.broadcast(table.select("source", "nth", "slot_in")), ["source", "nth"], "left")  # period rows
-    slot = F.col("period") * period + F.col("slot_in")
+    placed = nth.join(plan, ["source", "block"], "left")
     return placed.select(
-        "id", "source", "block",
-        F.expr(f"block * {period} div quota").alias("release"),
-        F.expr(f"((block + 1) * {period} + quota - 1) div quota").alias("deadline"),
-        slot.alias("slot"), "place", F.coalesce(slot < end, F.lit(False)).alias("selected"),
-    )
+        "id", "source", "block", "release", "deadline", "slot", "place", F.coalesce("strict", F.lit(False)).alias("selected")
+    )
 
 
 def take_mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``docs`` that the mix selects; rows with the same id go together, all columns stay."""
-    chosen = mix(docs, weights, source_col, id_col, **settings).where("selected").select(F.col("id").alias("__id")).distinct()
-    return docs.join(chosen.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    """All rows of ``docs`` whose source has a weight, in the order of the mix; rows with the same id go together."""
+    placed = mix(docs, weights, source_col, id_col, **settings).where("slot is not null")
+    first = placed.groupBy(F.col("id").alias("__id")).agg(F.min(F.struct("slot", "place")).alias("__at"))
+    kept = docs.join(first.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")))
+    return kept.repartitionByRange("__at").sortWithinPartitions("__at").select(*docs.columns)

@@ -164,6 +164,24 @@ def test_mix_of_odd_rows(spark, table):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.take_mix(docs.limit(0)).count() == 0
 
 
+def test_mix_keeps_all_rows_when_a_small_source_runs_dry(spark):
+    sizes = {"tiny": 3, "": 1, "big": 1500, "other": 700}
+    docs = spark.createDataFrame([(f"{s}{i}", s or None) for s, n in sizes.items() for i in range(n)], "doc_id string, source string")
+    rows = mixing.mix(docs, block_rows=4).collect()
+    slots = {(r["source"], r["block"]): r["slot"] for r in rows}
+    assert sorted(slots.values()) == list(range(sum(-(-n // 4) for n in sizes.values())))  # a slot each, none empty
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    late = [s for (s, _), slot in sorted(slots.items(), key=lambda x: x[1]) if slot >= 100]
+    share = 1500**0.5 / (1500**0.5 + 700**0.5)
+    assert all(abs(late[:n].count("big") - share * n) < 2 for n in range(1, 200))  # the weight of the small ones is spread
+    taken = mixing.take_mix(docs, block_rows=4)
+    ids = [r["doc_id"] for r in taken.collect()]
+    at = {r["id"]: (r["slot"], r["place"]) for r in rows}
+    assert len(ids) == len(rows) and ids == sorted(ids, key=at.get)
+    given = mixing.take_mix(docs, {"big": 0.9, "other": 0.1, "": 0.0}).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in given} == {"big": 1500, "other": 700}
+
+
 def test_pipeline_against_a_plain_version(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
