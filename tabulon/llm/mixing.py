@@ -130,14 +130,15 @@ def _schedule_table(sizes: DataFrame, weights: dict[str, float] | None, block_ro
     return sizes.select("source", "n").coalesce(1).mapInArrow(run, _SCHEDULE)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int | None = PERIOD, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int | None = None, seed: int = SEED) -> DataFrame:
     """``(id, source, block, release, deadline, slot, place, selected)`` for every row.
 
     Every row of a source with a weight has a slot. Rows with a slot before a source is due whose blocks are used up are
     ``selected``: up to there all target weights hold; afterwards the sources that have rows left share the weight.
     Without ``weights`` each source weighs its number of rows to the power TEMPER. Sources without a weight have no
     slot and are not selected. A null source goes by the empty name. Repeated rows have places of their own.
-    Weights are rounded to multiples of 1 / period; more sources than that raise. An empty table gives an empty result.
+    Weights are taken exactly; only with a ``period`` they are rounded to multiples of 1 / period, and more sources
+    than that raise. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
     rows = materialize(rows, "sources")

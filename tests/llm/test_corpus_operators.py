@@ -164,6 +164,26 @@ def test_mix_of_odd_rows(spark, table):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.take_mix(docs.limit(0)).count() == 0
 
 
+def test_schedule_holds_the_given_weights_over_many_periods():
+    sizes = {"third": 100_000, **{f"s{i}": 10_526 for i in range(19)}}
+    for given in ({s: n**mixing.TEMPER for s, n in sizes.items()}, {"a": 1e-6, "b": 0.3, "c": 0.7 - 1e-6}):
+        weight = mixing.whole_weights(given)
+        whole, done = sum(weight.values()), Counter()
+        for source, block, release, deadline, slot, strict in mixing.schedule(weight, dict.fromkeys(given, 30_000)):
+            if not strict:
+                break
+            assert block == done[source] and release <= slot < deadline
+            done[source] += 1
+            assert all(abs(done[s] * whole - w * (slot + 1)) < whole for s, w in weight.items())
+        assert slot > 40_000
+
+
+def test_mix_of_more_sources_than_a_period_has_slots(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1500).alias("source"))
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 6000 and len({r["slot"] for r in rows}) == 1500 and all(r["selected"] for r in rows)
+
+
 def test_mix_keeps_all_rows_when_a_small_source_runs_dry(spark):
     sizes = {"tiny": 3, "": 1, "big": 1500, "other": 700}
     docs = spark.createDataFrame([(f"{s}{i}", s or None) for s, n in sizes.items() for i in range(n)], "doc_id string, source string")
