@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tabulon.llm import similar
 from tabulon.llm.graph import components
 from tabulon.scale.storage import materialize
 
@@ -105,17 +106,25 @@ def _bit(i):
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, alike: float | None = None) -> DataFrame:
     """``(id, fp, component)`` for every row: ``component`` is the smallest id linked to it, directly or in steps.
 
+    With ``alike``, texts whose five-word shingles have at least that Jaccard coefficient are linked as well.
     Texts without words (null, empty, white space only) have fingerprint 0, which links like any other. A row
     with a null id keeps its row; ids that are null never name a component unless all of its ids are null.
     Repeated rows give repeated results. Other columns are not read. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("txt"))
-    signed = materialize(texts.select("id", fingerprint_udf(width)("txt").alias("fp")), "fingerprints")
+    columns = ["id", fingerprint_udf(width)("txt").alias("fp")]
+    if alike is not None:
+        columns += [F.xxhash64("txt").alias("mark"), similar.band_keys_udf(shingle_hashes)("txt").alias("keys")]
+    signed = materialize(texts.select(*columns), "fingerprints")
     distinct = materialize(signed.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    grouped = components(links(distinct.select("fp")))
+    edges = links(distinct.select("fp"))
+    if alike is not None:
+        marked = texts.select(F.xxhash64("txt").alias("mark"), "txt")
+        edges = edges.unionByName(similar.similar_links(signed, marked, shingle_hashes, threshold=alike))
+    grouped = components(edges)
     firsts = distinct.join(grouped, distinct["fp"] == grouped["node"])
     smallest = firsts.groupBy("root").agg(F.min("first").alias("least"))
     linked = grouped.join(smallest, "root").select(F.col("node").alias("fp"), "least")
@@ -124,12 +133,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return signed.join(classes, "fp").select("id", "fp", "component")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, alike: float | None = None) -> DataFrame:
     """The rows of ``docs`` whose id names their component: one document of each group, one row if it is repeated.
 
     Rows with a null id stay only where their whole group has none, and then one row of each fingerprint.
     """
-    marked = near_duplicates(docs, id_col, text_col, width)
+    marked = near_duplicates(docs, id_col, text_col, width, alike)
     # One shuffle of the texts serves the join and the choice among repeated rows. Survivors grow with the data: no broadcast.
     kept = marked.where(F.col("id") == F.col("component")).select(F.col("id").alias("__kept")).distinct().hint("merge")
     named = docs.join(kept, docs[id_col] == kept["__kept"])

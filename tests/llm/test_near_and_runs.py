@@ -83,6 +83,19 @@ def test_near_copies_of_odd_rows(spark, table):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_first(docs.limit(0)).count() == 0
 
 
+def test_stage_drops_similar_texts_beyond_two_bits(spark, table):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(200)]
+    edit = lambda *at: " ".join(f"new{i}" if i in at else w for i, w in enumerate(base))
+    texts = {1: " ".join(base), 2: edit(10, 70), 3: edit(20, 90, 150), 4: edit(*range(0, 200, 8)), 5: " ".join(base[:190]), 6: "a few words"}
+    prints = {i: _fingerprint(t) for i, t in texts.items()}
+    assert all((prints[1] ^ prints[i]).bit_count() > 2 for i in (2, 3, 4))
+    docs = table("doc_id long, text string", *texts.items(), (7, None), (8, " "))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, SMALL).collect()) == [1, 4, 6, 7]
+    assert simhash.keep_first(docs.limit(0), alike=0.8).count() == 0
+
+
 def test_groups_without_any_id_keep_one_row(spark, table):
     same, other = "one two three four five six", "seven eight nine ten eleven twelve"
     docs = table("doc_id long, text string", (None, same), (None, same), (None, other), (4, "a b c d e f"), (None, "a b c d e f"))
