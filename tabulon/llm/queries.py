@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm import decontaminate, html_text, language, licences, line_runs, mixing, quality, shards, simhash, token_counts
+from tabulon.llm import decontaminate, html_text, language, licences, line_runs, mixing, quality, secret_scan, shards, simhash, token_counts
 from tabulon.llm.registry import ORACLES, QUERIES, query
 
 
@@ -163,5 +163,53 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "licence", "dice", "line", "n_notices")
 
 
+def _found(kind: str) -> str:
+    """SQL rows ``(doc_id, kind, s, e)`` of all fitting matches of a pattern, counted from 0, from ``d(doc_id, text)``."""
+    plain = {"access": ("AKIA[A-Z0-9]+", 20), "hex": ("[0-9a-f]+", 24)}
+    pattern, n = plain.get(kind, (secret_scan.PATTERNS[kind].replace("'", "''"), secret_scan.LEAST.get(kind, 0)))
+    least = f"length(v) >= {secret_scan.LEAST_ASSIGNED}" if kind == "assign" else f"length(m) >= {n}"
+    if kind == "key":
+        least += " AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')"
+    value = f"regexp_extract_all(text, '{pattern}', {2 if kind == 'assign' else 0})"
+    return f"""SELECT doc_id, '{kind}' AS kind, (upto - length(m))::INT AS s, upto::INT AS e FROM (
+        SELECT doc_id, m, v, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (
+        SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS m, unnest({value}) AS v, generate_subscripts(regexp_extract_all(text, '{pattern}'), 1) AS i,
+            unnest(list_slice(string_split_regex(text, '{pattern}'), 1, len(regexp_extract_all(text, '{pattern}')))) AS gap FROM d)) WHERE {least}"""
+
+
+_NEAR = f"a.doc_id = b.doc_id AND a.scope = b.scope AND b.s - a.e <= {secret_scan.REACH} AND a.s - b.e <= {secret_scan.REACH}"
+
+
+@query(
+    "op11_secret_scan",
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    f AS ({" UNION ALL ".join(_found(k) for k in secret_scan.KINDS)}),
+    p AS (SELECT f.*, (length(left(text, s)) - length(replace(left(text, s), chr(10) || chr(10), ''))) // 2 AS scope,
+          list_position({list(secret_scan.KINDS)}, kind) AS rank FROM f JOIN d USING (doc_id)),
+    q AS (SELECT * FROM p a WHERE rank <= 3 OR NOT EXISTS (SELECT 1 FROM p b WHERE a.doc_id = b.doc_id AND b.rank <= 3 AND b.s < a.e AND a.s < b.e)),
+    a AS (SELECT * FROM q a WHERE kind IN ('access', 'ident') AND EXISTS (SELECT 1 FROM q b WHERE {_NEAR} AND b.kind IN ('assign', 'hex', 'key'))),
+    k AS (SELECT * FROM q a WHERE kind IN ('key', 'endpoint') AND EXISTS (SELECT 1 FROM a b WHERE {_NEAR})),
+    r AS (SELECT * FROM q WHERE rank <= 3 UNION ALL SELECT * FROM a WHERE rank > 3 UNION ALL SELECT * FROM k),
+    g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+          count(*) FILTER (WHERE kind = 'hex') AS n_hex, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, rank) AS spans,
+          string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, rank) FILTER (WHERE rank <= 3) AS base FROM r GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN g USING (doc_id)
+    """,
+)
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"), *[count(k) for k in secret_scan.BASE],
+        F.sha2(secret_scan.spans_text(F.col("spans"), secret_scan.BASE), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def load() -> tuple[dict, dict]:
+    from tabulon.llm import conversation_queries  # noqa: F401  registers its own
+
     return QUERIES, ORACLES
