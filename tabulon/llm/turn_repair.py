@@ -123,7 +123,7 @@ def faults_of(text: Column, first: Column) -> Column:
     )
 
 
-def _chunks(rows: DataFrame) -> DataFrame:
+def _chunks(rows: DataFrame, chunk_rows: int) -> DataFrame:
     """One row per chunk of ``rows(at, conv_id, role, text, mark)``: conversations and codes in order, and its borders."""
     wordy = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     firsts = wordy.groupBy("conv_id", "role", "mark").agg(F.min("at").alias("at")).select("at", F.lit(True).alias("first"))
@@ -134,7 +134,7 @@ def _chunks(rows: DataFrame) -> DataFrame:
     marked = faults.join(firsts, "at", "left")
     fault = F.when((F.col("fault") < 3) & F.col("first").isNull(), 2).otherwise(F.col("fault"))
     coded = marked.select("at", "conv_id", (F.col("kind") + _CLASSES * fault).cast("int").alias("code"))
-    chunk = F.floor(F.col("at") / CHUNK_ROWS).alias("chunk")
+    chunk = F.floor(F.col("at") / chunk_rows).alias("chunk")
     lists = coded.groupBy(chunk).agg(F.array_sort(F.collect_list(F.struct("at", "conv_id", "code"))).alias("rows"))
     lists = materialize(lists.select("chunk", F.col("rows.conv_id").alias("convs"), F.col("rows.code").alias("codes")), "chunks")
     border = lists.select(
@@ -146,7 +146,7 @@ def _chunks(rows: DataFrame) -> DataFrame:
     same = lambda own, other, at: other.isNotNull() & own.eqNullSafe(other[at])
     return materialize(
         joined.select(
-            "chunk", "convs", "codes", same(F.col("convs")[0], F.col("prev"), "tail").alias("continued"),
+            "chunk", (F.col("chunk") * chunk_rows).alias("base"), "convs", "codes", same(F.col("convs")[0], F.col("prev"), "tail").alias("continued"),
             same(F.element_at("convs", -1), F.col("next"), "head").alias("continues"), F.col("prev.code").alias("prev_code"),
         ),
         "bordered",
@@ -260,13 +260,13 @@ def trace_chunk(costs: Costs, row: dict) -> Iterator[tuple]:
             pair = None if last is None else (last % _CLASSES, code % _CLASSES)
             last = code
             yield (
-                row["chunk"] * CHUNK_ROWS + at, FAULTS[code // _CLASSES], pair not in (None, (0, 1), (1, 2), (2, 1)), list(inserted), edit,
+                row["base"] + at, FAULTS[code // _CLASSES], pair not in (None, (0, 1), (1, 2), (2, 1)), list(inserted), edit,
                 ROLES[state] if edit == "R" else None, costs.closing(state) if at == high - 1 and not open_end else [],
             )
         low = high
 
 
-def repair(turns: DataFrame) -> DataFrame:
+def repair(turns: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Edits of every row of ``turns(conv_id, turn, role, text)`` in the order of turns.
 
     Returns ``conv_id, at`` (global place), ``turn, role, text, fault`` (blank, duplicate, truncated or null),
@@ -284,7 +284,7 @@ def repair(turns: DataFrame) -> DataFrame:
     )
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
     rows = row_index(plain, order, "at")
-    chunks = _chunks(rows)
+    chunks = _chunks(rows, chunk_rows)
     spanning = materialize(chunks.where("continued or continues"), "spanning")
     behind = _settle(spanning, back_border, SPECULATIVE, END, "continues", 1)
     behind = materialize(spanning.join(behind.withColumnRenamed("into", "behind"), "chunk"), "behind")
