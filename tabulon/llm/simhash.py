@@ -107,7 +107,9 @@ def _bit(i):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, alike: float | None = None) -> DataFrame:
-    """``(id, fp, component)`` for every row: ``component`` is the smallest id linked to it, directly or in steps.
+    """``(id, fp, component, root, mark)`` for every row: ``component`` is the smallest id linked to it, directly or in steps.
+
+    ``root`` is a fingerprint that names the component whatever its ids, ``mark`` a hash of the text.
 
     With ``alike``, texts whose five-word shingles have at least that Jaccard coefficient are linked as well.
     Texts without words (null, empty, white space only) have fingerprint 0, which links like any other. A row
@@ -115,37 +117,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows give repeated results. Other columns are not read. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("txt"))
-    columns = ["id", fingerprint_udf(width)("txt").alias("fp")]
+    columns = ["id", fingerprint_udf(width)("txt").alias("fp"), F.xxhash64("txt").alias("mark")]
     if alike is not None:
-        columns += [F.xxhash64("txt").alias("mark"), similar.band_keys_udf(shingle_hashes)("txt").alias("keys")]
+        columns += [F.xxhash64("id").alias("tag"), similar.band_keys_udf(shingle_hashes)("txt").alias("keys")]
     signed = materialize(texts.select(*columns), "fingerprints")
     distinct = materialize(signed.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     edges = links(distinct.select("fp"))
     if alike is not None:
-        marked = texts.select(F.xxhash64("txt").alias("mark"), "txt")
+        marked = texts.select(F.xxhash64("txt").alias("mark"), F.xxhash64("id").alias("tag"), "txt")
         edges = edges.unionByName(similar.similar_links(signed, marked, shingle_hashes, threshold=alike))
     grouped = components(edges)
     firsts = distinct.join(grouped, distinct["fp"] == grouped["node"])
     smallest = firsts.groupBy("root").agg(F.min("first").alias("least"))
-    linked = grouped.join(smallest, "root").select(F.col("node").alias("fp"), "least")
-    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"))
+    linked = grouped.join(smallest, "root").select(F.col("node").alias("fp"), "least", "root")
+    names = [F.coalesce("least", "first").alias("component"), F.coalesce("root", "fp").alias("root")]
+    classes = distinct.join(linked, "fp", "left").select("fp", *names)
     classes = materialize(classes, "classes")  # so that the next join reads two plain shuffles and can split a hot one
-    return signed.join(classes, "fp").select("id", "fp", "component")
+    return signed.join(classes, "fp").select("id", "fp", "component", "root", "mark")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, alike: float | None = None) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group, one row if it is repeated.
+    """One row of ``docs`` of each group: the one with the smallest id, of those with that id the one of the smallest text hash.
 
-    Rows with a null id stay only where their whole group has none, and then one row of each fingerprint.
+    Ids need not be unique: rows with one id and unlinked texts are groups of their own. A null id counts as the
+    greatest, so a row without id stays only where its whole group has none. Of equal rows one stays.
     """
     marked = near_duplicates(docs, id_col, text_col, width, alike)
-    # One shuffle of the texts serves the join and the choice among repeated rows. Survivors grow with the data: no broadcast.
-    kept = marked.where(F.col("id") == F.col("component")).select(F.col("id").alias("__kept")).distinct().hint("merge")
-    named = docs.join(kept, docs[id_col] == kept["__kept"])
-    order = W.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)), F.col(text_col))
-    first = named.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*docs.columns)
-    alone = marked.where("id is null and component is null").select("fp").distinct().withColumnRenamed("fp", "__kept")
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("__fp", fingerprint_udf(width)(F.col(text_col)))
-    nameless = nameless.join(alone, F.col("__fp") == F.col("__kept"))
-    order = W.partitionBy("__fp").orderBy(F.xxhash64(F.col(text_col)), F.col(text_col))
-    return first.unionAll(nameless.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*docs.columns))
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "mark")).alias("first")
+    kept = marked.groupBy("root").agg(first).select(F.col("first.id").alias("__id"), F.col("first.mark").alias("__mark"))
+    # Survivors grow with the data: no broadcast. Each has an id and hash of its own, so no key is hot but by equal rows.
+    named = docs.withColumn("__hash", F.xxhash64(text_col))
+    named = named.join(kept.hint("merge"), named[id_col].eqNullSafe(kept["__id"]) & (named["__hash"] == kept["__mark"]))
+    plain = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    order = W.partitionBy(id_col, "__hash").orderBy(F.xxhash64(*plain))
+    return named.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*docs.columns)

@@ -60,11 +60,13 @@ def jaccard_udf(shingles, width: int = WIDTH):
 
 
 def similar_links(signed: DataFrame, texts: DataFrame, shingles, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges ``(a, b)`` between ``fp`` values of similar texts, from ``signed(fp, mark, keys)`` and ``texts(mark, txt)``.
+    """Edges ``(a, b)`` between ``fp`` values of similar texts, from ``signed(fp, mark, tag, keys)`` and ``texts(mark, tag, txt)``.
 
-    ``mark`` is a hash of the text. Equal ``fp`` values are linked anyway and not compared.
+    ``mark`` is a hash of the text, ``tag`` one of the id. Equal ``fp`` values are linked anyway and not compared.
+    Texts without words (null texts among them) have no keys and no links here, repeated rows count once. Empty
+    tables give an empty result.
     """
-    each = signed.groupBy("fp", "mark").agg(F.any_value("keys").alias("keys"))  # copies count once
+    each = signed.groupBy("fp", "mark").agg(F.any_value("keys").alias("keys"), F.min("tag").alias("tag"))  # copies count once
     posted = materialize(each.select("fp", "mark", F.explode("keys").alias("key")), "bands")
     member = F.struct(F.xxhash64("mark", "key").alias("order"), "fp", "mark")
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("centre")).where("n > 1")
@@ -72,7 +74,9 @@ def similar_links(signed: DataFrame, texts: DataFrame, shingles, width: int = WI
     pairs = posted.join(lists, "key").where("fp != b").select(F.col("fp").alias("a"), F.col("mark").alias("a_mark"), "b", "b_mark")
     pairs = materialize(pairs.distinct(), "pairs")
     needed = pairs.select(F.col("a_mark").alias("mark")).union(pairs.select("b_mark")).distinct()
-    found = materialize(texts.join(needed, "mark", "left_semi").dropDuplicates(["mark"]), "texts")
+    # One copy of each text is asked for by its id, so that a text with many copies does not meet in one task.
+    needed = each.select("mark", "tag").join(needed, "mark").distinct()
+    found = materialize(texts.join(needed.hint("merge"), ["mark", "tag"], "left_semi").dropDuplicates(["mark"]).drop("tag"), "texts")
     for side in ("a", "b"):
         pairs = pairs.join(found.select(F.col("mark").alias(f"{side}_mark"), F.col("txt").alias(f"{side}_txt")), f"{side}_mark")
     alike = pairs.where(jaccard_udf(shingles, width)("a_txt", "b_txt") >= threshold)

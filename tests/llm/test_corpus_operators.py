@@ -202,32 +202,62 @@ def test_mix_keeps_all_rows_when_a_small_source_runs_dry(spark):
     assert {r["source"]: r["count"] for r in given} == {"big": 1500, "other": 700}
 
 
+def _five_word_sets(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _plain_groups(rows):
+    """Smallest id of every row's group: fingerprints within two bits, or five-word Jaccard of 0.8 and more, over all pairs."""
+    prints = {i: simhash.fingerprint((t or "").encode()) & (1 << 64) - 1 for i, t in rows.items()}
+    sets = {i: _five_word_sets(t) for i, t in rows.items()}
+    up = {i: i for i in rows}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(rows)
+    for at, i in enumerate(ids):
+        for j in ids[at + 1 :]:
+            both = len(sets[i] & sets[j])
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or (both and both / len(sets[i] | sets[j]) >= 0.8):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    return {i: find(i) for i in ids}
+
+
 def test_pipeline_against_a_plain_version(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
     profiles, letter = language.learn_profiles(docs.where(language.fold() != 2)), language.letter_table()
     kept = {i: r for i, r in rows.items() if (g := profiles.nearest(r["text"], letter))[0] != "und" and g[1] >= language.MIN_SCORE}
-    prints = {i: simhash.fingerprint((r["text"] or "").encode()) & (1 << 64) - 1 for i, r in kept.items()}
-    up = {i: i for i in kept}
-    for _ in range(len(kept)):
-        new = {i: min(up[j] for j in kept if (prints[i] ^ prints[j]).bit_count() <= 2) for i in kept}
-        if new == up:
-            break
-        up = new
-    kept = {i: r for i, r in kept.items() if up[i] == i}
+    group = _plain_groups({i: r["text"] for i, r in kept.items()})
+    kept = {i: r for i, r in kept.items() if group[i] == i}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     judged = contaminated([(i, r["text"]) for i, r in kept.items()], items)
     dirty = {i for i, n, hit, _ in judged if hit and 20 * hit >= n}
-    kept = {i: r for i, r in kept.items() if i not in dirty}
-    counts = Counter(r["source"] for r in kept.values())
-    quota = mixing.quotas({s: n**mixing.TEMPER for s, n in counts.items()})
-    slots = _whole_schedule({s: -(-n // mixing.BLOCK_ROWS) for s, n in counts.items()}, quota, mixing.PERIOD)
-    placed = mixing.mix(spark.createDataFrame([(i, r["source"]) for i, r in kept.items()], "doc_id long, source string")).collect()
-    kept = {r["id"]: kept[r["id"]] for r in placed if (r["source"], r["block"]) in slots}
+    kept = {i: r for i, r in kept.items() if i not in dirty}  # the mix orders all of them and drops none
     got = corpus_pipeline.run(spark, SMALL).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(kept) and len(kept) > 100
     assert all(r["text"] == kept[r["doc_id"]]["text"] and 0 <= r["shard"] < 40 for r in got)
     assert set(got[0].asDict()) == {*docs.columns, "shard"}
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += len((r["text"] or "").encode()) + 16
+    largest = max(len((r["text"] or "").encode()) + 16 for r in got)
+    assert max(size.values()) <= sum(size.values()) / 40 + largest
+
+
+def test_unlinked_texts_of_one_id_both_stay(spark, table):
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    docs = table("doc_id long, text string, component int, mark string, m map<string,int>", (1, long, 1, "a", {"k": 1}), (1, other, 2, "b", None), (1, long, 1, "c", None), (2, other, 3, "d", None), (None, other, 4, "e", None), (None, "alone here", 5, "f", None), (None, None, 6, "g", None), (3, "", 7, "h", None))
+    for alike in (None, 0.8):
+        got = simhash.keep_first(docs, alike=alike)
+        assert got.columns == docs.columns
+        assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted([("1", long), ("1", other), ("3", ""), ("None", "alone here")])
+    assert simhash.keep_first(docs.limit(0), alike=0.8).count() == 0
 
 
 def test_pipeline_stages_take_odd_and_empty_tables(spark, table):
