@@ -1,6 +1,6 @@
 """Quality verdicts: base rules and a calibrated logistic regression over hashed words and character n-grams.
 
-A text is the mean weight of its hashed words (shapes included) plus the mean weight of its hashed character n-grams plus a bias; the
+A text is the mean weight of its hashed words plus the mean weight of its hashed character n-grams plus a bias; the
 weights are fitted on a bounded sample of labelled rows, a second fold of the sample calibrates the score to a
 probability (Platt's two parameters), and a fixed threshold gives the verdict. Features are counted over whole texts.
 """
@@ -20,13 +20,14 @@ REPEAT_SHARE = 20  # per cent of the words
 WINDOW = 5
 BUCKET_BITS = 13
 BUCKETS = 1 << BUCKET_BITS  # per kind of feature
-GRAM = 4  # bytes in a character n-gram
+GRAM = 4  # characters (code points) in a character n-gram
 KINDS = 2  # words, character n-grams
 SAMPLE_ROWS = 2_000  # labelled rows that a model is fitted on, at most
 THRESHOLD = 0.5
 _SYMBOLS = b"#*$%&|<>"
 _PART = 1 << 20
 _MIX = np.uint32(0x9E3779B1)  # a prime near 2**32 over the golden ratio
+_STEP = np.uint32(0x01000193)  # an odd factor: distinct short runs of ASCII get distinct numbers
 _KNOWN = 500_000  # words whose buckets a task remembers
 
 
@@ -90,11 +91,12 @@ class Hasher:
             if w not in seen:
                 seen[w] = zlib.crc32(w) % BUCKETS
         yield 0, np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-        for at in range(0, max(len(text) - GRAM + 1, 0), _PART):
-            chars = np.frombuffer(text[at : at + _PART + GRAM - 1], np.uint8).astype(np.uint32)
+        chars_of = text.decode("utf-8", "replace")
+        for at in range(0, max(len(chars_of) - GRAM + 1, 0), _PART):
+            chars = np.frombuffer(chars_of[at : at + _PART + GRAM - 1].encode("utf-32-le", "replace"), np.uint32)
             mixed = chars[: len(chars) - GRAM + 1]
             for i in range(1, GRAM):
-                mixed = (mixed << np.uint32(8)) | chars[i : i + len(mixed)]
+                mixed = mixed * _STEP + chars[i : i + len(mixed)]
             yield 1, (BUCKETS + ((mixed * _MIX) >> np.uint32(32 - BUCKET_BITS))).astype(np.int64)
 
 
@@ -174,11 +176,12 @@ def _platt(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Model from at most ``sample_rows`` labelled rows, those with the smallest hash of the id.
 
+    An id counts once, with its smaller label and the text of the smallest hash, however often either table repeats it.
     Rows with a null id, label or text are left out. The sample is joined by broadcast (its size is the bound)
-    and only its hashed features reach the driver.
+    and only its hashed features reach the driver. Empty tables give a constant model.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    sample = known.orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows)
+    sample = known.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("txt")).where("txt is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +196,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
                 ["mark", "y", "at", "value"],
             )
 
-    joined = texts.join(F.broadcast(sample), "id").select(F.xxhash64("id").alias("mark"), "y", "txt")
+    joined = texts.join(F.broadcast(sample), "id")
+    one = joined.groupBy("id").agg(F.min(F.struct(F.xxhash64("txt").alias("hash"), "txt")).alias("of"), F.min("y").alias("y"))
+    joined = one.select(F.xxhash64("id").alias("mark"), "y", F.col("of.txt").alias("txt"))
     table = joined.mapInArrow(run, "mark bigint, y int, at array<bigint>, value array<double>").toArrow()
     got = sorted(
         (
