@@ -164,8 +164,8 @@ def identify(text: Column, profiles: Profiles) -> Column:
 
 
 def fold(id_col: str = "doc_id") -> Column:
-    """crc32 of the id as text, modulo 4; fold 2 is held out."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
+    """crc32 of the id as text, modulo 4; fold 2 is held out. A null id is in fold 0."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)), F.lit(0).cast("long"))
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
