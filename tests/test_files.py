@@ -2,7 +2,9 @@
 
 import io
 import json
+import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,9 +26,74 @@ def test_sniff(spark, tmp_path, text, mark):
 
 
 def test_ragged_quoted_and_crlf(spark, tmp_path):
-    (tmp_path / "f.csv").write_bytes(b'007,1.10,eur\r\n"say ""hi""","two\nlines"\r\n,"a,b",x,last')
-    got = [tuple(r) for r in D.read_delimited(spark, str(tmp_path)).collect()]
-    assert got == [("007", "1.10", "eur", None), ('say "hi"', "two\nlines", None, None), (None, "a,b", "x", "last")]
+    (tmp_path / "f.csv").write_bytes(b'0042,3.50,kg\r\n"the ""old"" mill","upper\nfloor"\r\n,"k,m",z,end')
+    got = {tuple(r) for r in D.read_delimited(spark, str(tmp_path)).collect()}
+    assert got == {("0042", "3.50", "kg", None), (None, "k,m", "z", "end"), ('the "old" mill', "upper\nfloor", None, None)}
+
+
+def _plain_rows(text):
+    """Rows by a walk over the characters: breaks count where the number of quotes so far is even."""
+    rows, row, quotes, i = [], "", 0, 0
+    while i < len(text):
+        c = text[i]
+        quotes += c == '"'
+        if c in "\r\n" and quotes % 2 == 0:
+            i += c == "\r" and text[i + 1 : i + 2] == "\n"
+            rows.append(row)
+            row = ""
+        else:
+            row += c
+        i += 1
+    return rows + [row] * bool(row)
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rows_are_cut_right_at_any_split(spark, tmp_path, small_splits, seed):
+    rng = random.Random(seed)
+    parts = ["alpha", "b", ",", ",", "\n", "\r\n", "\r", '"x\ny"', '"p\r\nq,""r"""', '"' + "long \n" * 30 + '"', "\u001e", "\u001e1", "ü", "\n\n", '""']
+    want = []
+    for f in range(3):
+        text = "".join(rng.choice(parts[: 7 if f == 2 else 15]) for _ in range(150)) + rng.choice(["", "\n", "end"])
+        (tmp_path / f"{f}.csv").write_bytes(text.encode())
+        want.append(_plain_rows(text))
+    lines = D._lines(spark, str(tmp_path))
+    assert lines.select("file", "block").distinct().count() > 10
+    got = {}
+    for r in D._rows(lines).collect():
+        got.setdefault(r["file"][-5], []).append(r["value"])
+    assert {k: Counter(v) for k, v in got.items()} == {str(f): Counter(rows) for f, rows in enumerate(want)}
+    firsts = {r["file"][-5]: r["value"] for r in D._rows(lines).where("first").collect()}
+    assert firsts == {str(f): rows[0] for f, rows in enumerate(want)}
+    cells = D.read_delimited(spark, str(tmp_path), ",")
+    assert cells.count() == sum(map(len, want))
+
+
+def test_an_open_quote_takes_the_rest_of_the_file(spark, tmp_path, small_splits):
+    body = "\n".join(f"{i},row" for i in range(60))
+    (tmp_path / "f.csv").write_text('a,b\n1,"' + body)
+    got = [tuple(r) for r in D.read_delimited(spark, str(tmp_path), ",").collect()]
+    assert sorted(got) == [("1", body), ("a", "b")]
+
+
+def test_headed_csv_keeps_blank_lines_and_breaks(spark, tmp_path, small_splits):
+    (tmp_path / "a.csv").write_bytes(b'site,site,note\n\nx,1,one\n\ny,2,"two\r\nlines"\n' + b"z,3,more,extra\n" * 20)
+    (tmp_path / "b.csv").write_bytes(b"site,site,note\nw,4,\x1e\n")
+    got = D.read_csv_document(spark, str(tmp_path))
+    assert got.columns == ["site", "site2", "note", "Column4"]
+    rows = Counter(tuple(r) for r in got.collect())
+    assert rows == Counter({(None,) * 4: 2, ("x", "1", "one", None): 1, ("y", "2", "two\r\nlines", None): 1, ("z", "3", "more", "extra"): 20, ("w", "4", "\x1e", None): 1})
+    (tmp_path / "a.csv").write_text("site,site,note\n\nx,1,one\n")
+    (tmp_path / "b.csv").write_text("")
+    assert [tuple(r) for r in D.read_csv_document(spark, str(tmp_path)).collect()] == [(None, None, None), ("x", "1", "one")]
 
 
 def test_hint_beats_sniffing_and_blocks_split(spark, tmp_path):
@@ -45,10 +112,10 @@ def test_types_and_names(table):
 def test_json_odata_folder(spark, tmp_path):
     pages = tmp_path / "pages"
     pages.mkdir()
-    (pages / "1.json").write_text(json.dumps({"value": [{"Product": "Cherries", "Total": 100}], "@odata.nextLink": "2"}, indent=1))
-    (pages / "2.json").write_text(json.dumps({"value": [{"Product": "Apples", "Quantity": 10}]}))
-    got = {r.Product: (r.Quantity, r.Total) for r in S.read_odata(spark, str(pages)).collect()}
-    assert got == {"Cherries": (None, 100), "Apples": (10, None)}
+    (pages / "1.json").write_text(json.dumps({"value": [{"Tool": "Rake", "Total": 31}], "@odata.nextLink": "2"}, indent=1))
+    (pages / "2.json").write_text(json.dumps({"value": [{"Tool": "Spade", "Stock": 7}]}))
+    got = {r.Tool: (r.Stock, r.Total) for r in S.read_odata(spark, str(pages)).collect()}
+    assert got == {"Rake": (None, 31), "Spade": (7, None)}
     (pages / "raw").write_bytes(b"x")
     names = {r.Name: r.Extension for r in S.list_folder(spark, str(pages)).collect()}
     assert names == {"1.json": ".json", "2.json": ".json", "raw": ""}
