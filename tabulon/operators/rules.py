@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabulon.operators.filters import label
 from tabulon.functions.values import to_number
-from tabulon.scale.counts import quantiles, value_positions
+from tabulon.scale.counts import at_ranks, quantiles
 from tabulon.scale.skew import attach
 
 
@@ -71,9 +71,11 @@ def top_n(
     v = F.col(column).cast("double")
     edge = F.max if bottom else F.min
     if percent:
-        # Rows up to the wanted share of a group, from positions of its distinct values.
-        spots = value_positions(df, v, by, ascending=bottom, sizes=True)
-        inside = spots.where(F.col("_upto") - F.col("_n") < F.greatest(F.ceil(F.lit(rank / 100) * F.col("n")), F.lit(1)))
+        # The last row of the wanted share of a group.
+        share = rank / 100
+        nth = lambda n: F.least(F.greatest(F.ceil(F.lit(share) * n), F.lit(1)), n) - 1
+        place = (min(1.0, share), nth) if bottom else (max(0.0, 1 - share), lambda n: n - 1 - nth(n))
+        inside = at_ranks(df, v, [place], by).select(*by, F.col("q")[0].alias("_v"))
     else:
         # The first ``rank`` rows per group; each task forwards no more.
         order = F.col("_v").asc() if bottom else F.col("_v").desc()

@@ -10,7 +10,7 @@ from tabulon.operators import cashflows as C
 from tabulon.operators import joins as J
 from tabulon.operators import series as S
 from tabulon.operators import shaping as O
-from tabulon.scale import skew
+from tabulon.scale import counts, skew
 from tabulon.scale.counts import quantiles
 from tabulon.scale.ordering import row_index, running
 from tabulon.scale.storage import clear_scratch, scratch_path, shared_dir
@@ -135,3 +135,29 @@ def test_rates_of_a_long_series(spark):
 def test_scratch_lives_in_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark)) and spark.conf.get("spark.checkpoint.dir").rstrip("/") == shared_dir(spark)
     clear_scratch(spark)
+
+
+@pytest.mark.parametrize("margin,accuracy,window", [(None, None, None), (0.0, 1, None), (0.2, 20, 3)])
+def test_exact_values_at_ranks(spark, monkeypatch, margin, accuracy, window):
+    for name, given in (("_MARGIN", margin), ("_ACCURACY", accuracy), ("_WINDOW_ROWS", window)):
+        if given is not None:
+            monkeypatch.setattr(counts, name, given)  # brackets that miss, and brackets too wide for a window
+    rng = random.Random(5)
+    groups = {None: [1.5], "one": [3.0] * 40, "few": [2.0, 1.0], "many": [float(rng.randrange(-500, 500)) for _ in range(3000)], "none": [None, None]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(7)
+    ks = [0.0, 0.1, 0.5, 0.95, 1.0]
+
+    def want(values):
+        values = sorted(values)
+        at = [k * (len(values) - 1) for k in ks]
+        return [values[int(a)] + (values[-int(-a // 1)] - values[int(a)]) * (a - int(a)) for a in at]
+
+    got = {r["g"]: (r["n"], r["q"]) for r in counts.quantiles(df, F.col("v"), ks, ["g"]).collect()}
+    assert set(got) == {None, "one", "few", "many"}
+    for g, (n, q) in got.items():
+        assert n == len(groups[g]) and q == pytest.approx(want(groups[g]))
+    every = [v for vs in groups.values() for v in vs if v is not None]
+    r = counts.quantiles(df, F.col("v"), ks).first()
+    assert r["n"] == len(every) and r["q"] == pytest.approx(want(every))
+    assert counts.quantiles(df.limit(0), F.col("v"), ks).first()["n"] is None
+    assert counts.quantiles(df.limit(0), F.col("v"), ks, ["g"]).count() == 0
