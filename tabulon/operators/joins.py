@@ -1,19 +1,20 @@
 """Merges and lookups (J).
 
 Merges are one native join each; adaptive execution splits keys that hold a large share of a side.
-Lookups are joins against one row per key; nearest-key lookups are a union, one sort and a carry-forward.
+Lookups are joins against one row per key; nearest-key lookups match distinct keys range by range.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from tabulon.operators.patterns import first_matches
 from tabulon.operators.shaping import dedupe_first
 from tabulon.scale.ordering import OrderKey, order_columns, row_index, running
+from tabulon.scale.ranges import can_cut, carry_along, range_bounds
 from tabulon.scale.skew import attach
 
 _SIDE_JOIN = ("left", "right", "full", "inner", "left_anti", "right_anti")
@@ -97,39 +98,35 @@ def asof(
 
     ``by`` names equality columns present on both sides, ``order_by`` the position of a ``table`` row
     among equal keys, and ``ties`` which of those is returned. Rows without a match get ``default`` in every
-    returned column. Rows with a null key take no part in the sort, and equal keys are told apart by a hash of
-    their row, so neither gathers in one range.
+    returned column. The distinct keys of both sides are cut into the same ranges and matched range by range; the rows of ``df``
+    move once, to meet their key's match. Rows with a null key take no part.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(f"unknown direction {direction!r}")
     by = list(by)
-    position = F.struct(*[F.col(k) for k in order_by])
     picked = F.min_by if ties == "first" else F.max_by
     hit = F.struct(F.col(table_on).alias("_on"), *returns)
-    # Equal keys collapse to one candidate first, so repeats of a hot key never reach the sort.
-    candidates = (
-        table.where(F.col(table_on).isNotNull())
-        .groupBy(*by, F.col(table_on).alias("_on"))
-        .agg(picked(hit, position).alias("_hit"))
+    # Equal keys collapse first, on both sides: the sort sees each key of a group once, whatever its share of the rows.
+    offered = table.where(F.col(table_on).isNotNull()).select(
+        *by, F.col(table_on).alias("_on"), hit.alias("_hit"), F.struct(*[F.col(k) for k in order_by]).alias("_at"), F.lit(False).alias("_asked")
     )
     keyed = df.where(F.col(on).isNotNull())
-    left = keyed.select(*by, F.col(on).alias("_on"), F.struct(*df.columns).alias("_row"), _row_hash(df).alias("_mix"))
-    kind = candidates.schema["_hit"].dataType
-    both = left.withColumn("_hit", F.lit(None).cast(kind)).withColumn("_side", F.lit(1)).unionByName(
-        candidates.withColumns({"_row": F.lit(None).cast(left.schema["_row"].dataType), "_mix": F.lit(0).cast("bigint"), "_side": F.lit(0)})
-    )
-    along = F.col("_on").asc() if direction == "backward" else F.col("_on").desc()
-    scanned = running(both, by, [along, F.col("_side"), F.col("_mix")], fills={"_near": F.col("_hit")})
-    rows = scanned.where(F.col("_row").isNotNull())
+    blank = [F.lit(None).cast(offered.schema[c].dataType).alias(c) for c in ("_hit", "_at")]
+    asked = keyed.select(*by, F.col(on).alias("_on"), *blank, F.lit(True).alias("_asked"))
+    kind = offered.schema["_hit"].dataType
+    both = offered.unionByName(asked)
+    points = both.groupBy(*by, "_on").agg(picked("_hit", "_at").alias("_hit"), F.max("_asked").alias("_asked"))
+    if can_cut(points.schema["_on"].dataType):
+        near = carry_along(points, by, "_on", "_hit", direction == "backward", bounds=range_bounds(both, "_on"))
+    else:
+        near = running(points, by, [F.col("_on").asc() if direction == "backward" else F.col("_on").desc()], fills={"_near": F.col("_hit")})
+    near = near.where(F.col("_asked") & F.col("_near").isNotNull()).select(*by, "_on", "_near")
     other = lambda c: F.lit(default).cast(kind[c].dataType)
-    found = rows.select("_row.*", *[F.when(F.col("_near").isNull(), other(c)).otherwise(F.col("_near")[c]).alias(c) for c in returns])
+    joined = attach(keyed.withColumn("_on", F.col(on).cast(near.schema["_on"].dataType)), near, [*by, "_on"])
+    found = joined.select(*df.columns, *[F.when(F.col("_near").isNull(), other(c)).otherwise(F.col("_near")[c]).alias(c) for c in returns])
     return found.unionAll(df.where(F.col(on).isNull()).select("*", *[other(c).alias(c) for c in returns]))
 
 
-def _row_hash(df: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")])
-
-
 def lookup_sorted(df: DataFrame, key: str, table: DataFrame, vector: str, returns: Sequence[str], order_by) -> DataFrame:
     """Last row of an ascending vector at or below the key."""
     return asof(df, key, table, vector, returns, order_by)
@@ -150,50 +147,34 @@ def match_position(
     return asof(df, key, hits, vector, [name], [name], direction=direction)
 
 
-_PREFIX = 8  # characters of the literal start of a pattern that it is looked up by
-
-
 def _match_text(df: DataFrame, key: str, placed: DataFrame, vector: str, name: str) -> DataFrame:
     """First position of each text key in any case; ``*`` and ``?`` in a key stand for any run and any character.
 
-    Plain keys meet the vector in an equality join on the lower-case text. Distinct patterns are looked up by the
-    start of their literal part: every text is posted under its first 0 to 8 characters, so that a pattern
-    meets only texts that begin like it.
+    Plain keys meet the vector in an equality join on the lower-case text, distinct patterns through the index of pieces.
     """
     lower = F.lower(F.col(key))
     wild = lower.rlike(r"[*?]")
-    texts = placed.where(F.col(vector).isNotNull()).groupBy(F.lower(vector).alias("_t")).agg(F.min("_pos").alias("_p"))
-    plain = texts.select(F.col("_t").alias("_k"), F.lit(False).alias("_w"), F.col("_p").alias(name))
-    patterns = df.where(wild).select(lower.alias("_k")).distinct()
-    patterns = patterns.withColumn("_start", F.substring(F.regexp_extract("_k", r"(?s)\A[^*?]*", 0), 1, _PREFIX))
-    starts = F.transform(F.sequence(F.lit(0), F.least(F.length("_t"), F.lit(_PREFIX))), lambda n: F.substring(F.col("_t"), F.lit(1), n))
-    posted = texts.withColumn("_start", F.explode(starts))
-    like = F.regexp_replace(F.regexp_replace(F.regexp_replace("_k", r"([\\%_])", r"\\$1"), r"\*", "%"), r"\?", "_")
-    met = patterns.withColumn("_like", like).join(posted, "_start").where(F.expr("_t like _like"))
-    found = met.groupBy("_k").agg(F.min("_p").alias(name)).select("_k", F.lit(True).alias("_w"), name)
+    texts = placed.where(F.col(vector).isNotNull()).select(F.lower(vector).alias("text"), F.col("_pos").alias(name))
+    plain = texts.groupBy(F.col("text").alias("_k")).agg(F.min(name).alias(name)).withColumn("_w", F.lit(False))
+    found = first_matches(texts, df.where(wild).select(lower.alias("pattern")), name)
+    found = found.select(F.col("pattern").alias("_k"), name, F.lit(True).alias("_w"))
     keyed = df.withColumn("_k", lower).withColumn("_w", F.coalesce(wild, F.lit(False)))
     return attach(keyed, plain.unionByName(found), ["_k", "_w"]).drop("_k", "_w")
 
 
-def wildcard_regex(pattern: str) -> str:
-    """Anchored case-insensitive pattern: ``*`` any run, ``?`` one character."""
-    body = "".join(".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in pattern)
-    return rf"(?isu)\A{body}\z"
-
-
 def lookup_wildcard(
-    table: DataFrame, column: str, patterns: Sequence[str], returns: Sequence[str], order_by: Sequence[OrderKey]
+    table: DataFrame, column: str, patterns: Sequence[str] | DataFrame, returns: Sequence[str], order_by: Sequence[OrderKey]
 ) -> DataFrame:
-    """First row matching each pattern, all patterns in one pass over ``table``; no match gives nulls."""
-    text = F.col(column).cast("string")
-    place = F.struct(*order_columns(order_by))
-    hits = [
-        F.min_by(F.struct(*returns), F.when(text.rlike(wildcard_regex(p)), place)).alias(f"h{i}")
-        for i, p in enumerate(patterns)
-    ]
-    found = table.agg(*hits)
-    pairs = F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"h{i}").alias("hit")) for i, p in enumerate(patterns)])
-    return found.select(F.inline(pairs)).select("pattern", *[F.col(f"hit.{c}").alias(c) for c in returns])
+    """First row matching each pattern in any case; no match gives nulls.
+
+    ``patterns`` is a list, or a table with a column ``pattern`` for any number of them; each row of it gives a row.
+    """
+    if not isinstance(patterns, DataFrame):
+        patterns = table.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
+    at = F.struct(F.struct(*order_columns(order_by)).alias("place"), *returns)
+    found = first_matches(table.select(F.lower(F.col(column).cast("string")).alias("text"), at.alias("_hit")), patterns.select(F.lower("pattern").alias("pattern")), "_hit")
+    joined = attach(patterns.select("pattern", F.lower("pattern").alias("_k")), found.withColumnRenamed("pattern", "_k"), ["_k"])
+    return joined.select("pattern", *[F.col("_hit")[c].alias(c) for c in returns])
 
 
 def index_match(

@@ -1,7 +1,10 @@
 """Inputs that shared tables do not hold: ties, blank lines, long repeats, far roots, other alphabets."""
 
 import io
+import random
+import re
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +137,44 @@ def test_substitute_of_a_late_instance(table):
 def test_typed_dates(table, typed, order, serial):
     got = table("s string", (typed,)).select(dates.parse_date(F.col("s"), order)).first()[0]
     assert got == (pytest.approx(serial) if serial is not None else None)
+
+
+def test_patterns_from_a_table_against_every_text(spark):
+    rng = random.Random(11)
+    letters = ["a", "b", "ab", "x%", "_", "\\", "É", "ß", "\x02\x02", "\n", ""]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(6))) for _ in range(150)] + [None]
+    wild = ["".join(rng.choice([*letters, "*", "?", "*", "?"]) for _ in range(rng.randrange(5))) for _ in range(200)]
+    wild += ["*", "**", "?", "??", "?*", "*x*", "*ab*", "a*b", "", "*\x02\x02*", "?????????????*", None, "*", "zzz*"]
+    table = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "i int, v string, _hit string")
+    patterns = spark.createDataFrame([(p,) for p in wild], "pattern string")
+    got = Counter((r["pattern"], r["i"], r["v"]) for r in J.lookup_wildcard(table, "v", patterns, ["i", "v"], ["i"]).collect())
+
+    def first(pattern):
+        if pattern is None:
+            return None, None
+        rx = re.compile("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern.lower()), re.S)
+        return next(((i, t) for i, t in enumerate(texts) if t is not None and rx.fullmatch(t.lower())), (None, None))
+
+    assert got == Counter((p, *first(p)) for p in wild)
+    assert J.lookup_wildcard(table.limit(0), "v", ["a*", "*"], ["i"], ["i"]).count() == 2
+    assert J.lookup_wildcard(table, "v", [], ["i"], ["i"]).count() == 0
+
+
+def test_asof_over_many_ranges_and_key_types(spark, table):
+    rng = random.Random(2)
+    left = [(i, rng.choice([None, "g", "h"]), rng.choice([None, 7, *range(-40, 40)])) for i in range(500)]
+    right = [(p, rng.choice([None, "g"]), rng.choice([None, *range(-60, 60, 3)])) for p in range(120)]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for cast in ("int", "double", "decimal(10,2)", "timestamp", "date", "string"):
+            make = lambda c: F.lpad((F.col(c) + 100).cast("string"), 4, "0") if cast == "string" else F.date_add(F.lit("2020-01-01"), F.col(c)).cast(cast) if cast in ("timestamp", "date") else F.col(c).cast(cast)
+            a = spark.createDataFrame(left, "i int, k string, t int").select("i", "k", make("t").alias("t"))
+            b = spark.createDataFrame(right, "p int, k string, u int").select("p", "k", make("u").alias("u"))
+            for direction in ("backward", "forward"):
+                got = {r["i"]: r["p"] for r in J.asof(a, "t", b, "u", ["p"], ["p"], by=["k"], direction=direction).collect()}
+                sign = 1 if direction == "backward" else -1
+                for i, k, t in left:
+                    near = [(sign * u, p) for p, g, u in right if g == k and u is not None and t is not None and sign * u <= sign * t]
+                    assert got[i] == (max(near)[1] if near else None)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
