@@ -1,7 +1,7 @@
 """Aggregates over cash-flow rows.
 
 Present values are single partial/final aggregates. Internal rates are found by narrowing a grid of trial
-rates with one aggregate per pass, so a series of any length stays distributed.
+rates: within the row of its list for a group of a few thousand dates, with one aggregate per pass for a longer one.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.values import finite
-from tabulon.scale.ordering import OrderKey, running
+from tabulon.scale.ordering import OrderKey, join_null_safe, running
 from tabulon.scale.skew import attach
 from tabulon.scale.storage import materialize
 
 # Starting guess and lowest rate searched.
 GUESS, LOWEST = 0.1, -0.9999
 _GRID = 14  # trial rates in a pass
+_PASSES = 40  # passes after which a list is left as it is; a bracket narrows by 13 in each
+_LISTED = 4096  # dates up to which the flows of a group are one list
 _CLOSE = 1e-6  # width of a bracket, of discount factors above zero, from which one secant step finishes
 
 
@@ -94,36 +96,67 @@ def _worths(rates: list[str]) -> list[Column]:
     return [F.expr(f"sum(_v * power(1D + {r}, -_t))").alias(f"_y{k}") for k, r in enumerate(rates)]
 
 
+def _bracket(points: str, n: int) -> str:
+    """SQL for the sign change nearest to the guess among ``n`` points ``(r, y)``, with the worth at both ends."""
+    return f"""get(transform(array({points}), p -> array_min(filter(
+        zip_with(slice(p, 1, {n - 1}), slice(p, 2, {n - 1}), (a, b) -> named_struct(
+            'far', greatest(0D, a.r - {GUESS}D, {GUESS}D - b.r), '_lo', a.r, '_hi', b.r, '_ylo', a.y, '_yhi', b.y)),
+        x -> signum(x._ylo) * signum(x._yhi) <= 0))), 0)"""
+
+
 def _narrow(sums: DataFrame, by: list[str], rates: list[str]) -> DataFrame:
-    """Keep the sign change nearest to the guess, with the worth at both ends."""
     points = ", ".join(f"named_struct('r', {r}, 'y', _y{k})" for k, r in enumerate(rates))
-    brackets = f"""filter(
-        zip_with(slice(_p, 1, {len(rates) - 1}), slice(_p, 2, {len(rates) - 1}), (a, b) -> named_struct(
-            'far', greatest(0D, a.r - {GUESS}D, {GUESS}D - b.r), '_lo', a.r, '_hi', b.r, '_ylo', a.y, '_yhi', b.y)),
-        x -> signum(x._ylo) * signum(x._yhi) <= 0)"""
-    listed = sums.select(*by, F.expr(f"array({points})").alias("_p"))
-    best = listed.select(*by, F.expr(f"array_min({brackets})").alias("_best"))
+    best = sums.select(*by, F.expr(_bracket(f"array({points})", len(rates))).alias("_best"))
     return best.select(*by, "_best._lo", "_best._hi", "_best._ylo", "_best._yhi")
 
 
-def _rate(flows: DataFrame, by: list[str], name: str) -> DataFrame:
-    if not by:
-        return _rate(flows.withColumn("_all", F.lit(0)), ["_all"], name).drop("_all")
-    flows = flows.where(F.col("_v").isNotNull()).groupBy(*by, "_t").agg(F.sum("_v").alias("_v"), F.count("_v").alias("_n"))
-    flows = materialize(flows, "flows")
+# Widest bracket in discount factors above zero, in rates below.
+_WIDTH = "(({0}._hi - {0}._lo) / greatest(1D, 1D + {0}._lo) / greatest(1D, 1D + {0}._hi))"
+
+
+def _solve_lists(flows: DataFrame, by: list[str]) -> DataFrame:
+    """Brackets of groups of at most _LISTED flows, each narrowed within its row: one shuffle and no passes."""
+    lists = flows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_t", "_v"))).alias("_f"), F.sum("_n").alias("_count"))
+    worth = "named_struct('r', r, 'y', aggregate(_f, 0D, (s, f) -> s + f._v * power(1D + r, -f._t)))"
     rates = _first_rates()
-    sums = flows.groupBy(*by).agg(*_worths(rates), F.sum("_n").alias("_count")).where(F.col("_count") >= 2)
+    first = _bracket(f"transform(array({', '.join(rates)}), r -> {worth})", len(rates))
+    trial = f"transform(sequence(0, {_GRID - 1}), k -> b._lo + (b._hi - b._lo) * (k / {_GRID - 1}D))"
+    step = _bracket(f"transform({trial}, r -> {worth})", _GRID)
+    begun = lists.where("_count >= 2").select(*by, "_f", F.expr(first).alias("_b"))
+    closed = F.expr(f"aggregate(sequence(1, {_PASSES}), _b, (b, i) -> if(b is null or {_WIDTH.format('b')} <= {_CLOSE}D, b, {step}))")
+    return begun.select(*by, closed.alias("_b")).select(*by, "_b._lo", "_b._hi", "_b._ylo", "_b._yhi")
+
+
+def _solve_passes(flows: DataFrame, by: list[str]) -> DataFrame:
+    """Brackets of long groups by one aggregate a pass, so that a series of any length stays distributed."""
+    rates = _first_rates()
+    sums = flows.groupBy(*by).agg(*_worths(rates))
     # One small row per group and pass is written out: plans stay short and a lost executor repeats one pass.
     state = materialize(_narrow(sums, by, rates), "rates")
     trial = [f"(_lo + (_hi - _lo) * {k / (_GRID - 1)!r}D)" for k in range(_GRID)]
-    # Pass by pass until the widest bracket is close; each pass narrows all of them by the same factor.
-    wide = lambda c: F.greatest(F.lit(1.0), 1 + F.col(c))
-    width = F.max((F.col("_hi") - F.col("_lo")) / wide("_lo") / wide("_hi"))
-    while (state.agg(width).first()[0] or 0) > _CLOSE:
+    width = F.max(F.expr(_WIDTH.format("s")))
+    while (state.select(F.struct("_lo", "_hi").alias("s")).agg(width).first()[0] or 0) > _CLOSE:
         joined = attach(flows, state.select(*by, "_lo", "_hi"), by).where(F.col("_lo").isNotNull())
         state = materialize(_narrow(joined.groupBy(*by, "_lo", "_hi").agg(*_worths(trial)), by, trial), "rates")
+    return state
+
+
+def _rate(flows: DataFrame, by: list[str], name: str) -> DataFrame:
+    if not by:
+        return _rate(flows.withColumn("_all", F.lit(0)), ["_all"], name).drop("_all")
+    flows = flows.where(F.col("_v").isNotNull()).groupBy(*by, "_t").agg(F.sum(F.col("_v").cast("double")).alias("_v"), F.count("_v").alias("_n"))
+    flows = materialize(flows, "flows")
+    sizes = flows.groupBy(*by).agg(F.count(F.lit(1)).alias("_dates"))
+    long = materialize(sizes.where(F.col("_dates") > _LISTED).select(*by), "long")
+    if long.isEmpty():
+        state = _solve_lists(flows, by)
+    else:
+        # Few groups can be long, for each holds more than _LISTED flows.
+        state = _solve_lists(join_null_safe(flows, long, by, "left_anti"), by).unionByName(
+            _solve_passes(join_null_safe(flows, long, by, "left_semi"), by)
+        )
     # Above zero, worth is nearly straight in the discount factor 1 / (1 + rate), for far roots too.
     near = "_lo - _ylo * coalesce(try_divide(_hi - _lo, _yhi - _ylo), 0D)"
     factor = "1 / (1 + _lo) - _ylo * coalesce(try_divide(1 / (1 + _hi) - 1 / (1 + _lo), _yhi - _ylo), 0D)"
     root = F.expr(f"if(_lo < 0, {near}, try_divide(1D, {factor}) - 1)")
-    return attach(flows.select(*by).distinct(), state.select(*by, finite(root).alias(name)), by, hot=[])
+    return attach(sizes.select(*by), state.select(*by, finite(root).alias(name)), by, hot=[])

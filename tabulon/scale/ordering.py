@@ -81,16 +81,18 @@ def running(
     order_by: Sequence[OrderKey] | OrderKey,
     sums: dict[str, Column] | None = None,
     fills: dict[str, Column] | None = None,
+    lags: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Running sums and last-non-null values per group, inclusive of the current row.
 
     ``sums`` maps a new column to the expression summed so far; ``fills`` maps a new column to the
-    expression whose latest non-null value is carried forward. Work is split by (block, group): a group
+    expression whose latest non-null value is carried forward; ``lags`` maps a new column to the expression of the
+    row before, null on the first. Work is split by (block, group): a group
     crossing blocks receives what earlier blocks contributed from a table with at most two rows per block.
     """
-    sums, fills = sums or {}, fills or {}
+    sums, fills, lags = sums or {}, fills or {}, lags or {}
     by = list(by)
-    inputs = {f"_s_{n}": c for n, c in sums.items()} | {f"_f_{n}": c for n, c in fills.items()}
+    inputs = {f"_s_{n}": c for n, c in sums.items()} | {f"_f_{n}": c for n, c in fills.items()} | {f"_g_{n}": c for n, c in lags.items()}
     prepared = df.withColumns(inputs)
     order = order_columns(order_by)
     blocks = sorted_blocks(prepared, [F.col(c) for c in by] + order)
@@ -99,11 +101,12 @@ def running(
     local = blocks.withColumns(
         {f"_ls_{n}": F.sum(f"_s_{n}").over(so_far) for n in sums}
         | {f"_lf_{n}": F.last(f"_f_{n}", ignorenulls=True).over(so_far) for n in fills}
+        | {f"_lg_{n}": F.lag(F.struct(F.col(f"_g_{n}").alias("v"))).over(W.partitionBy(BLOCK, *by).orderBy(POS)) for n in lags}
     )
 
     totals = [F.sum(f"_s_{n}").alias(f"_cs_{n}") for n in sums] + [
         F.max_by(f"_f_{n}", F.when(F.col(f"_f_{n}").isNotNull(), F.col(POS))).alias(f"_cf_{n}") for n in fills
-    ]
+    ] + [F.max_by(F.struct(F.col(f"_g_{n}").alias("v")), POS).alias(f"_cg_{n}") for n in lags]
     spanning = blocks
     if by:
         # Only a group that opens a block can have rows in an earlier one: one head row per block.
@@ -116,6 +119,7 @@ def running(
         *by,
         *[F.sum(f"_cs_{n}").over(earlier).alias(f"_cs_{n}") for n in sums],
         *[F.last(f"_cf_{n}", ignorenulls=True).over(earlier).alias(f"_cf_{n}") for n in fills],
+        *[F.last(f"_cg_{n}", ignorenulls=True).over(earlier).alias(f"_cg_{n}") for n in lags],
     )
     joined = join_null_safe(local, carry, [BLOCK, *by], "left", small=True)
     result = {}
@@ -124,6 +128,8 @@ def running(
         result[n] = F.when(own.isNull(), before).otherwise(own + F.coalesce(before, F.lit(0)))
     for n in fills:
         result[n] = F.coalesce(F.col(f"_lf_{n}"), F.col(f"_cf_{n}"))
+    for n in lags:
+        result[n] = F.coalesce(F.col(f"_lg_{n}"), F.col(f"_cg_{n}"))["v"]
     return joined.select(*df.columns, *[v.alias(n) for n, v in result.items()])
 
 

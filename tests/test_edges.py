@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions import dates, finance, text
-from tabulon.operators import aggregates as A, cashflows as C, joins as J, shaping as S, transforms as T
+from tabulon.operators import aggregates as A, cashflows as C, joins as J, series, shaping as S, transforms as T
 from tabulon.operators.criteria import matches
 from tabulon.sources import delimited as D, workbooks as W
 
@@ -178,3 +178,31 @@ def test_asof_over_many_ranges_and_key_types(spark, table):
                     assert got[i] == (max(near)[1] if near else None)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("tail", ["7", "007", "0", "99", "999999999999999999", "9999999999999999999", "12345678901234567890123", "9" * 30, "9" * 45, "1" + "0" * 44, "12" + "0" * 31, "5" * 60])
+def test_fill_counts_on_digits_of_any_length(table, tail):
+    for backward, sign in ((False, 1), (True, -1)):
+        rows_ = series.fill_series(table("p int, v string", (1, f"a {tail}")), "v", ["p"], 3, backward=backward).orderBy("n").collect()
+        want = [f"a {int(tail) + sign * (n + 1)}" for n in range(3)]
+        assert [r["value"] for r in rows_] == want
+
+
+def test_fill_wants_every_step_within_the_tolerance(table):
+    drifting = [i * (1 + 0.5e-9) for i in range(8)]  # each step is the first one
+    wobbly = [0.0, 1.0, 2.0 + 0.9e-9, 3.0 + 1.8e-9 + 1.5e-9]
+    for values, linear in ((drifting, True), (wobbly, False)):
+        d = table("p int, v double", *enumerate(values))
+        got = series.fill_series(d, "v", ["p"], 2).orderBy("n").collect()
+        assert (float(got[0]["value"]) > values[-1]) == linear
+
+
+def test_rates_of_long_groups_as_of_short_ones(spark, monkeypatch):
+    rng = random.Random(9)
+    flows = [(g, t, -100.0 if t == 0 else rng.uniform(-2, 12)) for g in range(6) for t in range(20 + g)] + [(9, 0, 5.0), (9, 1, 6.0)]
+    df = spark.createDataFrame(flows, "g int, t int, v double")
+    listed = {r["g"]: r["irr"] for r in C.irr(df, "v", "t", ["g"]).collect()}
+    monkeypatch.setattr(C, "_LISTED", 22)
+    mixed = {r["g"]: r["irr"] for r in C.irr(df, "v", "t", ["g"]).collect()}
+    assert set(listed) == set(mixed) == {*range(6), 9} and listed[9] is mixed[9] is None
+    assert all(listed[g] == pytest.approx(mixed[g], abs=1e-9) for g in range(6))
