@@ -1,6 +1,6 @@
 """Streams (ST) over the events table, read as a file source and compared with their batch results."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from tabulon.checks.registry import check
 from tabulon.plans.steps import Steps
@@ -55,17 +55,51 @@ def _(t):
     return t.spark.read.parquet(target)
 
 
+def in_arrivals(t, n):
+    """The events as ``n`` files, by days, with every seventh row one arrival late; yields the folder after each arrival."""
+    folder = scratch_path(t.spark, "arrivals")
+    days = t.events.select(F.to_date("ts").alias("d")).distinct().select("d", F.ntile(n).over(W.orderBy("d")).alias("k"))
+    late = (F.col("event_id") % 7 == 0).cast("int")
+    dealt = t.events.withColumn("d", F.to_date("ts")).join(days, "d").withColumn("k", F.least(F.col("k") + late, F.lit(n))).drop("d")
+    for k in range(1, n + 1):
+        dealt.where(F.col("k") == k).drop("k").write.mode("append").parquet(folder)
+        yield folder
+
+
+def arrived(t, folder):
+    return t.spark.readStream.schema(t.events.schema).parquet(folder)
+
+
+@check(
+    "st_refresh_groups",
+    """SELECT event_type, user_id, count(*) AS "Count", sum(event_id)::BIGINT AS "Sum of event_id", avg(event_id) AS "Average of event_id", max(ts) AS "Max of ts", min(value) AS "Min of value"
+FROM events WHERE value > 20 GROUP BY ALL""",
+)
+def _(t):
+    """A filter and a group-by followed over three arrivals."""
+    query = S.Grouping(
+        lambda d: T.filter_rows(d, "value", "gt", "20"), ["event_type", "user_id"],
+        [("count", None), ("sum", "event_id"), ("avg", "event_id"), ("max", "ts"), ("min", "value")],
+    )
+    target, checkpoint = scratch_path(t.spark, "groups"), scratch_path(t.spark, "progress")
+    for folder in in_arrivals(t, 3):
+        _done(query.follow(arrived(t, folder), target, checkpoint))
+    return query.read(t.spark, target)
+
+
 @check(
     "st_timeline",
     """SELECT 'days' AS level, date_trunc('day', ts)::TIMESTAMP AS start, day(ts) || '/' || month(ts) AS label, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL
 UNION ALL SELECT 'months', date_trunc('month', ts)::TIMESTAMP, strftime(ts, '%b %y'), count(*), round(sum(value), 2) FROM events GROUP BY ALL""",
 )
 def _(t):
+    """Day windows over two arrivals, late rows within the lateness; months are read from them."""
+    target, checkpoint = scratch_path(t.spark, "totals"), scratch_path(t.spark, "progress")
+    for folder in in_arrivals(t, 2):
+        _done(S.follow_totals(S.timeline_totals(arrived(t, folder), "ts", "value", lateness="400 days"), target, checkpoint))
     out = None
     for level in ("days", "months"):
-        target, checkpoint = scratch_path(t.spark, "totals"), scratch_path(t.spark, "progress")
-        _done(S.follow_totals(S.timeline_totals(arriving(t), "ts", "value", level), target, checkpoint))
-        one = S.read_totals(t.spark, target).select(F.lit(level).alias("level"), "start", "label", "n", F.round("total", 2).alias("total"))
+        one = S.read_totals(t.spark, target, level).select(F.lit(level).alias("level"), "start", "label", "n", F.round("total", 2).alias("total"))
         out = one if out is None else out.unionByName(one)
     return out
 

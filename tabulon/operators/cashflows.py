@@ -20,7 +20,7 @@ GUESS, LOWEST = 0.1, -0.9999
 _GRID = 14  # trial rates in a pass
 _PASSES = 40  # passes after which a list is left as it is; a bracket narrows by 13 in each
 _LISTED = 4096  # dates up to which the flows of a group are one list
-_CLOSE = 1e-6  # width of a bracket, of discount factors above zero, from which one secant step finishes
+_CLOSE = 1e-8  # width of a bracket, of discount factors above zero, from which one secant step finishes
 
 
 def numbered(df: DataFrame, amount: str, order_by: Sequence[OrderKey], by: Sequence[str] = (), name: str = "period") -> DataFrame:

@@ -230,7 +230,7 @@ def unpivot_others(df: DataFrame, keep: Sequence[str], keep_nulls: bool = False)
     return long if keep_nulls else long.where(F.col("Value").isNotNull())
 
 
-_GROUP_LABEL = {"sum": "Sum of {}", "avg": "Average of {}", "max": "Max of {}", "min": "Min of {}"}
+GROUP_LABEL = {"sum": "Sum of {}", "avg": "Average of {}", "max": "Max of {}", "min": "Min of {}"}
 
 
 def group_by(df: DataFrame, keys: Sequence[str] | str, aggs: Sequence[tuple[str, str | None]]) -> DataFrame:
@@ -241,7 +241,7 @@ def group_by(df: DataFrame, keys: Sequence[str] | str, aggs: Sequence[tuple[str,
         if name == "count":
             out.append(F.count(F.lit(1)).alias("Count"))
         else:
-            out.append(getattr(F, name)(F.col(col)).alias(_GROUP_LABEL[name].format(col)))
+            out.append(getattr(F, name)(F.col(col)).alias(GROUP_LABEL[name].format(col)))
     return df.groupBy(*keys).agg(*out)
 
 

@@ -22,33 +22,37 @@ def target_table(spark: SparkSession, query: str) -> str | None:
 def load_table(df: DataFrame, query: str) -> int:
     """Replace the query's table with the result; returns the rows it now holds.
 
-    Rows go to a new folder of the warehouse and the table is then pointed at it, by one catalog change while
-    the schema stays and by a new table where it differs. A failing job leaves the old content alone. The folder that
-    the table had from an earlier load is removed.
+    Rows go to a new folder of the warehouse, and the table is a view that one catalog change points at it, whatever the
+    schema: a reader sees the old rows or the new ones. A failing job leaves the old content alone. The folder before the
+    last one is removed; readers that began before the change keep theirs. A stored table of that name, not made by
+    this function, is replaced by the view once.
     """
     spark = df.sparkSession
     target = target_table(spark, query) or table_name(query)
     folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{target}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    schema = spark.read.parquet(folder).schema
-    before = _location(spark, target)
-    if before and spark.table(f"`{target}`").schema == schema and not spark.catalog.getTable(target).tableType == "VIEW":
-        spark.sql(f"ALTER TABLE `{target}` SET LOCATION '{folder}'")
-        spark.catalog.refreshTable(f"`{target}`")
-    else:
-        spark.sql(f"DROP TABLE IF EXISTS `{target}`")
-        spark.catalog.createTable(target, path=folder, source="parquet", schema=schema)
-    if before and re.search(rf"/{re.escape(target)}-[0-9a-f]{{32}}/?$", before):
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-    return spark.table(f"`{target}`").count()
-
-
-def _location(spark: SparkSession, target: str) -> str | None:
-    if not spark.catalog.tableExists(f"`{target}`"):
+    rows = spark.read.parquet(folder).count()
+    shown = _folders(spark, target)
+    if shown is None and spark.catalog.tableExists(f"`{target}`"):
+        spark.sql(f"DROP TABLE `{target}`")
+    before = (shown or [""])[0]
+    spark.sql(f"CREATE OR REPLACE VIEW `{target}` TBLPROPERTIES ('{_NOW}' = '{folder}', '{_BEFORE}' = '{before}') AS SELECT * FROM parquet.`{folder}`")
+    for old in (shown or [])[1:]:
+        if re.search(rf"/{re.escape(target)}-[0-9a-f]{{32}}/?$", old):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return rows
+
+
+_NOW, _BEFORE = "tabulon.folder", "tabulon.folder.before"
+
+
+def _folders(spark: SparkSession, target: str) -> list[str] | None:
+    """Folders that a loaded view shows and showed before; None if there is no such view."""
+    if not spark.catalog.tableExists(f"`{target}`") or spark.catalog.getTable(f"`{target}`").tableType != "VIEW":
         return None
-    described = spark.sql(f"DESCRIBE TABLE EXTENDED `{target}`").where("col_name = 'Location'").first()
-    return described["data_type"] if described else None
+    found = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES `{target}`").collect()}
+    return [found[k] for k in (_NOW, _BEFORE) if found.get(k)]
 
 
 def refresh(
