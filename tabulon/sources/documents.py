@@ -7,7 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tabulon.functions.dates import serial_to_timestamp
 from tabulon.sources.naming import header_names
+from tabulon.sources.styles import format_class
 
 
 def read_json_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -78,7 +80,8 @@ def table_from_cells(
 ) -> DataFrame:
     """Table of a rectangle of ``sheet, row, col, kind, value`` cells, with its 1-based source ``row``.
 
-    A column whose filled cells are all numbers or all booleans is typed; others stay text. Rows without
+    A column whose filled cells are all numbers or all booleans is typed; others stay text. If the cells have a ``num_fmt``
+    and all numbers of a column show as dates, or as dates with times, it is a column of dates or timestamps. Rows without
     cells stay, as nulls.
     """
     spark = cells.sparkSession
@@ -97,12 +100,17 @@ def table_from_cells(
         names = [heads.get(c) for c in cols]
     names = header_names(names)
     body = inside.where(F.col("row") >= body_start)
-    kinds = {r["col"]: set(r["k"]) for r in body.groupBy("col").agg(F.collect_set("kind").alias("k")).collect()}
+    shown = format_class(F.col("num_fmt")) if "num_fmt" in cells.columns else F.lit("general")
+    seen = body.groupBy("col").agg(F.collect_set("kind").alias("k"), F.collect_set(shown).alias("f")).collect()  # a row a column
+    kinds, formats = {r["col"]: set(r["k"]) for r in seen}, {r["col"]: set(r["f"]) for r in seen}
     wide = body.groupBy("row").agg(*[F.max(F.when(F.col("col") == c, F.col("value"))).alias(f"_c{c}") for c in cols])
 
     def typed(c: int, name: str):
         v, k = F.col(f"_c{c}"), kinds.get(c)
-        if k == {"n"}:
+        if k == {"n"} and formats[c] <= {"date", "datetime"}:
+            moment = serial_to_timestamp(v.try_cast("double"))
+            v = moment.cast("date") if formats[c] == {"date"} else moment
+        elif k == {"n"}:
             v = v.try_cast("double")
         elif k == {"b"}:
             v = F.upper(v).isin("TRUE", "1")

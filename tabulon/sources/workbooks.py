@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabulon.functions.dates import duration_to_serial, iso_to_serial
 from tabulon.functions.values import number_text
+from tabulon.sources.styles import BUILT_IN, OPEN_DOCUMENT, display_text
 
-RAW_CELLS = "path string, sheet string, row int, col int, raw string, value string, formula string, rows int, cols int"
+RAW_CELLS = "path string, sheet string, row int, col int, raw string, value string, formula string, num_fmt string, rows int, cols int"
 TABLES = (
     "path string, sheet string, name string, first_row int, first_col int, last_row int, last_col int, "
     "header boolean, columns array<string>"
@@ -34,8 +35,11 @@ def workbook_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content")
 
 
-def workbook_cells(files: DataFrame) -> DataFrame:
-    """``path, sheet, row, col, kind, value, formula`` of every filled cell; kinds are n, s, b and e."""
+def workbook_cells(files: DataFrame, formats: bool = False) -> DataFrame:
+    """``path, sheet, row, col, kind, value, formula`` of every filled cell; kinds are n, s, b and e.
+
+    With ``formats`` also ``num_fmt``, the format code of a number's style (null: general), and ``display``, the text shown.
+    """
     # A repeated row or cell leaves the parser once, with its counts, and is spread out here.
     raw = files.select("path", "content").mapInPandas(_cells_of_batches, RAW_CELLS)
     raw = raw.withColumn("row", F.explode(F.expr("sequence(row, row + rows - 1)")))
@@ -49,9 +53,13 @@ def workbook_cells(files: DataFrame) -> DataFrame:
         .otherwise("s")
     )
     cells = raw.withColumn("kind", kind).withColumn("value", F.coalesce(number_text(serial), v))
-    return cells.where((F.col("value") != "") | F.col("formula").isNotNull()).select(
-        "path", "sheet", "row", "col", "kind", "value", "formula"
-    )
+    filled = cells.where((F.col("value") != "") | F.col("formula").isNotNull())
+    named = ["path", "sheet", "row", "col", "kind", "value", "formula"]
+    if not formats:
+        return filled.select(*named)
+    code = F.when(F.col("kind") == "n", F.col("num_fmt"))
+    shown = F.when(code.isNotNull(), display_text(F.col("value"), code)).otherwise(F.col("value"))
+    return filled.select(*named, code.alias("num_fmt"), shown.alias("display"))
 
 
 def workbook_tables(files: DataFrame) -> DataFrame:
@@ -124,8 +132,18 @@ def _sheet_parts(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return [(s.get("name"), targets.get(_attr(s, "id"), "")) for s in _each(book.read("xl/workbook.xml"), "sheet")]
 
 
+def _style_codes(book: zipfile.ZipFile) -> list[str | None]:
+    """Format code of every cell style, by its number; None for general."""
+    if "xl/styles.xml" not in book.namelist():
+        return []
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(x.get("numFmtId")): x.get("formatCode") for x in root.iter() if _local(x.tag) == "numFmt"}
+    styles = next((x for x in root if _local(x.tag) == "cellXfs"), ())
+    return [own.get(n) or BUILT_IN.get(n) for n in (int(x.get("numFmtId") or 0) for x in styles)]
+
+
 def _xlsx_cells(book: zipfile.ZipFile):
-    shared = []
+    shared, codes = [], _style_codes(book)
     if "xl/sharedStrings.xml" in book.namelist():
         shared = [_text(si, "rPh") for si in _each(book.read("xl/sharedStrings.xml"), "si")]
     for sheet, part in _sheet_parts(book):
@@ -137,7 +155,10 @@ def _xlsx_cells(book: zipfile.ZipFile):
             for c in r:
                 at = box(c.get("r", ""))
                 col = at[1] if at else col + 1
-                yield (sheet, row, col, *_xlsx_value(c, shared), 1, 1)
+                style = int(c.get("s") or 0)
+                kind, value, formula = _xlsx_value(c, shared)
+                code = codes[style] if style < len(codes) else None
+                yield sheet, row, col, kind, value, formula, code or OPEN_DOCUMENT.get(kind), 1, 1
 
 
 def _xlsx_value(c, shared: list[str]) -> tuple[str, str, str | None]:
@@ -161,8 +182,8 @@ def _ods_cells(book: zipfile.ZipFile):
         for r in (x for x in table.iter() if _local(x.tag) == "table-row"):
             repeat = int(_attr(r, "number-rows-repeated", 1))
             cells = [x for x in _ods_row(r) if x[2] != "" or x[3]]
-            for col, raw, value, formula, cols in cells:
-                yield sheet, row + 1, col, raw, value, formula, repeat, cols
+            for col, raw, value, formula, code, cols in cells:
+                yield sheet, row + 1, col, raw, value, formula, code, repeat, cols
             row += repeat
 
 
@@ -176,7 +197,7 @@ def _ods_row(r):
             raw, value = _ods_value(c)
             formula = _attr(c, "formula")
             if value != "" or formula:
-                yield col + 1, raw, value, formula, repeat
+                yield col + 1, raw, value, formula, OPEN_DOCUMENT.get(_attr(c, "value-type")), repeat
         col += repeat
 
 
@@ -237,7 +258,7 @@ def _batched(read, columns: list[str]):
     return run
 
 
-_cells_of_batches = _batched(_cells, ["path", "sheet", "row", "col", "raw", "value", "formula", "rows", "cols"])
+_cells_of_batches = _batched(_cells, ["path", "sheet", "row", "col", "raw", "value", "formula", "num_fmt", "rows", "cols"])
 _tables_of_batches = _batched(
     _tables, ["path", "sheet", "name", "first_row", "first_col", "last_row", "last_col", "header", "columns"]
 )

@@ -153,3 +153,39 @@ def test_open_document_cells(spark):
     assert got == [(1, 1, "s", "head"), (1, 2, "n", "4"), (1, 3, "n", "4"), (5, 2, "n", "43831"), (6, 2, "n", "43831"), (7, 1, "b", "TRUE"), (7, 2, "n", "0.5")]
     t = W.workbook_tables(files).collect()
     assert [(r.sheet, r.name, r.first_row, r.last_col, r.header) for r in t] == [("S", "T", 1, 3, True)]
+
+
+def _styled_book() -> bytes:
+    """A sheet whose columns are a date, a moment, a share, an amount and a plain number, told apart by styles only."""
+    codes = [None, "14", "164", "10", "165", "0", "166"]
+    own = {"164": "yyyy\\-mm\\-dd&quot; at &quot;hh:mm", "165": "[Red]#,##0.00 &quot;days&quot;;-0", "166": "[h]:mm"}
+    cells = [("A", 1, 43831), ("B", 2, 43831.75), ("C", 3, 0.256), ("D", 4, 1234567.891), ("E", 5, 7.5), ("F", 6, 1.25)]
+    rows = "".join(f'<row r="{r}">' + "".join(f'<c r="{c}{r}" s="{s}"><v>{v + (r - 2) * (c in "AB")}</v></c>' for c, s, v in cells) + "</row>" for r in (2, 3))
+    head = "".join(f'<c r="{c}1" t="str"><v>h{c}</v></c>' for c, _, _ in cells)
+    xfs = "".join(f'<xf numFmtId="{n or 0}"/>' for n in codes)
+    formats = "".join(f'<numFmt numFmtId="{k}" formatCode="{v}"/>' for k, v in own.items())
+    parts = {
+        "xl/workbook.xml": '<workbook xmlns:r="r"><sheets><sheet name="S" sheetId="1" r:id="i"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="i" Target="worksheets/s.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet><numFmts>{formats}</numFmts><cellStyleXfs><xf numFmtId="9"/></cellStyleXfs><cellXfs>{xfs}</cellXfs></styleSheet>',
+        "xl/worksheets/s.xml": f'<worksheet><sheetData><row r="1">{head}</row>{rows}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_styles_tell_dates_from_numbers(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "styled.xlsx").write_bytes(_styled_book())
+    (tmp_path / "notes.txt").write_text("x")
+    cells = W.workbook_cells(W.workbook_files(spark, str(tmp_path)), formats=True)
+    shown = {(r["row"], r["col"]): r["display"] for r in cells.where("row = 2").collect()}
+    assert shown == {(2, 1): "2020-01-01", (2, 2): "2020-01-01 18:00:00", (2, 3): "25.60%", (2, 4): "1,234,567.89", (2, 5): "7.5", (2, 6): "30:00:00"}
+    t = S.table_from_cells(cells, "S", 1, 1, 3, 6)
+    assert [f.dataType.simpleString() for f in t.schema][1:] == ["date", "timestamp_ntz", "double", "double", "double", "double"]
+    assert [str(r["hA"]) for r in t.orderBy("row").collect()] == ["2020-01-01", "2020-01-02"]
+    plain = S.table_from_cells(W.workbook_cells(W.workbook_files(spark, str(tmp_path))), "S", 1, 1, 3, 2)
+    assert plain.orderBy("row").first()["hA"] == 43831.0
