@@ -23,26 +23,28 @@ def sort_multi(df: DataFrame, keys: Sequence[tuple[str, bool]], order_by: Sequen
     return df.orderBy(*spec, *(order_columns(order_by) if order_by else []))
 
 
-def natural_text(c: Column) -> Column:
+def natural_text(c: Column, collation: str | None = None) -> Column:
     """Text key under which ``item2`` precedes ``item10`` and case is ignored.
 
-    Digit runs are left-padded; a run longer than the pad keeps its own length. Locale collation
-    beyond lower-casing is not modelled.
+    Digit runs are left-padded; a run longer than the pad keeps its own length. With a ``collation`` (``UNICODE``, ``UNICODE_CI``,
+    ``de_CI_AI`` and so on) texts compare by its rules, so that accented letters stand with their base letters;
+    without one they compare by code point after lower-casing.
     """
-    padded = F.regexp_replace(F.lower(c), r"(\d+)", "0" * _DIGITS + "$1")
-    return F.regexp_replace(padded, rf"0*(\d{{{_DIGITS},}})", "$1")
+    padded = F.regexp_replace(c if collation else F.lower(c), r"(\d+)", "0" * _DIGITS + "$1")
+    key = F.regexp_replace(padded, rf"0*(\d{{{_DIGITS},}})", "$1")
+    return F.collate(key, collation) if collation else key
 
 
-def mixed_sort_key(c: Column) -> list[Column]:
+def mixed_sort_key(c: Column, collation: str | None = None) -> list[Column]:
     """Numbers before text, text in natural order, blanks last."""
     text = c.cast("string")
     number = text_number(text)
     blank = text.isNull() | (text == "")
-    return [blank.asc(), number.isNull().asc(), number.asc(), natural_text(text).asc()]
+    return [blank.asc(), number.isNull().asc(), number.asc(), natural_text(text, collation).asc()]
 
 
-def sort_mixed(df: DataFrame, column: str, order_by: Sequence[OrderKey] = ()) -> DataFrame:
-    return df.orderBy(*mixed_sort_key(F.col(column)), *(order_columns(order_by) if order_by else []))
+def sort_mixed(df: DataFrame, column: str, order_by: Sequence[OrderKey] = (), collation: str | None = None) -> DataFrame:
+    return df.orderBy(*mixed_sort_key(F.col(column), collation), *(order_columns(order_by) if order_by else []))
 
 
 def dedupe_first(df: DataFrame, columns: Sequence[str], order_by: Sequence[OrderKey]) -> DataFrame:

@@ -206,3 +206,21 @@ def test_rates_of_long_groups_as_of_short_ones(spark, monkeypatch):
     mixed = {r["g"]: r["irr"] for r in C.irr(df, "v", "t", ["g"]).collect()}
     assert set(listed) == set(mixed) == {*range(6), 9} and listed[9] is mixed[9] is None
     assert all(listed[g] == pytest.approx(mixed[g], abs=1e-9) for g in range(6))
+
+
+def test_natural_order_by_collation(spark):
+    want = ["7", "30", "äpfel 2", "Apfel 3", "apfel 10", "Äpfel 10 b", "café", "cafe9", "Cafe 9x", "zoo", "école", "ß1", "", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(want)], "i int, v string")
+    got = lambda **k: [r["v"] for r in shaping_sort(df, **k).collect()]
+    folded = got(collation="UNICODE_CI_AI")
+    assert folded[:2] == ["7", "30"] and folded[-2:] == ["", None] or folded[-2:] == [None, ""]
+    names = [v for v in folded if v and not v.isdigit()]
+    assert names.index("äpfel 2") < names.index("Apfel 3") < names.index("apfel 10") < names.index("Äpfel 10 b") < names.index("café") < names.index("école") < names.index("zoo")
+    plain = [v for v in got() if v and not v.isdigit()]
+    assert plain.index("zoo") < plain.index("école")  # by code point
+    pairs = spark.createDataFrame([(1, "b"), (2, "A"), (3, "a"), (4, "B")], "i int, v string")
+    assert [r["v"] for r in shaping_sort(pairs, collation="UNICODE").collect()] == ["a", "A", "b", "B"]
+
+
+def shaping_sort(df, **settings):
+    return S.sort_mixed(df, "v", ["i"], **settings)
