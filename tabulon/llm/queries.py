@@ -139,28 +139,43 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(n, a, b.replace("'", "''")) for n, (a, b) in enumerate(licences.TEMPLATES))
-_NOTICE_WORDS = "regexp_extract_all(lower({0}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-_PAIRS = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
+_COMMON = ", ".join(f"'{w}'" for w in licences.COMMON)
+
+
+def _kept_bigrams(source: str, key: str, text: str) -> str:
+    """SQL rows ``(key, pos, gram, line, n)`` of the kept bigrams of a text column, from words by lines."""
+    return f"""SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY line, i) - 1 AS pos, w || ' ' || v AS gram, line, count(*) OVER (PARTITION BY {key}) AS n FROM (
+        SELECT *, lead(w) OVER (PARTITION BY {key} ORDER BY line, i) AS v FROM (
+            SELECT {key}, line, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
+                SELECT {key}, line, regexp_extract_all(l, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM (
+                    SELECT {key}, unnest(string_split(lower(coalesce({text}, '')), chr(10))) AS l,
+                        generate_subscripts(string_split(lower(coalesce({text}, '')), chr(10)), 1) - 1 AS line FROM {source}))))
+        WHERE v IS NOT NULL AND NOT (w IN ({_COMMON}) AND v IN ({_COMMON}))"""
 
 
 @query(
     "op10_licence_scan",
     f"""
-    WITH t AS (SELECT tno, licence, {_PAIRS} AS tg FROM (SELECT tno, licence, {_NOTICE_WORDS.format("wording")} AS w
-               FROM (VALUES {_TEMPLATE_ROWS}) v(tno, licence, wording))),
-    e AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
-    g AS (SELECT doc_id, line, {_PAIRS} AS lg FROM (SELECT doc_id, line, {_NOTICE_WORDS.format("l")} AS w FROM e)),
-    s AS (SELECT doc_id, line, licence, 2 * len(list_intersect(lg, tg))::DOUBLE / (len(lg) + len(tg)) AS dice
-          FROM g JOIN t ON list_has_any(lg, tg)),
-    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, licence, line) AS nth FROM s WHERE dice >= {licences.THRESHOLD}),
-    n AS (SELECT doc_id, count(DISTINCT line) AS n_notices FROM k GROUP BY doc_id)
-    SELECT d.doc_id, k.licence, k.dice, k.line::INTEGER AS line, coalesce(n_notices, 0)::BIGINT AS n_notices
-    FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id AND nth = 1 LEFT JOIN n ON d.doc_id = n.doc_id
+    WITH tr(template, licence, wording) AS (VALUES {_TEMPLATE_ROWS}),
+    tg AS ({_kept_bigrams("tr", "template", "wording")}),
+    t AS (SELECT template, licence, pos AS place, gram, n AS size, count(*) OVER (PARTITION BY template, gram) = 1 AS once, greatest(2, n // 4) AS width FROM tg JOIN tr USING (template)),
+    g AS ({_kept_bigrams("documents", "doc_id", "text")}),
+    h AS (SELECT doc_id, n, pos, line, t.*, pos - place AS away FROM g JOIN t USING (gram)),
+    b AS (SELECT *, half, floor((away + half * (width // 2)) / width::DOUBLE) AS band FROM h, (VALUES (0), (1)) v(half)),
+    p AS (SELECT doc_id, n, template, licence, size, half, band, gram, least(count(DISTINCT pos), count(DISTINCT place)) AS hits, min(pos) AS pos, arg_min(line, pos) AS line,
+          min(away) AS low, max(away) AS high, min(away) FILTER (WHERE once) AS low1, max(away) FILTER (WHERE once) AS high1 FROM b GROUP BY ALL),
+    w AS (SELECT doc_id, n, template, licence, size, sum(hits) AS hits, arg_min(line, pos) AS line, coalesce(min(low1), min(low)) AS low, coalesce(max(high1), max(high)) AS high
+          FROM p GROUP BY doc_id, n, template, licence, size, half, band),
+    s AS (SELECT *, least(1.0::DOUBLE, 2 * hits::DOUBLE / (least(n - 1, high + size - 1) - greatest(0, low) + 1 + size)) AS dice FROM w),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, dice DESC, licence, line) AS nth FROM s WHERE dice > {licences.THRESHOLD}::DOUBLE),
+    c AS (SELECT doc_id, count(DISTINCT line) AS n_notices, array_to_string(list_sort(list(DISTINCT licence)), ',') AS licences FROM k GROUP BY doc_id)
+    SELECT d.doc_id, k.licence, k.dice, k.line::INTEGER AS line, coalesce(n_notices, 0)::BIGINT AS n_notices, coalesce(licences, '') AS licences
+    FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id AND nth = 1 LEFT JOIN c ON d.doc_id = c.doc_id
     """,
 )
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(_table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "licence", "dice", "line", "n_notices")
+    return found.select(F.col("id").alias("doc_id"), "licence", "dice", "line", "n_notices", "licences")
 
 
 def _found(kind: str) -> str:
