@@ -21,7 +21,8 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulon.scale.storage import materialize
+from tabulon.scale.ordering import running
+from tabulon.scale.storage import materialize, scratch_path
 
 WINDOW = 13
 SEGMENT_WORDS = 500_000
@@ -108,21 +109,27 @@ class Block:
     ends: np.ndarray  # end of each item in words
 
 
-def query_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The query set in blocks of at least one item and about ``block_words`` words; items without words are left out."""
-    names, local, codes, ends = [], {}, [], []
-    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col))
-    for name, text in rows.toLocalIterator():
-        words = words_of(text.encode() if text else None)
-        if not words:
-            continue
-        names.append(name)
-        codes += [local.setdefault(w, len(local)) for w in words]
-        ends.append(len(codes))
-        if len(codes) >= block_words:
-            yield Block(names, _hash_terms(list(local)), np.array(codes, np.int32), np.array(ends))
-            names, local, codes, ends = [], {}, [], []
-    if names:
+def query_table(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The query set as a stored table ``(block, name, text)``: blocks of at least one item and about ``block_words`` words.
+
+    Items without words are left out, a null id goes by the empty name.
+    """
+    words = F.regexp_count(F.lower(text_col), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.col(text_col).alias("text"), words.alias("words"))
+    counted = running(rows.where("words > 0"), [], [F.xxhash64("name", "text"), "name", "text"], sums={"upto": F.col("words")})
+    block = F.floor((F.col("upto") - F.col("words")) / block_words)  # by the words before an item
+    return materialize(counted.select(block.alias("block"), "name", "text"), "queries")
+
+
+def query_blocks(queries: DataFrame) -> Iterator[Block]:
+    """Blocks of a stored query table, each read when its turn comes: one at a time is in the driver's memory."""
+    for row in queries.groupBy("block").count().select("block").orderBy("block").toLocalIterator():
+        names, local, codes, ends = [], {}, [], []
+        table = queries.where(F.col("block") == row["block"]).orderBy("name", "text").toArrow()
+        for name, text in zip(table["name"].to_pylist(), table["text"].to_pylist()):
+            names.append(name)
+            codes += [local.setdefault(w, len(local)) for w in words_of(text.encode())]
+            ends.append(len(codes))
         yield Block(names, _hash_terms(list(local)), np.array(codes, np.int32), np.array(ends))
 
 
@@ -260,17 +267,16 @@ def contamination(index: DataFrame, items: DataFrame, item_col: str = "item_id",
     item with a null id goes by the empty name, repeated items count once. ``mark`` is the hash of the text.
     """
     flat = "filter(flatten(collect_list({0})), x -> x is not null)"
-    parts = [_search(index, block, width, within) for block in query_blocks(items, item_col, item_text, block_words)]
     listed = index.select("seg", F.posexplode(F.arrays_zip("docs", "marks", "sizes")).alias("row", "doc")).select(
         "seg", "row", F.col("doc.docs").alias("id"), F.col("doc.marks").alias("mark"), F.col("doc.sizes").alias("n_words")
     )
-    if not parts:
-        return listed.select("id", "mark", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    hits = parts[0]
-    for more in parts[1:]:
-        hits = hits.unionByName(more)
+    # Blocks are searched one after the other, and the hits of each are stored before the next is read.
+    spark, path = index.sparkSession, scratch_path(index.sparkSession, "hits")
+    spark.createDataFrame([], _HIT).write.parquet(path)
+    for block in query_blocks(query_table(items, item_col, item_text, block_words)):
+        _search(index, block, width, within).write.mode("append").parquet(path)
     merged = (
-        materialize(hits, "hits")
+        spark.read.schema(_HIT).parquet(path)
         .groupBy("seg", "row")
         .agg(*[F.expr(flat.format(c)).alias(c) for c in ("starts", "ends", "items")])
         .select("seg", "row", _covered("starts", "ends").alias("hit"), F.array_sort(F.array_distinct("items")).alias("items"))
