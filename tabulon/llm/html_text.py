@@ -48,7 +48,7 @@ _MARKS = frozenset(
     "sharing social related recommended recommendations trending widget pagination pager copyright legal complementary contentinfo "
     "author byline meta tags outbrain taboola".split()
 )
-_COMMENTS = frozenset("comment comments commentlist respond responses reply replies disqus discussion feedback reviews".split())
+_COMMENTS = frozenset("comment comments commentlist respond responses reply replies disqus".split())
 _TEXTUAL = frozenset("article content post entry story body main text".split())
 
 
@@ -82,7 +82,7 @@ def _inside(state: tuple[int, int, int, int], tag: str, attrs: str) -> tuple[int
     comments |= bool(parts & _COMMENTS)
     if tag in _CONTENT:  # starts afresh, whatever a wrapper is called
         article, plate, named = 1, 0, int(hidden)
-    elif tag in _BOILERPLATE:
+    elif tag in _BOILERPLATE and not (tag == "header" and article and not plate):  # an article's own header holds its title
         plate = 1
     if parts & _MARKS and tag not in _CONTENT:
         named = 1

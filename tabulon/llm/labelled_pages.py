@@ -42,4 +42,16 @@ PAGES = (
     _HEAD + '<nav><span>[2]</span></nav><p>{100}</p><p>{30}</p><p>{80}</p><p>{22}',
     _HEAD + "<header>[3]</header><article><p>{2}</p></article>",
     _HEAD + '<article><h1>{3}</h1><p>{11}</p><footer>[6]</footer></article><aside><p>[4]</p></aside><article><p>{75}</p><footer>[9]</footer></article><article><p>{95}</p></article>',
+    # Titles in an article's own header, of any length, and the site's own title in its header.
+    _HEAD + '<header><h1>[5]</h1><p>[13]</p></header>' + _MENU + "<article><header><h1>{4}</h1></header><p>{14}</p><p>{3}</p></article><footer><p>[25]</p></footer>",
+    _HEAD + '<header><a href="/"><h1>[8]</h1></a></header><article><header><h2>{2}</h2><p class="byline">[3]</p></header><p>{60}</p></article><footer><h2>[4]</h2><p>[40]</p></footer>',
+    _HEAD + "<header><h2>[6]</h2></header><main><header><h1>{9}</h1></header><section><p>{33}</p><p>{5}</p></section></main><aside><h2>[5]</h2><p>[70]</p></aside>",
+    # Paragraphs of an article that are mostly links; lists of links stay out.
+    _HEAD + '<article><h1>{4}</h1><p>{30}</p><p>{8} <a href="/a">{14}</a> {3}</p><p>{41}</p><p>{4} <a href="/b">{9}</a></p><p>{52}</p><ul><li><a href="/r">[7]</a></li><li><a href="/r">[9]</a></li></ul></article>',
+    _HEAD + _MENU + '<article><p><a href="/a">{6}</a> {5}</p><p>{38}</p><p>{7} <a href="/c">{21}</a> {2}</p><p>{19}</p></article><div>' + _LIST + "</div>",
+    # No semantic markup: the neighbours of a short block decide.
+    _HEAD + "<div>[13]</div><div>" + _LIST + "</div><h1>{5}</h1><p>{11}</p><p>{40}</p><p>{9}</p><p>{62}</p><div>" + _LIST + "</div><div>[14]</div>",
+    _HEAD + "<div>" + _LIST + "</div><div>[16]</div><div>" + _LIST + "</div><h2>{6}</h2><p>{8}</p><p>{70}</p><p>{12}</p><p>{33}</p><div>[6]</div>",
+    _HEAD + '<div><a href="/">[2]</a></div><h1>{7}</h1><p>{10}</p><p>{55}</p><p>{7}</p><p>{80}</p><p><a href="/n">[3]</a></p><div>[12]</div>',
+    _HEAD + "<p>{6}</p><p>{58}</p><p>{44}</p><p>{5}</p><p>{37}</p>" + _LIST + "<p>[15]</p>" + _LIST,
 )

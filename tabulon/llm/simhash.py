@@ -119,13 +119,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("txt"))
     columns = ["id", fingerprint_udf(width)("txt").alias("fp"), F.xxhash64("txt").alias("mark")]
     if alike is not None:
-        columns += [F.xxhash64("id").alias("tag"), similar.band_keys_udf(shingle_hashes)("txt").alias("keys")]
+        columns += [F.xxhash64("id").alias("tag"), similar.band_keys_udf()("txt").alias("keys")]
     signed = materialize(texts.select(*columns), "fingerprints")
     distinct = materialize(signed.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     edges = links(distinct.select("fp"))
     if alike is not None:
         marked = texts.select(F.xxhash64("txt").alias("mark"), F.xxhash64("id").alias("tag"), "txt")
-        edges = edges.unionByName(similar.similar_links(signed, marked, shingle_hashes, threshold=alike))
+        edges = edges.unionByName(similar.similar_links(signed, marked, threshold=alike))
     grouped = components(edges)
     firsts = distinct.join(grouped, distinct["fp"] == grouped["node"])
     smallest = firsts.groupBy("root").agg(F.min("first").alias("least"))

@@ -21,45 +21,77 @@ WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 SEED = 42
+_KNOWN = 500_000  # words whose hashes a task remembers
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)  # odd factors
+_DRAW = np.random.default_rng(SEED)
+_ODD = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+class Shingles:
+    """Hashes of the word runs of texts. A word is hashed once and remembered; runs are combined from word hashes in numpy."""
+
+    def __init__(self, width: int = WIDTH):
+        self.width, self._seen = width, {}
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        """Distinct 64-bit hashes of every run of ``width`` words, of all words if there are fewer; none without words."""
+        words, seen = (text or b"").lower().split(), self._seen  # on bytes: A-Z and ASCII white space only
+        if not words:
+            return np.empty(0, np.uint64)
+        if len(seen) > _KNOWN:
+            seen.clear()
+        for w in set(words):
+            if w not in seen:
+                seen[w] = xxhash.xxh64_intdigest(w, SEED)
+        codes = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+        width = min(self.width, len(words))
+        runs = codes[: len(words) - width + 1] + np.uint64(width)
+        for i in range(1, width):
+            runs = runs * _STEP + codes[i : i + len(runs)]
+        runs ^= runs >> np.uint64(31)
+        return np.unique(runs * _MIX)
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
     """BANDS signed keys of a set of 64-bit hashes; none for an empty set."""
     if not len(hashes):
         return []
-    draw = np.random.default_rng(SEED)
-    odd = draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-    flip = draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-    least = np.array([(((hashes ^ f) * a) >> np.uint64(16)).min() for f, a in zip(flip, odd)], "<u8")
+    least = np.array([((hashes ^ f) * a).min() for f, a in zip(_FLIP, _ODD)], "<u8")
     rows = least.reshape(BANDS, ROWS)
     return [xxhash.xxh64_intdigest(row.tobytes(), band) - (1 << 63) for band, row in enumerate(rows)]
 
 
-def band_keys_udf(shingles, width: int = WIDTH):
+def band_keys_udf(width: int = WIDTH):
     @F.arrow_udf("array<bigint>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        shingles = Shingles(width)
         for texts in batches:
-            keys = [band_keys(shingles(t or b"", width)) for t in texts.cast(pa.binary()).to_pylist()]
-            yield pa.array(keys, pa.list_(pa.int64()))
+            yield pa.array([band_keys(shingles.of(t)) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
 
     return run
 
 
-def jaccard_udf(shingles, width: int = WIDTH):
+def jaccard_udf(width: int = WIDTH):
+    """Jaccard coefficient of two texts; rows come by the second text, whose set is kept for those with the same one."""
+
     @F.arrow_udf("double")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        shingles, last, held = Shingles(width), None, None
         for left, right in batches:
             out = []
             for a, b in zip(left.cast(pa.binary()).to_pylist(), right.cast(pa.binary()).to_pylist()):
-                a, b = np.unique(shingles(a or b"", width)), np.unique(shingles(b or b"", width))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(both / max(1, len(a) + len(b) - both))
+                if held is None or b != last:
+                    last, held = b, shingles.of(b)
+                own = shingles.of(a)
+                both = len(np.intersect1d(own, held, assume_unique=True))
+                out.append(both / max(1, len(own) + len(held) - both))
             yield pa.array(out, pa.float64())
 
     return run
 
 
-def similar_links(signed: DataFrame, texts: DataFrame, shingles, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+def similar_links(signed: DataFrame, texts: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """Edges ``(a, b)`` between ``fp`` values of similar texts, from ``signed(fp, mark, tag, keys)`` and ``texts(mark, tag, txt)``.
 
     ``mark`` is a hash of the text, ``tag`` one of the id. Equal ``fp`` values are linked anyway and not compared.
@@ -79,5 +111,5 @@ def similar_links(signed: DataFrame, texts: DataFrame, shingles, width: int = WI
     found = materialize(texts.join(needed.hint("merge"), ["mark", "tag"], "left_semi").dropDuplicates(["mark"]).drop("tag"), "texts")
     for side in ("a", "b"):
         pairs = pairs.join(found.select(F.col("mark").alias(f"{side}_mark"), F.col("txt").alias(f"{side}_txt")), f"{side}_mark")
-    alike = pairs.where(jaccard_udf(shingles, width)("a_txt", "b_txt") >= threshold)
+    alike = pairs.where(jaccard_udf(width)("a_txt", "b_txt") >= threshold)
     return alike.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,61 @@ def test_html_page_with_all_kinds_of_boilerplate():
     assert html_text.main_text(cut, tree).endswith("Last words")
 
 
+def _words(n, word="keep"):
+    return " ".join([word] * n)
+
+
+LAYOUTS = {
+    "short title in the article's header": (f"<article><header><h1>{_words(4)}</h1></header><p>{_words(40)}</p></article>", (4, 40)),
+    "the site's own title": (f"<header><h1>{_words(5, 'x')}</h1></header><article><h1>{_words(6)}</h1><p>{_words(40)}</p></article>", (6, 40)),
+    "paragraph that is mostly link": (f"<article><p>{_words(40)}</p><p>{_words(8)} <a href=x>{_words(12)}</a></p><p>{_words(30)}</p></article>", (40, 20, 30)),
+    "an article about reviews": (f'<article><h1>{_words(5)}</h1><div class="reviews-body"><p>{_words(40)}</p><p>{_words(3)}</p></div></article>', (5, 40, 3)),
+    "short first paragraph, no markup": (f"<h1>{_words(6)}</h1><p>{_words(12)}</p><p>{_words(60)}</p><p>{_words(45)}</p>", (6, 12, 60, 45)),
+    "advert before the title, no markup": (f"<div>{_words(13, 'x')}</div><h1>{_words(6)}</h1><p>{_words(25)}</p><p>{_words(60)}</p><p>{_words(45)}</p>", (6, 25, 60, 45)),
+}
+
+
+@pytest.mark.parametrize("layout", list(LAYOUTS))
+def test_html_layouts_outside_the_table(layout):
+    source, kept = LAYOUTS[layout]
+    got = html_text.main_text(f"<html><body>{source}</body></html>", html_text.grow(*html_text.labelled_blocks()))
+    assert got == "\n".join(_words(n) for n in kept)
+
+
+def test_html_blocks_of_pages_left_out_of_the_table():
+    pages = []
+    for page in html_text.PAGES:
+        source = re.sub(r"([\[{])(\d+)[\]}]", lambda m: _words(int(m[2]), "keep" if m[1] == "{" else "drop"), page)
+        found = html_text.blocks(source)
+        pages.append((html_text.describe(found), np.array([float(b.text.startswith("keep")) for b in found])))
+    right = []
+    for i, (x, y) in enumerate(pages):
+        rest = [p for j, p in enumerate(pages) if j != i]
+        tree = html_text.grow(np.vstack([a for a, _ in rest]), np.concatenate([b for _, b in rest]))
+        right += [html_text.is_main(tree, row) == bool(label) for row, label in zip(x.tolist(), y)]
+    assert sum(right) / len(right) > 0.97  # 423 of 432
+
+
+def test_html_table_of_odd_rows(spark, table):
+    pages = table("page_id long, url string, html string, text string, n_chars int", (1, "u", None, "t", 1), (1, "u", "", "t", 1), (None, None, "<article><p>a &amp; b</p></article>", "t", 1), (1, "u", "<p>" + "w " * 200_000, "t", 1))
+    got = pages.select("page_id", html_text.extract(F.col("html")).alias("got")).collect()
+    assert [(r["page_id"], len(r["got"])) for r in got] == [(1, 0), (1, 0), (None, 5), (1, 399_999)]
+    assert pages.limit(0).select(html_text.extract(F.col("html")).alias("got")).count() == 0
+
+
+def test_quality_sample_holds_with_repeated_ids(spark, table, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, fold, **k: seen.append(rows) or quality.Model(np.zeros(quality.KINDS * quality.BUCKETS)))
+    docs = spark.range(5000).selectExpr("1L as doc_id", "concat('text ', id) as text").unionByName(table("doc_id long, text string", (2, "b"), (2, "b"), (3, None)))
+    labels = table("doc_id long, quality int", (1, 1), (1, 0), (2, 1), (2, 1), (3, 1))
+    quality.learn(docs, labels)
+    assert sorted(r[2] for r in seen[0]) == [0, 1]  # one row an id, the smaller label
+    quality.learn(docs, labels, sample_rows=1)
+    assert len(seen[1]) == 1
+    quality.learn(docs.limit(0), labels)
+    assert seen[2] == []
+
+
 def test_html_labelled_blocks_are_learned():
     x, y = html_text.labelled_blocks()
     tree = html_text.grow(x, y)
