@@ -57,6 +57,22 @@ def _(t):
     return D.read_delimited(t.spark, written(t, awkward(t), ";"))
 
 
+@check(
+    "src_csv_breaks",
+    """SELECT CASE WHEN p_partkey % 3 <> 1 THEN p_partkey::VARCHAR END AS "Column1",
+ CASE p_partkey % 3 WHEN 0 THEN p_name || chr(13) || chr(10) || 'x "y", z' WHEN 2 THEN p_name END AS "Column2",
+ CASE p_partkey % 3 WHEN 0 THEN 'a' || chr(30) || 'b' WHEN 2 THEN 'z' END AS "Column3" FROM part""",
+)
+def _(t):
+    """Line breaks and quotes inside fields, blank lines, CRLF and a control character."""
+    k, key = F.col("p_partkey") % 3, F.col("p_partkey").cast("string")
+    quoted = F.concat(key, F.lit(',"'), F.col("p_name"), F.lit('\r\nx ""y"", z",a\x1eb'))
+    line = F.when(k == 0, quoted).when(k == 1, "").otherwise(F.concat(key, F.lit(","), F.col("p_name"), F.lit(",z\r")))
+    path = scratch_path(t.spark, "lines")
+    t.part.select(line).write.text(path)
+    return D.read_delimited(t.spark, path, ",")
+
+
 @check(
     "infer_types",
     f"""SELECT CAST(p_partkey AS DOUBLE) AS "Column1", name AS "Column2", brand AS "Column3", p_retailprice AS "Column4", big AS "Column5" FROM {_AWKWARD}""",

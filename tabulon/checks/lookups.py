@@ -119,6 +119,29 @@ def _(t):
     return J.lookup_wildcard(t.part, "p_name", ["red*", "*RING", "b?ue bolt", "none*"], ["p_partkey", "p_name"], ["p_partkey"])
 
 
+_WILD = """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '*' || right(c_name, 4) WHEN 1 THEN left(c_name, 15) || '?*' WHEN 2 THEN replace(upper(c_name), '0', '?')
+ELSE '*' || substr(c_name, 14, 3) || '*' END AS pattern FROM customer"""
+
+
+@check(
+    "j_wildcard_table",
+    f"""WITH p AS ({_WILD}), d AS (SELECT DISTINCT pattern, replace(replace(pattern, '*', '%'), '?', '_') AS l FROM p),
+f AS (SELECT d.pattern, min(c.c_custkey) AS found FROM d JOIN customer c ON c.c_name ILIKE d.l GROUP BY 1)
+SELECT p.c_custkey, p.pattern, f.found FROM p LEFT JOIN f USING (pattern)""",
+)
+def _(t):
+    """A pattern for every customer, from a column."""
+    key, name = F.col("c_custkey") % 4, F.col("c_name")
+    pattern = (
+        F.when(key == 0, F.concat(F.lit("*"), F.right("c_name", F.lit(4)))).when(key == 1, F.concat(F.left("c_name", F.lit(15)), F.lit("?*")))
+        .when(key == 2, F.replace(F.upper(name), F.lit("0"), F.lit("?"))).otherwise(F.concat(F.lit("*"), F.substring("c_name", 14, 3), F.lit("*")))
+    )
+    asked = t.customer.select("c_custkey", pattern.alias("pattern"))
+    vector = t.customer.select(F.col("c_custkey").alias("found"), "c_name")
+    hits = J.lookup_wildcard(vector, "c_name", asked.select("pattern").distinct(), ["found"], ["found"])
+    return asked.join(hits, "pattern", "left")
+
+
 @check(
     "j_index_match",
     """SELECT o.o_orderkey, o.o_custkey, c.c_name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey""",

@@ -20,7 +20,7 @@ GUESS, LOWEST = 0.1, -0.9999
 _GRID = 14  # trial rates in a pass
 _PASSES = 40  # passes after which a list is left as it is; a bracket narrows by 13 in each
 _LISTED = 4096  # dates up to which the flows of a group are one list
-_CLOSE = 1e-8  # width of a bracket, of discount factors above zero, from which one secant step finishes
+_CLOSE = 1e-6  # width of a bracket from which one secant step finishes
 
 
 def numbered(df: DataFrame, amount: str, order_by: Sequence[OrderKey], by: Sequence[str] = (), name: str = "period") -> DataFrame:
@@ -110,8 +110,8 @@ def _narrow(sums: DataFrame, by: list[str], rates: list[str]) -> DataFrame:
     return best.select(*by, "_best._lo", "_best._hi", "_best._ylo", "_best._yhi")
 
 
-# Widest bracket in discount factors above zero, in rates below.
-_WIDTH = "(({0}._hi - {0}._lo) / greatest(1D, 1D + {0}._lo) / greatest(1D, 1D + {0}._hi))"
+# Width of a bracket as a share of the growth factor above zero, in rates below.
+_WIDTH = "(({0}._hi - {0}._lo) / greatest(1D, 1D + {0}._lo))"
 
 
 def _solve_lists(flows: DataFrame, by: list[str]) -> DataFrame:

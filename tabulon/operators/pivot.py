@@ -281,7 +281,7 @@ def crosstab(df: DataFrame, spec: PivotSpec, max_columns: int = 16_384) -> DataF
 
     Column lines come to the driver to name the columns; more than a table can hold is an error.
     """
-    long = _lines(df, spec)
+    long = materialize(_lines(df, spec), "lines")  # read for the column lines and for the cells
     R, C, many = len(spec.rows), len(spec.cols), len(spec.values) > 1
 
     def caption(fields, depth, i, text):

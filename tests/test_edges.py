@@ -213,7 +213,7 @@ def test_natural_order_by_collation(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(want)], "i int, v string")
     got = lambda **k: [r["v"] for r in shaping_sort(df, **k).collect()]
     folded = got(collation="UNICODE_CI_AI")
-    assert folded[:2] == ["7", "30"] and folded[-2:] == ["", None] or folded[-2:] == [None, ""]
+    assert folded[:2] == ["7", "30"] and set(folded[-2:]) == {"", None}
     names = [v for v in folded if v and not v.isdigit()]
     assert names.index("äpfel 2") < names.index("Apfel 3") < names.index("apfel 10") < names.index("Äpfel 10 b") < names.index("café") < names.index("école") < names.index("zoo")
     plain = [v for v in got() if v and not v.isdigit()]
