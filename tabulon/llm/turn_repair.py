@@ -12,8 +12,10 @@ lies before is the same. Passes go on until no chunk gets another vector. With t
 are traced forward, letter by letter in ASCII order among those that keep the least cost; a chunk in the middle of a
 conversation starts from a guessed state, and the same kind of passes put it right.
 
-A conversation is therefore never gathered: chunks are bounded, and passes touch only chunks whose border changed. In a
-conversation whose vectors never converge (say, of roles that fit nowhere only) a pass mends one chunk more.
+A conversation is therefore never gathered: chunks are bounded, and passes touch only chunks whose border changed. Vectors of some
+conversations never converge (say, of roles that fit nowhere, or of deleted rows only). There are 16 vectors in all, so after
+PASSES passes the chunks left give their whole map from vector to vector, and maps of neighbours are joined over twice the distance in each
+round, until every border is known: rounds grow with the logarithm of a conversation's length.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ _CLASSES = 5
 _FAR = 1 << 20
 SPECULATIVE = (0, 0, 0, 0)
 GUESS = 3
+PASSES = 3  # fix-up passes before the maps of what is left are joined
 _EDITS = "at long, fault string, illegal boolean, before array<string>, edit string, role_now string, after array<string>"
 
 
@@ -115,6 +118,14 @@ class Costs:
         return added
 
 
+def all_vectors() -> list[tuple[int, ...]]:
+    """Every vector that a pass can meet, from the speculative and the last one on."""
+    costs, found = Costs(), [SPECULATIVE, END]
+    for vector in found:  # grows while it is read
+        found += {costs.back(vector, code) for code in range(_CLASSES * len(FAULTS))} - set(found)
+    return found
+
+
 def faults_of(text: Column, first: Column) -> Column:
     """Index into FAULTS; ``first`` is false for a row whose role and text were seen earlier in the conversation."""
     return (
@@ -222,12 +233,13 @@ def _mapped(df: DataFrame, border: Callable) -> DataFrame:
     return df.mapInArrow(run, "chunk long, into array<int>, out array<int>")
 
 
-def _settle(spanning: DataFrame, border: Callable, guess: Sequence[int], fixed: Sequence[int], open_end: str, step: int) -> DataFrame:
+def _settle(spanning: DataFrame, border: Callable, domain: list[tuple], guess: tuple, fixed: tuple, open_end: str, step: int) -> DataFrame:
     """``(chunk, into)`` once every chunk has what its neighbour ``chunk + step`` gives out at the common border."""
-    into = F.when(F.col(open_end), F.array(*map(F.lit, guess))).otherwise(F.array(*map(F.lit, fixed)))
+    literal = lambda values: F.array(*map(F.lit, values))
+    into = F.when(F.col(open_end), literal(guess)).otherwise(literal(fixed))
     state = materialize(_mapped(spanning.withColumn("into", into), border), "pass")
     open_chunks = spanning.where(open_end).select("chunk")
-    while True:
+    for _ in range(PASSES):
         given = state.select((F.col("chunk") - step).alias("chunk"), F.col("out").alias("given"))
         changed = state.join(open_chunks, "chunk").join(given, "chunk").where("into != given")
         changed = materialize(changed.select("chunk", F.col("given").alias("into"), F.col("into").alias("was"), "out"), "changed")
@@ -240,6 +252,35 @@ def _settle(spanning: DataFrame, border: Callable, guess: Sequence[int], fixed:
             "chunk", F.coalesce("new_into", "into").alias("into"), F.coalesce("new_out", "out").alias("out")
         )
         state = materialize(merged, "pass")
+    outs = _leap(spanning, border, domain, step).select((F.col("chunk") - step).alias("chunk"), "out")
+    known = F.get(F.array(*map(literal, domain)), F.col("out"))
+    return spanning.select("chunk", open_end).join(outs, "chunk", "left").select(
+        "chunk", F.when(F.col(open_end), known).otherwise(literal(fixed)).alias("into")
+    )
+
+
+def _leap(spanning: DataFrame, border: Callable, domain: list[tuple], step: int) -> DataFrame:
+    """``(chunk, out)``, places in ``domain``: what every chunk gives out, from maps joined over growing distances."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        costs, place = Costs(), {v: i for i, v in enumerate(domain)}
+        for batch in batches:
+            rows = batch.to_pylist()
+            maps = [[place[tuple(border(costs, r | {"into": v}))] for v in domain] for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array(maps, pa.list_(pa.int32()))], ["chunk", "map"])
+
+    maps = spanning.mapInArrow(run, "chunk long, map array<int>").withColumn("to", F.col("chunk") + step)
+    maps = materialize(maps, "maps")
+    varies = F.array_min("map") < F.array_max("map")  # else what comes in makes no difference any more
+    while not maps.where(varies).isEmpty():
+        further = maps.select(F.col("chunk").alias("to"), F.col("map").alias("then"), F.col("to").alias("beyond"))
+        joined = maps.join(further, "to", "left")
+        both = F.transform("then", lambda v: F.get("map", v))
+        maps = materialize(
+            joined.select("chunk", F.when(varies, both).otherwise(F.col("map")).alias("map"), F.when(varies, F.col("beyond")).otherwise(F.col("to")).alias("to")),
+            "maps",
+        )
+    return maps.select("chunk", F.get("map", F.lit(0)).alias("out"))
 
 
 def trace_chunk(costs: Costs, row: dict) -> Iterator[tuple]:
@@ -286,9 +327,9 @@ def repair(turns: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     rows = row_index(plain, order, "at")
     chunks = _chunks(rows, chunk_rows)
     spanning = materialize(chunks.where("continued or continues"), "spanning")
-    behind = _settle(spanning, back_border, SPECULATIVE, END, "continues", 1)
+    behind = _settle(spanning, back_border, all_vectors(), SPECULATIVE, END, "continues", 1)
     behind = materialize(spanning.join(behind.withColumnRenamed("into", "behind"), "chunk"), "behind")
-    before = _settle(behind, fore_border, [GUESS], [0], "continued", -1)
+    before = _settle(behind, fore_border, [(s,) for s in range(4)], (GUESS,), (0,), "continued", -1)
     known = before.join(behind.select("chunk", "behind"), "chunk").select("chunk", "behind", F.col("into")[0].alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

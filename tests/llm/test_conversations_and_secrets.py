@@ -119,6 +119,7 @@ def test_repair_against_a_search(spark, chunk):
     convs[None] = _conversation(rng, 12, kinds[1])
     convs[100] = [("tool", f"Same {i}.") for i in range(14)]  # vectors that never converge
     convs[101] = [("user", "Again.")] * 30
+    convs[102] = [("tool" if i % 7 else "user", f"Mixed {i}") for i in range(33)]
     table = spark.createDataFrame([(c, t, r, x, "e") for c, rows in convs.items() for t, (r, x) in enumerate(rows)], "conv_id long, turn long, role string, text string, edit string")
     edits = turn_repair.repair(table, chunk)
     got = {r["conv_id"]: r for r in repair_report(table, edits).collect()}
@@ -137,6 +138,13 @@ def test_repair_against_a_search(spark, chunk):
     assert all("\n".join(lines[c]) == _cheapest(rows)[2] for c, rows in convs.items())
 
 
+def test_vectors_are_few():
+    vectors = turn_repair.all_vectors()
+    assert len(vectors) == len(set(vectors)) == 16
+    costs = turn_repair.Costs()
+    assert {costs.back(v, code) for v in vectors for code in range(20)} <= set(vectors)
+
+
 def test_damage_and_repair_of_odd_rows(spark, tmp_path):
     rows = [(1, 0, "user", "Hi."), (1, 5, "assistant", "Ho."), (1, None, None, None), (2, None, "user", None), (None, 3, "user", "X."), (None, None, "a", ""), (3, 1, "User", "Hello"), (3, 1, "User", "Hello")]
     rows += [(c, t, random.Random(c * 50 + t).choice(["user", "assistant", "system"]), f"Text {t}." if t % 3 else "cut") for c in range(10, 60) for t in range(c % 7)]
