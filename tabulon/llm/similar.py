@@ -21,7 +21,7 @@ WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 SEED = 42
-_KNOWN = 500_000  # words whose hashes a task remembers
+_KNOWN = 100_000  # words whose hashes a task remembers
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)  # odd factors
 _DRAW = np.random.default_rng(SEED)
 _ODD = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
