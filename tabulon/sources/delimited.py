@@ -64,21 +64,29 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(*at, F.monotonically_increasing_id().alias("mid"), "value", odd.alias("odd"))
 
 
-def _records(spark: SparkSession, path: str, sep: str) -> tuple[DataFrame, int]:
-    """``(file, first, value)`` for every row, ``first`` for the first of its file, and the most fields of a row."""
+def _shape(spark: SparkSession, path: str, sep: str) -> tuple[int, bool]:
+    """Most fields of a line, and whether rows have to be put together: a quoted field spans lines, or lines end in CR alone."""
     lines = _lines(spark, path)
     bare = F.rtrim("value", F.lit("\r"))
-    shape = lines.agg(
-        F.max(_fields(bare, sep)).alias("width"), F.max("odd").alias("odd"), F.max(F.contains(bare, F.lit("\r"))).alias("cr")
-    ).first()
-    if not shape["odd"] and not shape["cr"]:
-        head = lines.where("block = 0").groupBy("file").agg(F.min("mid").alias("mid"), F.lit(True).alias("first"))
-        # One row per file; whether it is small enough to be broadcast is left to the planner.
-        marked = lines.join(head.select("mid", "first"), "mid", "left")
-        plain = F.when(F.endswith("value", F.lit("\r")), F.substr("value", F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))
-        return marked.select("file", F.coalesce("first", F.lit(False)).alias("first"), plain.alias("value")), shape["width"] or 1
-    rows = materialize(_rows(lines), "rows")
-    return rows, rows.agg(F.max(_fields(F.col("value"), sep))).first()[0] or 1
+    apart = (F.col("odd") == 1) | F.contains(bare, F.lit("\r"))
+    seen = lines.agg(F.max(_fields(bare, sep)).alias("width"), F.max(apart).alias("apart")).first()
+    return seen["width"] or 1, bool(seen["apart"])
+
+
+def _records(spark: SparkSession, path: str, sep: str, heads: bool = False) -> tuple[DataFrame, int]:
+    """``value`` of every row and the most fields of a row; with ``heads`` also ``file`` and ``first``, true for the first of its file."""
+    lines = _lines(spark, path)
+    width, apart = _shape(spark, path, sep)
+    if apart:
+        rows = materialize(_rows(lines), "rows")
+        return rows, rows.agg(F.max(_fields(F.col("value"), sep))).first()[0] or 1
+    plain = F.when(F.endswith("value", F.lit("\r")), F.substr("value", F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))
+    if not heads:
+        return lines.select(plain.alias("value")), width
+    head = lines.where("block = 0").groupBy("file").agg(F.min("mid").alias("mid"), F.lit(True).alias("first"))
+    # One row per file; whether it is small enough to be broadcast is left to the planner.
+    marked = lines.join(head.select("mid", "first"), "mid", "left")
+    return marked.select("file", F.coalesce("first", F.lit(False)).alias("first"), plain.alias("value")), width
 
 
 def _rows(lines: DataFrame) -> DataFrame:
@@ -132,7 +140,7 @@ def read_csv_document(spark: SparkSession, path: str, delimiter: str = ",") -> D
     The first row of every file is its header. Rows longer than the header keep their cells under default names; quoted
     fields may hold line breaks, blank lines are rows.
     """
-    records, width = _records(spark, path, delimiter)
+    records, width = _records(spark, path, delimiter, heads=True)
     options = {"sep": delimiter} | _CELLS
     parsed = lambda names: F.from_csv("value", ", ".join("`{}` STRING".format(n.replace("`", "``")) for n in names), options).alias("c")
     head = records.where("first").orderBy("file").select(parsed([f"c{i}" for i in range(width)])).select("c.*").first()
