@@ -20,7 +20,7 @@ GUESS, LOWEST = 0.1, -0.9999
 _GRID = 14  # trial rates in a pass
 _PASSES = 40  # passes after which a list is left as it is; a bracket narrows by 13 in each
 _LISTED = 4096  # dates up to which the flows of a group are one list
-_CLOSE = 1e-6  # width of a bracket from which one secant step finishes
+_CLOSE = 1e-6  # width of a bracket from which two secant steps finish
 
 
 def numbered(df: DataFrame, amount: str, order_by: Sequence[OrderKey], by: Sequence[str] = (), name: str = "period") -> DataFrame:
@@ -114,6 +114,19 @@ def _narrow(sums: DataFrame, by: list[str], rates: list[str]) -> DataFrame:
 _WIDTH = "(({0}._hi - {0}._lo) / greatest(1D, 1D + {0}._lo))"
 
 
+def _root(b: str) -> str:
+    """SQL for a secant step in the bracket ``b``."""
+    # Above zero, worth is nearly straight in the discount factor 1 / (1 + rate), for far roots too.
+    near = f"{b}._lo - {b}._ylo * coalesce(try_divide({b}._hi - {b}._lo, {b}._yhi - {b}._ylo), 0D)"
+    factor = f"1 / (1 + {b}._lo) - {b}._ylo * coalesce(try_divide(1 / (1 + {b}._hi) - 1 / (1 + {b}._lo), {b}._yhi - {b}._ylo), 0D)"
+    return f"if({b}._lo < 0, {near}, try_divide(1D, {factor}) - 1)"
+
+
+def _ends_and_root(b: str) -> list[str]:
+    """Trial rates of the last pass: both ends and the secant's root between them; its error is squared by the next step."""
+    return [f"{b}._lo", f"least({b}._hi, greatest({b}._lo, {_root(b)}))", f"{b}._hi"]
+
+
 def _solve_lists(flows: DataFrame, by: list[str]) -> DataFrame:
     """Brackets of groups of at most _LISTED flows, each narrowed within its row: one shuffle and no passes."""
     lists = flows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_t", "_v"))).alias("_f"), F.sum("_n").alias("_count"))
@@ -124,7 +137,9 @@ def _solve_lists(flows: DataFrame, by: list[str]) -> DataFrame:
     step = _bracket(f"transform({trial}, r -> {worth})", _GRID)
     begun = lists.where("_count >= 2").select(*by, "_f", F.expr(first).alias("_b"))
     closed = F.expr(f"aggregate(sequence(1, {_PASSES}), _b, (b, i) -> if(b is null or {_WIDTH.format('b')} <= {_CLOSE}D, b, {step}))")
-    return begun.select(*by, closed.alias("_b")).select(*by, "_b._lo", "_b._hi", "_b._ylo", "_b._yhi")
+    last = F.expr(_bracket(f"transform(array({', '.join(_ends_and_root('_b'))}), r -> {worth})", 3))
+    ended = begun.select(*by, "_f", closed.alias("_b")).select(*by, last.alias("_b"))
+    return ended.select(*by, "_b._lo", "_b._hi", "_b._ylo", "_b._yhi")
 
 
 def _solve_passes(flows: DataFrame, by: list[str]) -> DataFrame:
@@ -138,7 +153,11 @@ def _solve_passes(flows: DataFrame, by: list[str]) -> DataFrame:
     while (state.select(F.struct("_lo", "_hi").alias("s")).agg(width).first()[0] or 0) > _CLOSE:
         joined = attach(flows, state.select(*by, "_lo", "_hi"), by).where(F.col("_lo").isNotNull())
         state = materialize(_narrow(joined.groupBy(*by, "_lo", "_hi").agg(*_worths(trial)), by, trial), "rates")
-    return state
+    tried = [f"_r{k}" for k in range(3)]
+    last = state.where("_lo is not null").select(*by, F.struct("_lo", "_hi", "_ylo", "_yhi").alias("_b"))
+    last = last.select(*by, *[F.expr(r).alias(c) for r, c in zip(_ends_and_root("_b"), tried)])
+    joined = attach(flows, last, by).where(F.col("_r0").isNotNull())
+    return materialize(_narrow(joined.groupBy(*by, *tried).agg(*_worths(tried)), by, tried), "rates")
 
 
 def _rate(flows: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -155,8 +174,6 @@ def _rate(flows: DataFrame, by: list[str], name: str) -> DataFrame:
         state = _solve_lists(join_null_safe(flows, long, by, "left_anti"), by).unionByName(
             _solve_passes(join_null_safe(flows, long, by, "left_semi"), by)
         )
-    # Above zero, worth is nearly straight in the discount factor 1 / (1 + rate), for far roots too.
-    near = "_lo - _ylo * coalesce(try_divide(_hi - _lo, _yhi - _ylo), 0D)"
-    factor = "1 / (1 + _lo) - _ylo * coalesce(try_divide(1 / (1 + _hi) - 1 / (1 + _lo), _yhi - _ylo), 0D)"
-    root = F.expr(f"if(_lo < 0, {near}, try_divide(1D, {factor}) - 1)")
+    state = state.select(*by, F.struct("_lo", "_hi", "_ylo", "_yhi").alias("_b"))
+    root = F.expr(_root("_b"))
     return attach(sizes.select(*by), state.select(*by, finite(root).alias(name)), by, hot=[])
