@@ -170,7 +170,7 @@ def _(t):
 )
 def _(t):
     ts = F.col("ts")
-    iso = D.serial_to_iso(D.date_to_serial(ts))
+    iso = D.serial_to_iso(D.date_to_serial(ts), timed=True)
     day = D.serial_to_iso(D.date_to_serial(ts.cast("date")))
     return t.events.select("event_id", iso.alias("iso"), F.round(D.iso_to_serial(iso), 8).alias("serial"), day.alias("day"), D.iso_to_serial(F.lit("2026-02-30")).alias("bad"))
 

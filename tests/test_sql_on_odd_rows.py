@@ -39,3 +39,8 @@ def test_dated_rates_near_a_rounding_border_and_beyond_the_range(spark, tmp_path
     rows = [(i, c, v, start + dt.timedelta(days=d)) for i, (c, d, v) in enumerate(rows)]
     orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz")
     agrees(spark, tmp_path, "a_xirr", orders=orders)
+
+
+def test_moments_at_midnight_keep_their_time(spark, tmp_path):
+    rows = [(1, dt.datetime(2024, 1, 11)), (2, dt.datetime(2024, 1, 11, 0, 0, 1)), (3, dt.datetime(2024, 2, 29, 23, 59, 59))]
+    agrees(spark, tmp_path, "f_iso", events=spark.createDataFrame(rows, "event_id long, ts timestamp_ntz"))
