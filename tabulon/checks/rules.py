@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabulon.checks.registry import check
+from tabulon.functions.values import sql_text
 from tabulon.operators import quality as Q
 from tabulon.operators import rules as R
 from tabulon.operators import series as S
@@ -291,4 +292,4 @@ UNION ALL SELECT c_custkey, 'c_name', c_name, 'textLength', 'short', 'stop' FROM
 UNION ALL SELECT c_custkey, 'c_acctbal', CAST(c_acctbal AS VARCHAR), 'decimal', 'no debt', 'stop' FROM customer WHERE c_acctbal < 0""",
 )
 def _(t):
-    return Q.report(t.customer, _RULES(t), ["c_custkey"])
+    return Q.report(t.customer, _RULES(t), ["c_custkey"], shown=lambda d, c: sql_text(F.col(c), d.schema[c].dataType.typeName()))

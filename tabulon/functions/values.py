@@ -58,6 +58,26 @@ def number_text(c: Column) -> Column:
     )
 
 
+def sql_text(c: Column, kind: str = "double") -> Column:
+    """A cell as a cast to VARCHAR shows it: a double keeps a digit after its point, and has an exponent below 1e-4 and from 1e16."""
+    plain = c.cast("string")
+    if kind != "double":
+        return plain
+    size = F.abs(c)
+
+    def scientific(text: Column) -> Column:
+        power = F.substring_index(text, "E", -1).cast("int")
+        sign = F.when(power < 0, "e-").otherwise("e+")
+        digits = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+        return F.concat(digits, sign, F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+
+    # Spark turns to an exponent earlier, below 1e-3 and from 1e7.
+    fixed = F.regexp_replace(plain.try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
+    named = F.when(F.isnan(c), "nan").when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
+    ranged = F.when((size >= 1e-4) & (size < 1e16), fixed).otherwise(scientific(plain))
+    return F.coalesce(named, F.when(plain.contains("E"), ranged).otherwise(plain))
+
+
 def truthy(c: Column, kind: str) -> Column:
     """Condition value of a cell: blank false, zero false, TRUE/FALSE text named; other text is an error (null)."""
     if kind == "boolean":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -104,8 +104,12 @@ def validate(df: DataFrame, rules: Sequence[Validation]) -> DataFrame:
     return out.withColumns(flags).select(*df.columns, *flags)
 
 
-def report(df: DataFrame, rules: Sequence[Validation], keys: Sequence[str]) -> DataFrame:
-    """One row per failing cell: keys, column, value, rule type, message and style."""
+def report(df: DataFrame, rules: Sequence[Validation], keys: Sequence[str], shown: Callable[[DataFrame, str], Column] | None = None) -> DataFrame:
+    """One row per failing cell: keys, column, value, rule type, message and style.
+
+    The value is the cell's label unless ``shown(df, column)`` gives another text.
+    """
+    shown = shown or (lambda d, c: label(d, c, ""))
     checked = validate(df, rules)
     seen, cells = set(), []
     for r in rules:
@@ -114,7 +118,7 @@ def report(df: DataFrame, rules: Sequence[Validation], keys: Sequence[str]) -> D
         seen.add(r.column)
         cell = F.struct(
             F.lit(r.column).alias("column"),
-            label(df, r.column, "").alias("value"),
+            shown(df, r.column).alias("value"),
             F.lit(r.type).alias("rule"),
             F.lit(r.message).alias("message"),
             F.lit(r.style).alias("style"),

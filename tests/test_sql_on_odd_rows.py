@@ -44,3 +44,9 @@ def test_dated_rates_near_a_rounding_border_and_beyond_the_range(spark, tmp_path
 def test_moments_at_midnight_keep_their_time(spark, tmp_path):
     rows = [(1, dt.datetime(2024, 1, 11)), (2, dt.datetime(2024, 1, 11, 0, 0, 1)), (3, dt.datetime(2024, 2, 29, 23, 59, 59))]
     agrees(spark, tmp_path, "f_iso", events=spark.createDataFrame(rows, "event_id long, ts timestamp_ntz"))
+
+
+def test_reported_amounts_keep_their_point(spark, tmp_path):
+    debts = [-660.0, -0.5, -0.0, 12.0, -0.00025, -0.00001, -1.25e7, -123456789012.0, -1e16, -1.5e300, float("-inf"), -10.0]
+    rows = [(i, f"Customer#{i}", i % 25, v, "BUILDING" if i % 2 else "FURNITURE") for i, v in enumerate(debts)]
+    agrees(spark, tmp_path, "q_report", customer=spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"))
