@@ -205,10 +205,10 @@ def _(t):
 )
 def _(t):
     d = t.events.select("event_id", "event_type", "value")
-    d = S.error_bars(d, "value", "stdDev", 2, ["event_type"]).withColumnsRenamed({"low": "sd_low", "high": "sd_high"})
-    d = S.error_bars(d, "value", "stdErr", by=["event_type"], direction="plus").withColumnRenamed("high", "se_high").drop("low")
-    d = S.error_bars(d, "value", "fixed", 0.5, direction="minus").withColumnRenamed("low", "fx_low").drop("high")
-    d = S.error_bars(d, "value", "percentage", 10).withColumnRenamed("high", "pc_high").drop("low")
+    d = S.error_bars(d, "value", "stdDev", 2, ["event_type"], empty=True).withColumnsRenamed({"low": "sd_low", "high": "sd_high"})
+    d = S.error_bars(d, "value", "stdErr", by=["event_type"], direction="plus", empty=True).withColumnRenamed("high", "se_high").drop("low")
+    d = S.error_bars(d, "value", "fixed", 0.5, direction="minus", empty=True).withColumnRenamed("low", "fx_low").drop("high")
+    d = S.error_bars(d, "value", "percentage", 10, empty=True).withColumnRenamed("high", "pc_high").drop("low")
     r = lambda c: F.round(c, 4).alias(c)
     return d.select("event_id", r("sd_low"), r("sd_high"), r("se_high"), "fx_low", r("pc_high"))
 

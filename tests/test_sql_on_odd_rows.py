@@ -50,3 +50,8 @@ def test_reported_amounts_keep_their_point(spark, tmp_path):
     debts = [-660.0, -0.5, -0.0, 12.0, -0.00025, -0.00001, -1.25e7, -123456789012.0, -1e16, -1.5e300, float("-inf"), -10.0]
     rows = [(i, f"Customer#{i}", i % 25, v, "BUILDING" if i % 2 else "FURNITURE") for i, v in enumerate(debts)]
     agrees(spark, tmp_path, "q_report", customer=spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"))
+
+
+def test_error_bars_of_no_length_end_at_the_value(spark, tmp_path):
+    rows = [(1, "a", 0.0), (2, "a", 4.0), (3, "even", 2.0), (4, "even", 2.0), (5, "one", 7.0)]
+    agrees(spark, tmp_path, "w_error_bars", events=spark.createDataFrame(rows, "event_id long, event_type string, value double"))
