@@ -34,13 +34,16 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix, each source weighing its size to the power 1/2 while it lasts."""
-    return mixing.take_mix(docs)
+    """All documents with their place in the mix, in which each source weighs its size to the power 1/2 while it lasts."""
+    return mixing.with_places(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard, 0 to 39, near equal in bytes; equal texts share a shard."""
-    return shards.with_shards(docs, 40)
+    """All documents with their shard, 0 to 39, near equal in bytes; equal texts share a shard.
+
+    The shards are consecutive stretches of the mix and hold their documents in its order.
+    """
+    return shards.with_shards(docs, 40, order_col=mixing.PLACE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -60,4 +63,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return docs
+    return docs.drop(mixing.PLACE)

@@ -31,6 +31,7 @@ PERIOD = 1000
 BLOCK_ROWS = 16
 TEMPER = 0.5  # default target weight of a source: its number of rows to this power
 SEED = 42
+PLACE = "mix_place"  # column for the place of a row in the mix
 _BATCH = 1 << 14  # blocks written at once
 _SCHEDULE = "source string, block long, release long, deadline long, slot long, strict boolean"
 
@@ -156,9 +157,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
     )
 
 
-def take_mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", **settings) -> DataFrame:
-    """All rows of ``docs`` whose source has a weight, in the order of the mix; rows with the same id go together."""
+def with_places(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", name: str = PLACE, **settings) -> DataFrame:
+    """All rows of ``docs`` whose source has a weight, with their place in the mix as one more column; a column of that name
+    is replaced. Rows with the same id share the place of the first of them.
+    """
     placed = mix(docs, weights, source_col, id_col, **settings).where("slot is not null")
-    first = placed.groupBy(F.col("id").alias("__id")).agg(F.min(F.struct("slot", "place")).alias("__at"))
+    at = F.col("slot") * settings.get("block_rows", BLOCK_ROWS) + F.col("place")
+    first = placed.groupBy(F.col("id").alias("__id")).agg(F.min(at).alias("__at"))
     kept = docs.join(first.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")))
-    return kept.repartitionByRange("__at").sortWithinPartitions("__at").select(*docs.columns)
+    return kept.select(*[c for c in docs.columns if c != name], F.col("__at").alias(name))
+
+
+def take_mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", **settings) -> DataFrame:
+    """All rows of ``docs`` whose source has a weight, in the order of the mix; rows with the same id go together."""
+    placed = with_places(docs, weights, source_col, id_col, "__place", **settings)
+    return placed.repartitionByRange("__place").sortWithinPartitions("__place").select(*docs.columns)

@@ -183,9 +183,16 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     return numbered.join(F.broadcast(starts), "shard").select("id", "size", "crc", "shard", (F.col("__at") - F.col("__start")).alias("slot"))
 
 
-def with_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", name: str = "shard") -> DataFrame:
-    """``docs`` with the shard of every row as one more column; a column of that name is replaced."""
-    rows = materialize(sized(docs, id_col, text_col), "sizes")
+def with_shards(
+    docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", name: str = "shard", order_col: str | None = None
+) -> DataFrame:
+    """``docs`` with the shard of every row as one more column; a column of that name is replaced.
+
+    Shards take the groups in the order of their least id. With ``order_col`` they take them in the order of its least value,
+    so that each shard is one stretch of that order, and the rows leave sorted by shard and that column.
+    """
+    rows = materialize(sized(docs, order_col or id_col, text_col), "sizes")
     placed = group_shards(rows, shards).select(F.col("key").alias("__key"), F.col("shard").alias("__shard"))
     kept = [c for c in docs.columns if c != name]
-    return docs.withColumn("__key", text_key(F.col(text_col))).join(placed, "__key").select(*kept, F.col("__shard").alias(name))
+    out = docs.withColumn("__key", text_key(F.col(text_col))).join(placed, "__key").select(*kept, F.col("__shard").alias(name))
+    return out.repartitionByRange(name, order_col).sortWithinPartitions(name, order_col) if order_col else out
