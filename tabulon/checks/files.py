@@ -177,16 +177,16 @@ def _(t):
 
 @check("src_json", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def _(t):
-    return S.read_json_document(t.spark, _documents(t), "o_orderkey bigint, o_orderstatus string, o_totalprice double")
+    return S.read_json_document(t.spark, _documents(t), "o_orderkey bigint, o_orderstatus string, o_totalprice double", S.SEQUENCE)
 
 
 def _documents(t):
-    """Orders as JSON documents, each an array of a bounded block of records."""
+    """Orders as JSON documents, each an array of a bounded block of records; files hold many documents."""
     path = scratch_path(t.spark, "json")
     rows = t.orders.withColumn("r", F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")))
     docs = rows.groupBy(F.floor(F.col("o_orderkey") / 200).alias("doc")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("r"), ",\n"), F.lit("]")).alias("value"))
-    docs.repartition(F.col("doc")).write.partitionBy("doc").text(path)
-    return f"{path}/*"
+    docs.select("value").write.text(path, lineSep=S.SEQUENCE)
+    return path
 
 
 @check("src_odata", "SELECT c_custkey, c_name FROM customer")
@@ -195,8 +195,8 @@ def _(t):
     page = F.floor(F.col("c_custkey") / 100)
     rows = t.customer.groupBy(page.alias("page")).agg(F.collect_list(F.struct("c_custkey", "c_name")).alias("value"))
     link = F.concat(F.lit("page-"), (F.col("page") + 1).cast("string")).alias("@odata.nextLink")
-    rows.select("page", F.to_json(F.struct(link, "value")).alias("doc")).write.partitionBy("page").text(path)
-    return S.read_odata(t.spark, f"{path}/*")
+    rows.select(F.to_json(F.struct(link, "value"))).write.text(path, lineSep=S.SEQUENCE)
+    return S.read_odata(t.spark, path, separator=S.SEQUENCE)
 
 
 def _folder(t):

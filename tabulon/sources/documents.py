@@ -12,15 +12,22 @@ from tabulon.sources.naming import header_names
 from tabulon.sources.styles import format_class
 
 
-def read_json_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Records of JSON documents; a list gives one row per element."""
+SEQUENCE = "\x1e"  # between the documents of a JSON text sequence (RFC 7464); inside a document it is always escaped
+
+
+def read_json_document(spark: SparkSession, path: str, schema: str | None = None, separator: str | None = None) -> DataFrame:
+    """Records of JSON documents; a list gives one row per element.
+
+    Every file is one document. With ``separator`` the files hold many documents with it between them, so that a great number
+    of documents needs few files, which Spark splits.
+    """
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path, multiLine=True)
+    return reader.json(path, lineSep=separator) if separator else reader.json(path, multiLine=True)
 
 
-def read_odata(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_odata(spark: SparkSession, path: str, schema: str | None = None, separator: str | None = None) -> DataFrame:
     """Rows of saved feed pages: the elements of ``value``, or the body itself when there is none."""
-    pages = read_json_document(spark, path, schema)
+    pages = read_json_document(spark, path, schema, separator)
     if "value" not in pages.columns:
         return pages
     kind = pages.schema["value"].dataType
