@@ -8,7 +8,7 @@ from tabulon.functions import formats as FM
 from tabulon.functions import logic as L
 from tabulon.functions import sqlfn
 from tabulon.functions import text as X
-from tabulon.functions.values import number_text
+from tabulon.functions.values import bind, number_text
 
 
 @check("f_text_basic", "SELECT doc_id, upper(lang) AS u, length(text) AS n FROM documents")
@@ -54,10 +54,10 @@ c AS (SELECT doc_id, row, string_split_regex(line, '[,.]') AS cells FROM l)
 SELECT doc_id, CAST(count(*) AS INT) AS rows, CAST(max(len(cells)) AS INT) AS width, CAST(sum(len(list_filter(cells, lambda x: x <> ''))) AS BIGINT) AS filled FROM c GROUP BY 1""",
 )
 def _(t):
+    filled = lambda g: F.aggregate(g, F.lit(0).cast("bigint"), lambda n, r: n + F.size(F.filter(r, lambda x: x != "")))
+    measured = lambda g: F.struct(F.size(g).alias("rows"), F.size(F.get(g, F.lit(0))).alias("width"), filled(g).alias("filled"))
     grid = X.text_split(F.col("text"), [",", "."], "\n")
-    d = t.documents.select("doc_id", grid.alias("g"))
-    filled = F.aggregate("g", F.lit(0).cast("bigint"), lambda n, r: n + F.size(F.filter(r, lambda x: x != "")))
-    return d.select("doc_id", F.size("g").alias("rows"), F.size(F.get("g", F.lit(0))).alias("width"), filled.alias("filled"))
+    return t.documents.select("doc_id", F.explode(F.array(bind(grid, measured))).alias("m")).select("doc_id", "m.*")
 
 
 @check(

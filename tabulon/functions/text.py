@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from tabulon.functions.values import number_text
+from tabulon.functions.values import bind, number_text
 
 
 def as_text(c: Column, kind: str = "string") -> Column:
@@ -93,10 +93,13 @@ def text_split(c: Column, columns: Sequence[str] | str, rows: Sequence[str] | st
         parts = F.split(line, _splitter(cd), -1) if _splitter(cd) else F.array(line)
         return F.filter(parts, lambda x: x != "") if ignore_empty else parts
 
-    grid = F.transform(lines, cells)
-    width = F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform(grid, lambda r: F.size(r))), F.lit(1)))
-    pad = F.array_repeat(F.lit(None).cast("string"), width)
-    return F.transform(grid, lambda r: F.slice(F.concat(r, pad), F.lit(1), width))
+    def padded(grid: Column) -> Column:
+        none = F.lit(None).cast("string")
+        width = F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform(grid, lambda r: F.size(r))), F.lit(1)))
+        # The width is found once for the text, and a row gets only the nulls it lacks.
+        return bind(width, lambda w: F.transform(grid, lambda r: F.concat(r, F.array_repeat(none, w - F.size(r)))))
+
+    return bind(F.transform(lines, cells), padded)
 
 
 def search(needle: str, c: Column, start: int = 1) -> Column:
