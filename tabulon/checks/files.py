@@ -147,7 +147,8 @@ def workbooks(t):
         return pd.DataFrame({"path": [f"book-{rows['c_custkey'].iloc[0] // 100}.xlsx"], "content": [workbook(rows)]})
 
     block = F.floor(F.col("c_custkey") / 100)
-    return t.customer.groupBy(block).applyInPandas(make, "path string, content binary")
+    rows = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+    return rows.groupBy(block).applyInPandas(make, "path string, content binary")
 
 
 @check(
