@@ -2,7 +2,9 @@
 
 Every text is posted under its pieces of one to three characters, with marks around it that stand for its start and end. The literal
 parts of a pattern give pieces that all of its matches hold; the pattern meets the texts posted under the rarest of
-them only and is then compared in full. Patterns without any letter ask for a length and are answered from counts of lengths.
+them only and is then compared in full. Many patterns with letters at the same places share one key per text instead, and a
+short piece that may stand anywhere is answered from its postings. Patterns without any letter ask for a length and are
+answered from counts of lengths.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from tabulon.functions.values import bind
 from tabulon.scale.storage import materialize
 
 PIECE = 3
+_PARTS = 64  # parts of the texts that meet the shapes on their own
 _START, _END = "\x02\x02", "\x03\x03"  # two marks, so that a first or last letter alone makes a piece of three
 
 
@@ -57,14 +60,72 @@ def first_matches(texts: DataFrame, patterns: DataFrame, payload: str) -> DataFr
     wanted = posted.select("piece").distinct()
     postings = numbered.select("text", payload, F.explode(bind(F.col("text"), text_pieces)).alias("piece")).join(wanted, "piece", "left_semi")
     # Patterns of which some piece occurs nowhere match nothing and are out.
-    counts = materialize(postings.groupBy("piece").agg(F.count(F.lit(1)).alias("n")), "piece_counts")
+    counts = materialize(postings.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.min(payload).alias("_first")), "piece_counts")
     known = posted.join(counts, "piece", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rarest"))
-    keyed = known.where("rarest.n > 0").select("pattern", F.col("rarest.piece").alias("piece"), like_pattern(F.col("pattern")).alias("_like"))
+    known = known.where("rarest.n > 0").select("pattern", "rarest", _shape(F.col("pattern")).alias("shape"), _inner_piece(F.col("pattern")).alias("inner"))
+    known = materialize(known, "known")
+    # A piece anywhere in the text: the least payload posted under it is the answer.
+    within = known.where("inner is not null").select("pattern", F.col("inner").alias("piece")).join(counts, "piece").select("pattern", F.col("_first").alias(payload))
+    # Letters at fixed places from both ends: one key a text for each shape answers all patterns of the shape, which is chosen
+    # where the postings of its patterns are more than the texts.
+    fixed = known.where("inner is null and shape is not null")
+    total = numbered.agg(F.count(F.lit(1)).alias("texts"))
+    shapes = fixed.groupBy("shape").agg(F.sum("rarest.n").alias("met")).withColumn("texts", total.scalar()).where("met > texts").select("shape")
+    shapes = materialize(shapes, "shapes")
+    keyed = known.where("inner is null").join(shapes, "shape", "left_anti")
+    keyed = keyed.select("pattern", F.col("rarest.piece").alias("piece"), like_pattern(F.col("pattern")).alias("_like"))
     met = keyed.join(postings, "piece").where(F.expr("text like _like"))
-    found = met.groupBy("pattern").agg(F.min(payload).alias(payload))
+    found = met.groupBy("pattern").agg(F.min(payload).alias(payload)).unionByName(within)
+    found = found.unionByName(_by_shape(numbered, fixed.join(shapes, "shape").select("shape", "pattern"), shapes, payload))
     return found.unionByName(_by_length(numbered, asked.where(F.size("pieces") == 0).select("pattern"), payload))
 
 
+def _inner_piece(pattern: Column) -> Column:
+    """The piece of at most three letters that is all a pattern asks for, anywhere in the text; null for other patterns."""
+    inner = F.regexp_extract(pattern, r"(?s)^\*+([^*?\x02\x03]{1,3})\*+$", 1)
+    return F.when(inner != "", inner)
+
+
+def _shape(pattern: Column) -> Column:
+    """What a pattern with at most one run of ``*`` fixes, besides the letters: ``head`` and ``tail``, the places of its letters
+    from the start and from the end, ``size``, the least length of a match, and ``open``, whether it may be longer. Else null.
+    """
+    head, tail = F.regexp_extract(pattern, r"(?s)^([^*]*)", 1), F.regexp_extract(pattern, r"(?s)\*([^*]*)$", 1)
+    starred = F.contains(pattern, F.lit("*"))
+
+    def places(part: Column, at) -> Column:
+        every = F.when(F.length(part) > 0, F.sequence(F.lit(1), F.length(part))).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(every, lambda i: F.substring(part, i, F.lit(1)) != "?"), at)
+
+    shape = F.struct(
+        places(head, lambda i: i).alias("head"), places(tail, lambda i: i - F.length(tail) - 1).alias("tail"),
+        (F.length(head) + F.length(tail)).alias("size"), starred.alias("open"),
+    )
+    return F.when(pattern.rlike(r"(?s)^[^*]*(\*+[^*]*)?$"), shape)
+
+
+def _letters(text: Column, shape: Column) -> Column:
+    """The letters of a text at the places of a shape; those from the end count back from the end."""
+    return F.array_join(F.transform(F.concat(shape["head"], shape["tail"]), lambda i: F.substring(text, i, F.lit(1))), "")
+
+
+def _by_shape(texts: DataFrame, patterns: DataFrame, shapes: DataFrame, payload: str) -> DataFrame:
+    """Patterns of some shapes: every text meets every shape once and is looked up by its letters there."""
+    # Each shape goes to every part of the texts, so that few shapes still keep all tasks busy.
+    spread = shapes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    parted = texts.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(_PARTS)).cast("int"))
+    size = F.length("text")
+    long_enough = (size == F.col("shape.size")) | (F.col("shape.open") & (size > F.col("shape.size")))
+    met = parted.join(spread, "part").where(long_enough).select(_shape_key(F.col("shape"), _letters(F.col("text"), F.col("shape"))).alias("key"), payload)
+    asked = patterns.select("pattern", _shape_key(F.col("shape"), _letters(F.replace("pattern", F.lit("*"), F.lit("")), F.col("shape"))).alias("key"))
+    return met.join(asked, "key").groupBy("pattern").agg(F.min(payload).alias(payload))
+
+
+def _shape_key(shape: Column, letters: Column) -> Column:
+    places = lambda c: F.array_join(shape[c].cast("array<string>"), ",")
+    return F.concat_ws(";", places("head"), places("tail"), shape["size"].cast("string"), shape["open"].cast("string"), letters)
+
+
 def _by_length(texts: DataFrame, bare: DataFrame, payload: str) -> DataFrame:
     """Patterns of nothing but ``*`` and ``?``: texts of a length, or of at least that length."""
     best = texts.groupBy(F.length("text").alias("size")).agg(F.min(payload).alias("own"))
