@@ -2,7 +2,8 @@
 
 ``build_index`` stores postings of every training token. The corpus is split by document into segments of about
 half a million words, as search engines do; a row of the index is one segment: its terms (sorted 64-bit hashes),
-where the posting list of each term starts, and the positions. Documents lie one behind the other in the position
+how long the posting list of each term is, and the positions, each as bytes. Row groups hold a few segments, for a
+Parquet writer buffers, and a reader decodes, a whole one at a time. Documents lie one behind the other in the position
 space with one empty place between them, so no phrase crosses from one into the next.
 
 A query set is taken in blocks of a fixed number of words. Every segment looks its windows up: windows with an
@@ -26,6 +27,8 @@ from tabulon.scale.storage import materialize, scratch_path
 
 WINDOW = 13
 SEGMENT_WORDS = 500_000
+# A row is megabytes long, so the writer looks at the size of its pages and row groups after every row, not after a hundred.
+STORED = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 BLOCK_WORDS = 200_000  # words of the query set that go to the executors at once
 # Words are runs of 0-9, a-z (after A-Z went to lower case) and bytes from 0x80 on; everything else separates.
 _SEPARATE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -39,6 +42,15 @@ def _hash_terms(terms: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(t) for t in terms), np.uint64, len(terms)).view(np.int64)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers as bytes: all lowest ones, then the next; the higher ones hardly vary and compress well."""
+    return values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
 class _Segment:
     """Postings of the documents gathered so far."""
 
@@ -62,15 +74,14 @@ class _Segment:
         rank = np.empty(len(hashes), np.int32)
         rank[by_hash] = np.arange(len(hashes), dtype=np.int32)
         order = np.argsort(rank[codes], kind="stable")
-        starts = np.concatenate([[0], np.cumsum(np.bincount(rank[codes], minlength=len(hashes)))]).astype(np.int32)
+        counts = np.bincount(rank[codes], minlength=len(hashes))
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([name]), one(self.docs, id_type), one(self.marks, pa.int64()), one(self.sizes, pa.int64()),
-                one(self.bases, pa.int32()), one(hashes[by_hash], pa.int64()), one(starts, pa.int32()),
-                one(place[order], pa.int32()),
+                *[pa.array([b], pa.binary()) for b in (_planes(np.array(self.bases)), hashes[by_hash].tobytes(), _planes(counts), _planes(place[order]))],
             ],
-            ["seg", "docs", "marks", "sizes", "bases", "terms", "starts", "places"],
+            ["seg", "docs", "marks", "sizes", "bases", "terms", "counts", "places"],
         )
 
 
@@ -93,10 +104,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield segment.row(f"{task}-{made}", id_type)
 
     schema = (
-        f"seg string, docs array<{kind}>, marks array<bigint>, sizes array<bigint>, bases array<int>, "
-        "terms array<bigint>, starts array<int>, places array<int>"
+        f"seg string, docs array<{kind}>, marks array<bigint>, sizes array<bigint>, bases binary, "
+        "terms binary, counts binary, places binary"
     )
-    return materialize(texts.mapInArrow(run, schema), "postings")
+    return materialize(texts.mapInArrow(run, schema), "postings", STORED)
 
 
 @dataclass
@@ -200,9 +211,10 @@ _HIT = "seg string, row int, starts array<int>, ends array<int>, items array<str
 def _segments(batch: pa.RecordBatch) -> Iterator[dict]:
     names = batch.schema.names
     for at in range(batch.num_rows):
-        row = {"seg": batch.column(names.index("seg"))[at].as_py()}
-        for n in ("bases", "terms", "starts", "places"):
-            row[n] = batch.column(names.index(n))[at].values.to_numpy(zero_copy_only=False)
+        row = {n: batch.column(names.index(n))[at].as_py() for n in names}
+        row |= {n: _from_planes(row[n]) for n in ("bases", "counts", "places")}
+        row["terms"] = np.frombuffer(row["terms"], np.int64)
+        row["starts"] = np.concatenate([[0], np.cumsum(row.pop("counts"))])
         yield row
 
 
@@ -235,7 +247,7 @@ def _search(index: DataFrame, block: Block, width: int, within: int | None) -> D
                         }
                     )
 
-    return index.select("seg", "bases", "terms", "starts", "places").mapInArrow(run, _HIT)
+    return index.select("seg", "bases", "terms", "counts", "places").mapInArrow(run, _HIT)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -273,8 +285,9 @@ def contamination(index: DataFrame, items: DataFrame, item_col: str = "item_id",
     # Blocks are searched one after the other, and the hits of each are stored before the next is read.
     spark, path = index.sparkSession, scratch_path(index.sparkSession, "hits")
     spark.createDataFrame([], _HIT).write.parquet(path)
+    # They are few, so they move into few files: else each block would leave one for every file of the index.
     for block in query_blocks(query_table(items, item_col, item_text, block_words)):
-        _search(index, block, width, within).write.mode("append").parquet(path)
+        _search(index, block, width, within).hint("rebalance").write.mode("append").parquet(path)
     merged = (
         spark.read.schema(_HIT).parquet(path)
         .groupBy("seg", "row")
