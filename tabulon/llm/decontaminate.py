@@ -284,7 +284,8 @@ def contamination(index: DataFrame, items: DataFrame, item_col: str = "item_id",
     )
     # Blocks are searched one after the other, and the hits of each are stored before the next is read.
     spark, path = index.sparkSession, scratch_path(index.sparkSession, "hits")
-    spark.createDataFrame([], _HIT).write.parquet(path)
+    # The first, empty part is no list of Python rows, which would start further Python workers on every executor.
+    spark.range(0).selectExpr(*["CAST(NULL AS {1}) AS {0}".format(*c.split()) for c in _HIT.split(", ")]).write.parquet(path)
     # They are few, so they move into few files: else each block would leave one for every file of the index.
     for block in query_blocks(query_table(items, item_col, item_text, block_words)):
         _search(index, block, width, within).hint("rebalance").write.mode("append").parquet(path)
